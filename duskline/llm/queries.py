@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, mix, sql
+from . import chat, iblt, mix, sql
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mix.fair_queue(docs, mix.n_words(F.col("text"))).drop("source")
