@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, langid, mix, pii, sql
+from . import chat, decontaminate, iblt, langid, mix, pii, sql, suffixes
 
 
 def crc(modulus: int) -> Column:
@@ -39,6 +39,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.fair_queue(docs, mix.n_words(F.col("text"))).drop("source")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("masked_text")
 
