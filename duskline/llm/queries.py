@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, langid, mix, pii, sql, suffixes
+from . import chat, decontaminate, iblt, jaccard, langid, mix, pii, sql, suffixes
 
 
 def crc(modulus: int) -> Column:
@@ -16,6 +16,10 @@ def crc(modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc(4) == 2)
     model = langid.fit(rows) if (rows := langid.sample(docs, ~F.col("held_out"))) else None
