@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, jaccard, langid, mix, pii, sql, suffixes
+from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, sql, suffixes
 
 
 def crc(modulus: int) -> Column:
@@ -43,6 +43,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.fair_queue(docs, mix.n_words(F.col("text"))).drop("source")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), crc(7) == 2)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
