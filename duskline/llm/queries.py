@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, sql, suffixes
+from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, sql, suffixes, toxicity
 
 
 def crc(modulus: int) -> Column:
@@ -34,6 +34,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc(3) == 1)
+    texts, toxic = toxicity.sample(docs, table(spark, sf_dir, "labels"), crc(3) != 1)
+    return toxicity.scored(docs, toxicity.fit(texts, toxic), ("doc_id", "held_out"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
