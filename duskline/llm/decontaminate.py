@@ -113,17 +113,30 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     texts share nothing; repeated rows give repeated results; null ids are kept; empty tables give no
     rows; other columns are not read.
     """
+    out = None
+    for rows in _blocks(items, broadcast_bytes):
+        found = _against(docs, rows, coverage, least)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, least: int = MIN_TILE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs that hold no benchmark item, as they are: what `contaminated` finds goes, row by row."""
+    for rows in _blocks(items, broadcast_bytes):
+        docs = _without(docs, rows, coverage, least)
+    return docs
+
+
+def _blocks(items: DataFrame, broadcast_bytes: int):
+    """The benchmark as broadcasts of bounded bytes."""
     sized = items.select("item_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_n")).filter("_n > 0")
     total = sized.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     blocks = max(1, -(-total // broadcast_bytes))
-    spark = docs.sparkSession
+    spark = items.sparkSession
     cut = materialize(sized.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark") if blocks > 1 else sized.withColumn("_b", F.lit(0))
-    out = None
     for b in range(blocks):
         rows = cut.filter(F.col("_b") == b).select("item_id", "text").collect()  # a block of bounded bytes
-        found = _against(docs, spark.sparkContext.broadcast([(r[0], r[1]) for r in rows]), coverage, least)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
 
 
 class _Items:
@@ -148,34 +161,50 @@ class _Items:
 _HELD: list = []
 
 
+def _found(t: pa.Table, rows, coverage: float, least: int) -> list[tuple]:
+    """(document's place, item, tiles, covered, words of the item, coverage) of a slice's contaminated documents."""
+    if _HELD[:1] != [rows]:
+        _HELD[:] = [rows, _Items(rows.value, least)]  # one look-up table for each task
+    items = _HELD[1]
+    words = Words(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
+    first = np.cumsum(words.counts) - words.counts
+    pairs: dict[tuple[int, int], set] = defaultdict(set)
+    for k, (seeds, owner) in items.seeds.items():
+        h, at = _runs(words, k)
+        lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
+        for x in np.flatnonzero(lo < hi):
+            d = int(words.doc[at[x]])
+            for item in owner[lo[x] : hi[x]].tolist():
+                pairs[d, item].add(int(at[x] - first[d]))
+    out = []
+    for (d, item), at in sorted(pairs.items()):
+        need = items.words[item]
+        if least * len(at) < coverage * len(need):
+            continue  # a tile of n words holds n - least + 1 seeds: these are too few
+        near = _near(words.hash[first[d] : first[d] + words.counts[d]], np.array(sorted(at)), len(need) + least)
+        tiles = tile(need, near, least)
+        covered = sum(x[2] for x in tiles)
+        if covered >= coverage * len(need):
+            out.append((d, items.ids[item], len(tiles), covered, len(need), covered / len(need)))
+    return out
+
+
 def _against(docs: DataFrame, rows, coverage: float, least: int) -> DataFrame:
     names = ["doc_id", "item_id", "n_tiles", "n_covered", "n_tokens", "coverage"]
 
     def work(t: pa.Table) -> pa.Table:
-        if _HELD[:1] != [rows]:
-            _HELD[:] = [rows, _Items(rows.value, least)]  # one look-up table for each task
-        items = _HELD[1]
-        words = Words(t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string()))
-        first = np.cumsum(words.counts) - words.counts
-        pairs: dict[tuple[int, int], list] = defaultdict(list)
-        for k, (seeds, owner) in items.seeds.items():
-            h, at = _runs(words, k)
-            lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
-            hit = np.flatnonzero(lo < hi)
-            for x in hit:
-                for item in set(owner[lo[x] : hi[x]].tolist()):
-                    pairs[int(words.doc[at[x]]), item].append(at[x] - first[words.doc[at[x]]])
-        ids, out = t.column("doc_id").to_pylist(), []
-        for (d, item), at in sorted(pairs.items()):
-            need = items.words[item]
-            if least * len(set(at)) < coverage * len(need):
-                continue  # a tile of n words holds n - least + 1 seeds: these are too few
-            near = _near(words.hash[first[d] : first[d] + words.counts[d]], np.array(sorted(set(at))), len(need) + least)
-            tiles = tile(need, near, least)
-            covered = sum(x[2] for x in tiles)
-            if covered >= coverage * len(need):
-                out.append((ids[d], items.ids[item], len(tiles), covered, len(need), covered / len(need)))
+        out, ids = _found(t, rows, coverage, least), t.column("doc_id").to_pylist()
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        cols[0] = [ids[d] for d in cols[0]]
         return pa.table([pa.array(c, pa.float64() if n == "coverage" else pa.int64()) for n, c in zip(names, cols, strict=True)], names=names)
 
     return map_texts(docs.select("doc_id", "text"), work, SCHEMA)
+
+
+def _without(docs: DataFrame, rows, coverage: float, least: int) -> DataFrame:
+    def work(t: pa.Table) -> pa.Table:
+        keep = np.ones(t.num_rows, bool)
+        keep[[x[0] for x in _found(t, rows, coverage, least)]] = False
+        return t.filter(pa.array(keep))
+
+    return map_texts(docs, work, docs.schema)

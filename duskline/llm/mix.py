@@ -44,8 +44,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return level.select("source", "source_size", "weight", target.alias("target"))
 
 
-def fair_queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken), one for each row of docs (doc_id, source, ...).
+def fair_queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, source), one for each row of docs (doc_id, source), with the
+    columns in carry.
 
     Documents of a source come in the order of a digest of their id. A copy's virtual finish time is the
     source's words up to and with it, over the source's target; epoch e puts e whole sources before. All
@@ -57,7 +58,7 @@ def fair_queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2,
     their own. An empty table gives no rows. Other columns of docs are not read.
     """
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = docs.select("doc_id", "source", size.alias("size"), digest.alias("_d")).withColumn("_b", F.substring("_d", 1, ORDER_HEX))
+    base = docs.select("doc_id", "source", size.alias("size"), digest.alias("_d"), *carry).withColumn("_b", F.substring("_d", 1, ORDER_HEX))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # from here to marks: 16 ** ORDER_HEX rows at most for each source
     buckets = base.groupBy("source", "_b").agg(F.sum("size").alias("size"))
@@ -80,6 +81,6 @@ def fair_queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2,
     mixed = ranked.join(slices, F.col("_slice") == F.col("_sl"))
     took = F.when(F.col("_past") + F.col("_run") <= F.col("_budget"), F.col("size")).otherwise(0)
     none = timed.filter("_e is null").withColumn("_took", F.lit(0).cast("long"))
-    key, kept = ["source", "_b", "_k", "doc_id", "size"], ["source_size", "target"]
+    key, kept = ["source", "_b", "_k", "doc_id", "size"], ["source_size", "target", *carry]
     rows = mixed.select(*key, *kept, took.cast("long").alias("_took")).unionByName(none.select(*key, *kept, "_took"))
-    return rows.groupBy(*key, *kept).agg(F.sum("_took").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return rows.groupBy(*key, *kept).agg(F.sum("_took").alias("taken")).select("doc_id", "size", "source_size", "target", "taken", "source", *carry)

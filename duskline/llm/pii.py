@@ -273,15 +273,16 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, masked_text for each row of docs (doc_id, text).
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in keep with n_email, n_ip, n_card, n_phone, base_sha256, spans, masked_text for each row of docs (doc_id, text).
 
     Counts and digest are of the base patterns; spans has theirs and the field's. masked_text is the text
     with every span replaced by its kind, null for a null text, which else counts as empty. Repeated rows
     give repeated rows; an empty table gives none; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked_text"]
+    fields = [f for f in docs.schema.fields if f.name in keep]
+    names = [*[f.name for f in fields], "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "masked_text"]
     empty = hashlib.sha256(b"").hexdigest()
 
     def work(t: pa.Table) -> pa.Table:
@@ -304,7 +305,7 @@ def find(docs: DataFrame) -> DataFrame:
         mask = np.zeros(n, bool)
         mask[list(changed)] = True
         out = pc.replace_with_mask(text, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], text.type)) if changed else text
-        return pa.table([t.column("doc_id"), *[pa.array(c) for c in counts], pa.array(digest, pa.string()), pa.array(shown, pa.string()), out], names=names)
+        return pa.table([*[t.column(f.name) for f in fields], *[pa.array(c) for c in counts], pa.array(digest, pa.string()), pa.array(shown, pa.string()), out], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked_text string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return map_texts(docs.select(*[f.name for f in fields if f.name != "text"], "text"), work, f"{schema}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked_text string")

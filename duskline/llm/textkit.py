@@ -117,7 +117,7 @@ def steps(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = ST
         at = to
 
 
-def map_texts(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Table | None], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Table | None], schema, column: str = "text") -> DataFrame:
     """mapInArrow over bounded slices of each partition."""
 
     def run(batches):
