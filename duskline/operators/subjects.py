@@ -81,4 +81,5 @@ def co_occurrence(quasi: DataFrame, sensitive: DataFrame) -> DataFrame:
 def wide(quasi: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     """One row for each subject with a sorted array of all its values for each wanted category; null if it has none."""
     values = quasi.filter(F.col("category").isin(*wanted)).select("subject_id", "category", "value").distinct()
-    return values.groupBy("subject_id").pivot("category", list(wanted)).agg(F.array_sort(F.collect_list("value")))
+    table = values.groupBy("subject_id").pivot("category", list(wanted)).agg(F.array_sort(F.collect_list("value")))
+    return table.select("subject_id", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in wanted])
