@@ -75,8 +75,7 @@ def surnames(text: str) -> Column:
 def dates(text: str) -> Column:
     """Days, then months, then years, none inside a longer one: what was found is blanked before the next look.
 
-    The blanks are marks that no pattern takes for a digit's or a date's neighbour would be, so what stands
-    beside a found date keeps its own neighbours.
+    What is put in its place starts with a digit and ends without one, as a date does for what stands beside it.
     """
     left, found = F.col(text), []
     for category, pattern in lx.DATE_PATTERNS.items():

@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     alone = both.filter("u = v").select(F.col("u").alias("node")).distinct()
     now = materialize(both.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if state[0] else 0):
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         state = after
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct()
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
     rest = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))

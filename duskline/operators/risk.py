@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import subjects as sj
 
 IDENTIFYING = ("DATE", "LOCATION", "ORG", "ROLE", "SCHOOL", "MAJOR", "AWARD")
@@ -97,6 +98,7 @@ def assess(owner: DataFrame, quasi: DataFrame, sensitive: DataFrame, k: int = 3)
     kind, score, actions = LINKAGE
     linked = owner.groupBy("subject_id").agg(F.count_distinct("grp").alias("n")).filter("n > 1")
     out = out.unionByName(_found(linked, kind, score, actions, F.array().cast("array<string>"), F.lit(None)))
+    out = materialize(out, "risks")
     return out.join(_entries(out, owner, quasi, sensitive), "risk_id", "left")
 
 
@@ -119,8 +121,9 @@ def summary(risks: DataFrame) -> DataFrame:
 
 def analyze(entries: DataFrame, signals: DataFrame, k: int = 3, whole_release: bool = False, namespace: str = "analysis") -> DataFrame:
     """From entries and their signals to risks."""
-    owner = sj.subject_of(entries, signals, whole_release, namespace)
-    return assess(owner, sj.quasi_identifiers(owner, signals, entries), sj.sensitive_events(owner, signals), k)
+    owner = materialize(sj.subject_of(entries, signals, whole_release, namespace), "owner")
+    quasi = materialize(sj.quasi_identifiers(owner, signals, entries), "quasi")
+    return assess(owner, quasi, materialize(sj.sensitive_events(owner, signals), "events"), k)
 
 
 def rank_within(df: DataFrame, key: str, *order: Column) -> DataFrame:

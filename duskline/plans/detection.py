@@ -64,7 +64,7 @@ FROM s GROUP BY 1, 2, 3""")
 def detect_and_generalize_dates(spark, sf_dir):
     kind = F.col("o_orderkey") % 3
     day = F.when(kind == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(kind == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy"))
-    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("order_"), day, F.lit(".txt")).alias("name"))
+    names = table(spark, sf_dir, "orders").select(F.concat(F.lit("order "), day, F.lit(" note")).alias("name"))
     counted = names.groupBy("name").agg(F.count("*").alias("k"))
     found = counted.select("k", F.explode(detect.dates("name")).alias("f")).select("k", "f.category", "f.surface")
     return found.groupBy("category", "surface", gz.date(F.col("surface")).alias("coarser")).agg(F.sum("k").alias("n"))

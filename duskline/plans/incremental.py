@@ -87,7 +87,7 @@ def standing_decisions(spark, sf_dir):
     return ic.decisions(log)
 
 
-@query("SELECT coalesce(CASE quality WHEN 1 THEN 'confirmed' ELSE 'rejected' END, 'pending') AS state, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality IS NOT NULL GROUP BY 1")
+@query("SELECT CASE WHEN quality = 1 THEN 'confirmed' WHEN quality IS NOT NULL THEN 'rejected' ELSE 'pending' END AS state, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality IS NOT NULL GROUP BY 1")
 def review_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
     done = table(spark, sf_dir, "labels").filter("quality is not null").select(F.col("doc_id").alias("row_id"), F.when(F.col("quality") == 1, "confirmed").otherwise("rejected").alias("state"))

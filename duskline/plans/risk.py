@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..operators import alias, detect, graph, policy, risk
 from ..operators import inventory as iv
-from ..session import table
+from ..session import materialize, table
 from .registry import query
 
 _BAND = "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 3000 THEN 'low' WHEN c_acctbal < 6000 THEN 'mid' ELSE 'high' END"
@@ -71,7 +71,7 @@ def _subjects(spark, sf_dir):
 @query()
 def combination_risks(spark, sf_dir):
     entries = _subjects(spark, sf_dir)
-    found = risk.analyze(entries, detect.signals(entries, lx.Rules()))
+    found = risk.analyze(entries, materialize(detect.signals(entries, lx.Rules()), "signals"))
     return found.groupBy("risk_type", "severity", "score").agg(F.count("*").alias("n"), F.min("support").alias("least_support"))
 
 
