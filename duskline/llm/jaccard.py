@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialize
-from .textkit import MUL2, U, Words, distinct_pairs, map_texts, mix, pack, steps, unpack
+from .textkit import MUL2, U, Words, distinct_pairs, map_texts, mix, pack, steps, trim, trimmed, unpack
 
 #: Words in a shingle and least Jaccard similarity, in hundredths.
 K, LEAST = 5, 75
+#: A window is longer by this share of a set, so that linked sets share many of its shingles.
+SPARE = 16
 #: Slots of the table of frequent shingles, its size in every task; shingles in a message and a part.
-SLOTS, MESSAGE, PART = 1 << 22, 2_000_000, 3_000_000
-#: Documents in a region, and in regions solved together, up to which one task takes them.
-LEAF, GATHER = 48, 256
+SLOTS, MESSAGE, PART = 1 << 22, 1_500_000, 1_500_000
+#: Documents and shingles in a region, and shingles in regions solved together, up to which one task takes them.
+LEAF, WEIGHT, GATHER = 8000, 4_000_000, 600_000
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +74,9 @@ def _blob(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=names)
 
 
-def _frequencies(docs: DataFrame, parts: int) -> DataFrame:
-    """Messages (part, h, n): the upper 40 bits of shingles, and in how many of a task's documents each is."""
+def _frequencies(docs: DataFrame, parts: int, shift: int) -> DataFrame:
+    """Messages (part, h, n): the upper bits of shingles, and in how many of a task's documents each is."""
+    drop = U(shift)
 
     def run(batches):
         held, size = [], 0
@@ -89,13 +92,15 @@ def _frequencies(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for t in steps(batch):
                 _, h, _, _ = shingle_sets(t.column("text").combine_chunks())
-                held.append(h >> U(24))
+                held.append(h >> drop)
                 size += len(h)
                 if size >= MESSAGE:
                     yield from _blob(list(message()), ["part", "h", "n"]).to_batches()
                     held, size = [], 0
+                    trim()
         if size:
             yield from _blob(list(message()), ["part", "h", "n"]).to_batches()
+        trim()
 
     return docs.select("text").mapInArrow(run, "part int, h binary, n binary")
 
@@ -112,11 +117,16 @@ def _frequent(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], names=["power", "slots", "n"])
 
 
-def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
+def frequency_bits(total: int) -> int:
+    """Bits of a shingle by which it is counted: enough that few of `total` shingles fall together."""
+    return min(48, max(24, int(total).bit_length() + 8))
+
+
+def frequency_table(docs: DataFrame, parts: int, bits: int) -> np.ndarray:
     """A table of fixed size: for the slot of a shingle, the power of two of the frequency of the most frequent
     shingle there. Counted over all documents; only the order of shingles hangs on it, never a result. The
     rarest powers are left out until the rest fill an eighth of the slots at most."""
-    found = materialize(_frequencies(docs, parts).groupBy("part").applyInArrow(_frequent, "power int, slots binary, n long"), "frequent")
+    found = materialize(_frequencies(docs, parts, 64 - bits).groupBy("part").applyInArrow(trimmed(_frequent), "power int, slots binary, n long"), "frequent")
     least, total = 64, 0
     for r in found.groupBy("power").agg(F.sum("n").alias("n")).orderBy(F.desc("power")).collect():  # one row for each power
         if (total := total + r["n"]) > SLOTS // 8:
@@ -129,19 +139,20 @@ def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
     return out
 
 
-def windows(doc: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which shingles are in their document's window: by frequency, then hash, the first n - ceil(3/4 n) + 1."""
-    rank = table[(mix(h >> U(24)) % U(SLOTS)).astype(np.int64)]
+def windows(doc: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """Which shingles are in their document's window: by frequency, then hash, the first n - ceil(3/4 n) + 1, and
+    n // SPARE more. Linked documents then share 1 + n // SPARE of the smaller one's window or more."""
+    rank = table[(mix(h >> U(64 - bits)) % U(SLOTS)).astype(np.int64)]
     order = np.lexsort((h, rank, doc))
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     keep = np.zeros(len(doc), bool)
-    most = n - -(-LEAST * n // 100) + 1
+    most = n - -(-LEAST * n // 100) + 1 + n // SPARE
     keep[order[place < np.repeat(most, n)]] = True
     return keep
 
 
-def _windows(docs: DataFrame, parts: int, table) -> DataFrame:
-    """Messages (part, h, set): window shingles, by their upper 40 bits, with the set they are in."""
+def _windows(docs: DataFrame, parts: int, table, bits: int) -> DataFrame:
+    """Messages (part, h, sets, idx): window shingles, by their upper 40 bits, with the place of their set among sets."""
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -151,7 +162,10 @@ def _windows(docs: DataFrame, parts: int, table) -> DataFrame:
             part = (mix(h) % U(parts)).astype(np.int64)
             order = np.lexsort((name, h, part))
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            return [(p, pack(np.diff(h[at], prepend=U(0))), pack(name[at])) for p in range(parts) if len(at := order[ends[p] : ends[p + 1]])]
+            for p in range(parts):
+                if len(at := order[ends[p] : ends[p + 1]]):
+                    sets, idx = np.unique(name[at], return_inverse=True)
+                    yield p, pack(np.diff(h[at], prepend=U(0))), pack(sets), pack(idx.astype(np.uint32))
 
         for batch in batches:
             for t in steps(batch):
@@ -159,22 +173,25 @@ def _windows(docs: DataFrame, parts: int, table) -> DataFrame:
                 # equal sets once for each message
                 fresh = _first_of(name) & (n > 0) & np.array([x not in known for x in name.tolist()], bool)
                 known.update(name[fresh].tolist())
-                keep = windows(doc, h, n, table.value) & fresh[doc]
+                keep = windows(doc, h, n, table.value, bits) & fresh[doc]
                 held.append((h[keep] >> U(24), name[doc[keep]]))
                 size += len(held[-1][0])
                 if size >= MESSAGE:
-                    yield from _blob(message(), ["part", "h", "set"]).to_batches()
+                    yield from _blob(list(message()), ["part", "h", "sets", "idx"]).to_batches()
                     held, size, known = [], 0, set()
+                    trim()
         if size:
-            yield from _blob(message(), ["part", "h", "set"]).to_batches()
+            yield from _blob(list(message()), ["part", "h", "sets", "idx"]).to_batches()
+        trim()
 
-    return docs.select("text").mapInArrow(run, "part int, h binary, set binary")
+    return docs.select("text").mapInArrow(run, "part int, h binary, sets binary, idx binary")
 
 
 def _regions(t: pa.Table) -> pa.Table:
-    """Rows (region, set): shingles that two sets or more have in their windows. Equal regions come once."""
+    """Rows (region, set, n): shingles that two sets or more have in their windows. Regions of the same sets come
+    once, with their number."""
     h = np.concatenate([np.cumsum(unpack(b, U), dtype=U) for b in t.column("h").to_pylist()])
-    name = np.concatenate([unpack(b, U) for b in t.column("set").to_pylist()])
+    name = np.concatenate([unpack(s, U)[unpack(i, np.uint32)] for s, i in zip(t.column("sets").to_pylist(), t.column("idx").to_pylist(), strict=True)])
     order = np.lexsort((name, h))
     h, name = h[order], name[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (name[1:] != name[:-1])]) if len(h) else np.zeros(0, bool)
@@ -183,11 +200,12 @@ def _regions(t: pa.Table) -> pa.Table:
     count = np.diff(np.append(first, len(h)))
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(name), dtype=U)])
     ident = mix(sums[first + count] - sums[first] + count.astype(U) * MUL2)
-    ok = np.zeros(len(first), bool)
-    ok[np.unique(ident, return_index=True)[1]] = True
+    _, once, times = np.unique(ident, return_index=True, return_counts=True)
+    ok, n = np.zeros(len(first), bool), np.zeros(len(first), np.int64)
+    ok[once], n[once] = True, times
     ok &= count > 1
     rows = np.repeat(ok, count)
-    return pa.table([pa.array(np.repeat(ident[ok], count[ok]).view(np.int64)), pa.array(name[rows].view(np.int64))], names=["region", "set"])
+    return pa.table([pa.array(np.repeat(ident[ok], count[ok]).view(np.int64)), pa.array(name[rows].view(np.int64)), pa.array(np.repeat(n[ok], count[ok]))], names=["region", "set", "n"])
 
 
 class Groups:
@@ -216,51 +234,65 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def solve(region: list[int], distance, groups: Groups, links: list[tuple[int, int]]) -> None:
-    """Joins one region by pivots, cells and windows; distance(p, x) gives (distance, whether linked)."""
-    rest = sorted(region)
-    reach = 1 - LEAST / 100
-    while len(rest) > 1 and len({groups.find(x) for x in rest}) > 1:
-        pivot, rest = rest[0], rest[1:]
-        d = {}
-        for x in rest:
-            d[x], linked = distance(pivot, x)
-            if linked and groups.join(pivot, x):
-                links.append((pivot, x))
-        cell = [x for x in rest if d[x] <= reach]
-        outer = [x for x in rest if d[x] > reach]
-        # the window: of the cell, those that an outer document may reach
-        near = min((d[x] for x in outer), default=2.0) - reach - 1e-9
-        rest = outer + [x for x in cell if d[x] >= near]
+class Task:
+    """The items of a task: their shingles as numbers, one after another, and which items were pivots already."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.start = np.cumsum(self.size) - self.size
+        self.mark, self.done = np.zeros(len(self.flat), bool), np.zeros(len(sets), bool)
+        self.groups, self.links = Groups(), []
+
+    def measure(self, pivot: int) -> np.ndarray:
+        """Distances from the pivot to all items; what it is linked with joins its group."""
+        own = self.flat[self.start[pivot] : self.start[pivot] + self.size[pivot]]
+        self.mark[own] = True
+        both = np.add.reduceat(self.mark[self.flat].astype(np.int32), self.start)
+        self.mark[own] = False
+        union = self.size[pivot] + self.size - both
+        for x in np.flatnonzero(100 * both >= LEAST * union).tolist():
+            if self.groups.join(pivot, x):
+                self.links.append((pivot, x))
+        self.done[pivot] = True
+        return 1 - both / union
+
+
+def solve(region: list[int], task: Task) -> None:
+    """Joins one region by pivots, cells and windows. A pivot is measured against all items of the task, so it is
+    a pivot once, whatever regions it is in. It is taken from the smallest group that is left: a region of one
+    large group and a few strays takes as many rounds as there are strays."""
+    reach, rest = 1 - LEAST / 100, np.array(sorted(region))
+    rest = rest[~task.done[rest]]
+    while len(rest) > 1:
+        group, of, count = np.unique([task.groups.find(i) for i in rest.tolist()], return_inverse=True, return_counts=True)
+        if len(group) == 1:
+            break
+        pivot = int(rest[np.argmin(count[of])])
+        d = task.measure(pivot)[rest]
+        # the window: of the cell, those that an outer item may reach
+        outer = d > reach
+        keep = outer | (d >= (d[outer].min() if outer.any() else 2.0) - reach - 1e-9)
+        rest = rest[keep & (rest != pivot)]
 
 
 def _solved(t: pa.Table) -> pa.Table:
-    """Links found in one task's regions: rows (region, set, shingles)."""
-    sets: dict[int, np.ndarray] = {}
-    regions: dict[int, set[int]] = defaultdict(set)
-    for rs, s, b in zip(t.column("regions").to_pylist(), t.column("set").to_pylist(), t.column("shingles").to_pylist(), strict=True):
-        sets[s] = unpack(b, U) if s not in sets else sets[s]
+    """Links found in one task's regions: rows (src, dst)."""
+    names = t.column("set").to_pylist()
+    task = Task([unpack(b, U) for b in t.column("shingles").to_pylist()])
+    regions: dict[int, list[int]] = defaultdict(list)
+    for i, rs in enumerate(t.column("regions").to_pylist()):
         for r in rs:
-            regions[r].add(s)
-    seen: dict[tuple[int, int], tuple[float, bool]] = {}
-
-    def distance(a: int, b: int) -> tuple[float, bool]:
-        key = (a, b) if a < b else (b, a)
-        if key not in seen:
-            i = overlap(sets[a], sets[b])
-            u = len(sets[a]) + len(sets[b]) - i
-            seen[key] = (1 - i / u, 100 * i >= LEAST * u)
-        return seen[key]
-
-    groups, links = Groups(), []
+            regions[r].append(i)
     for r in sorted(regions, key=lambda r: (-len(regions[r]), r)):
-        solve(list(regions[r]), distance, groups, links)
+        solve(regions[r], task)
+    links = [(names[a], names[b]) for a, b in task.links if names[a] != names[b]]
     return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["src", "dst"])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (doc_id, set, shingles) of the wanted documents and a few others: a bitmap of fixed size keeps the
-    rest of the texts from being hashed again and from moving."""
+    """Rows (set, shingles) of the wanted documents and a few others: a bitmap of fixed size keeps the rest of the
+    texts from being hashed again and from moving. Shingles are kept by 48 bits."""
     bit = F.pmod(F.xxhash64("_id"), F.lit(1 << 23))
     marks = wanted.select((bit + 1).alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m"))
     bits = np.zeros(1 << 20, np.uint8)
@@ -275,9 +307,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             return None
         _, h, n, name = shingle_sets(t.column("text").combine_chunks())
         ends = np.cumsum(n)
-        return pa.table([t.column("_id"), pa.array(name.view(np.int64)), pa.array([pack(h[e - c : e]) for e, c in zip(ends, n, strict=True)], pa.binary())], names=["_id", "set", "shingles"])
+        return pa.table([pa.array(name.view(np.int64)), pa.array([pack(h[e - c : e] >> U(16)) for e, c in zip(ends, n, strict=True)], pa.binary())], names=["set", "shingles"])
 
-    return map_texts(docs.select("_id", bit.alias("b"), "text"), work, "_id long, set long, shingles binary")
+    return map_texts(docs.select(bit.alias("b"), "text"), work, "set long, shingles binary")
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,10 +330,12 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rounds(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Works down regions of more than LEAF sets by rounds of pivots. Returns all links, and regions small enough for a task."""
-    small, reach = None, F.lit(1 - LEAST / 100)
+    small, reach, label = None, F.lit(1 - LEAST / 100), None
     while not large.isEmpty():
-        # three pivots by aggregation: set names are hashes, so any of them is a random choice
-        chosen = large.groupBy("region").agg(F.array_distinct(F.array(F.min("set"), F.max("set"), F.min_by("set", F.xxhash64("set")))).alias("ps"))
+        # three pivots by aggregation, strays first: set names are hashes, so any of them is a random choice
+        order = F.col("set") if label is None else F.struct(F.col("stray").cast("int") * -1, F.col("set"))
+        marked = large if label is None else large.join(label.select("set", F.lit(False).alias("s")), "set", "left").withColumn("stray", F.coalesce("s", F.lit(True)))
+        chosen = marked.groupBy("region").agg(F.array_distinct(F.array(F.min_by("set", order), F.max("set"), F.min_by("set", F.xxhash64("set")))).alias("ps"))
         pivots = chosen.select("region", F.explode("ps").alias("p"))
         pairs = large.join(pivots, "region").filter("p != set").select("region", "p", F.col("set").alias("x"))
         seen = materialize(_measure(pairs.select("p", "x").distinct(), sets), "distances")
@@ -323,6 +357,17 @@ def _rounds(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFr
     return links, small
 
 
+def _crowded(regions: DataFrame, firsts: DataFrame) -> DataFrame:
+    """regions without sets that share too little of their window with all others together to be linked with any:
+    what is linked with a set has three quarters of its size at least, and shares 1 + size // SPARE of that."""
+    need = 1 + F.floor(F.ceil(F.col("size") * LEAST / 100) / SPARE)
+    shared = regions.groupBy("set").agg(F.sum("n").alias("c"))
+    keep = shared.join(firsts.select("set", "size"), "set").filter(F.col("c") >= need).select("set")
+    left = regions.join(keep, "set")
+    many = left.groupBy("region").agg(F.count("*").alias("_n")).filter("_n > 1").select("region")
+    return materialize(left.join(many, "region").select("region", "set", "n"), "crowded")
+
+
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep with n_shingles and component_id, for each row of docs (doc_id, text).
 
@@ -339,22 +384,25 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
         return sized.select(*keep, "n_shingles", F.col("doc_id").alias("component_id"))
     parts = max(12, total // PART)
     known = docs.filter("doc_id is not null")
-    table = docs.sparkSession.sparkContext.broadcast(frequency_table(known, parts))
-    found = _windows(known, max(12, total // 4 // PART), table).groupBy("part").applyInArrow(_regions, "region long, set long")
-    regions = materialize(found.distinct(), "regions")
-    firsts = sized.filter("doc_id is not null and n_shingles > 0").groupBy("set").agg(F.min("doc_id").cast("long").alias("_id"))
-    wanted = firsts.join(regions.select("set").distinct(), "set")
-    sets = materialize(_sets(known.withColumn("_id", F.col("doc_id").cast("long")), wanted).join(wanted, ["_id", "set"], "left_semi").dropDuplicates(["set"]).select("set", "shingles"), "sets")
-    counts = regions.groupBy("region").agg(F.count("*").alias("n"), F.min("set").alias("k1"))
+    bits = frequency_bits(total)
+    table = docs.sparkSession.sparkContext.broadcast(frequency_table(known, parts, bits))
+    found = _windows(known, max(12, total // 4 // PART), table, bits).groupBy("part").applyInArrow(trimmed(_regions), "region long, set long, n long")
+    regions = materialize(found.groupBy("region", "set").agg(F.sum("n").alias("n")), "regions")
+    firsts = sized.filter("doc_id is not null and n_shingles > 0").groupBy("set").agg(F.min("doc_id").cast("long").alias("_id"), F.max("n_shingles").alias("size"))
+    regions = _crowded(_crowded(regions, firsts), firsts).select("region", "set")
+    wanted = firsts.drop("size").join(regions.select("set").distinct(), "set")
+    sets = materialize(_sets(known.withColumn("_id", F.col("doc_id").cast("long")), wanted), "sets")
+    counts = regions.join(firsts.select("set", "size"), "set").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    leaf = (F.col("n") <= LEAF) & (F.col("w") <= WEIGHT)
     none = sets.select(F.col("set").alias("src"), F.col("set").alias("dst")).limit(0)
-    big = regions.join(counts.filter(f"n > {LEAF}"), "region").select("region", "set")
+    big = regions.join(counts.filter(~leaf), "region").select("region", "set")
     links, more = _rounds(materialize(big, "large"), sets, none)
-    small = regions.join(counts.filter(f"n <= {LEAF}"), "region").select("region", "set")
+    small = regions.join(counts.filter(leaf), "region").select("region", "set")
     if more is not None:
         small = small.unionByName(more)
     links = links.unionByName(_leaves(small, sets))
     # all sets of one doc_id hang together, and a component is named by its least doc_id
-    ids = firsts.withColumnRenamed("_id", "first")
+    ids = firsts.select("set", F.col("_id").alias("first"))
     own = sized.filter("doc_id is not null and n_shingles > 0").select("doc_id", "set").distinct().join(ids, "set")
     edges = links.join(ids.select(F.col("set").alias("src"), F.col("first").alias("a")), "src").join(ids.select(F.col("set").alias("dst"), F.col("first").alias("b")), "dst")
     edges = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(own.filter("doc_id != first").select(F.col("doc_id").alias("src"), F.col("first").alias("dst")))
@@ -364,14 +412,16 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def _leaves(small: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of small regions. Regions that share sets are solved by one task where they are few together, so
-    that a set moves about once; where they are many, each region is a task's work of its own."""
+    """Links of small regions. Regions that share sets are solved by one task where they hold few shingles
+    together, so that a set moves about once; else each region is a task's work of its own."""
     small = materialize(small, "leaves")
-    one = small.groupBy("region").agg(F.min("set").alias("k1"))
-    by_set = small.join(one, "region").groupBy("set").agg(F.min("k1").alias("k2"))
-    by_region = small.join(by_set, "set").groupBy("region").agg(F.min("k2").alias("k3"))
+    by_region = small.groupBy("region").agg(F.min("set").alias("k3"))
+    for _ in range(3):  # regions that share sets come to share a key; what they do not share only costs moves
+        by_set = small.join(by_region, "region").groupBy("set").agg(F.min("k3").alias("k"))
+        by_region = materialize(small.join(by_set, "set").groupBy("region").agg(F.min("k").alias("k3")), "keys")
     keyed = small.join(by_region, "region")
-    crowd = keyed.groupBy("k3").agg(F.count("*").alias("n")).select("k3", (F.col("n") > GATHER * 8).alias("alone"))
+    size = sets.select("set", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    crowd = keyed.select("k3", "set").distinct().join(size, "set").groupBy("k3").agg((F.sum("n") > GATHER).alias("alone"))
     tasks = keyed.join(crowd, "k3").select(F.when(F.col("alone"), F.col("region")).otherwise(F.col("k3")).alias("task"), "region", "set")
     rows = tasks.groupBy("task", "set").agg(F.collect_set("region").alias("regions")).join(sets, "set")
-    return rows.groupBy("task").applyInArrow(_solved, "src long, dst long")
+    return rows.groupBy("task").applyInArrow(trimmed(_solved), "src long, dst long")

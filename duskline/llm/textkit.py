@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 U = np.uint64
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -17,7 +20,7 @@ _SPACE[[32, *range(9, 14)]] = True
 #: Odd multipliers of the rolling hashes.
 MUL, MUL2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that one numpy step works on: bounds a worker's memory, whatever the batch.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -117,6 +120,24 @@ def steps(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = ST
         at = to
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and share a machine's limit."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A group function that leaves no freed memory behind."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        trim()
+        return out
+
+    return run
+
+
 def map_texts(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Table | None], schema, column: str = "text") -> DataFrame:
     """mapInArrow over bounded slices of each partition."""
 
@@ -126,6 +147,7 @@ def map_texts(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Tab
                 out = f(part)
                 for t in [out] if isinstance(out, pa.Table) else out or ():
                     yield from t.to_batches()
+            trim()
 
     return df.mapInArrow(run, schema)
 
