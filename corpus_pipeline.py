@@ -27,11 +27,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one with the least doc_id. Of rows that repeat a doc_id the least
     by their other columns stays; documents without id or without words are linked with nothing and stay."""
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    later = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct(), "later")
-    left = docs.select(*COLUMNS).join(later, "doc_id", "left_anti")
+    # ids to take out, and ids that several rows have: both are few, and are written so that their size is known
+    marks = groups.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    later = materialize(marks.filter("doc_id != least or n > 1").filter("doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("least")).alias("first")), "later")
+    docs = docs.select(*COLUMNS)
+    left = docs.join(later, "doc_id", "left_anti")
     rest = F.struct(*[c for c in COLUMNS if c != "doc_id"])
-    one = left.filter("doc_id is not null").groupBy("doc_id").agg(F.min(rest).alias("r")).select("doc_id", "r.*")
-    return one.unionByName(left.filter("doc_id is null")).select(*COLUMNS)
+    again = docs.join(later.filter("first").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("r"))
+    return left.unionByName(again.select("doc_id", "r.*").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
