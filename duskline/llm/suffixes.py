@@ -368,16 +368,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    base = base.withColumn("_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+    # null ids last
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_order")
     n_docs, n_bytes = base.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(16, n_bytes // 35 // BUCKET // 4)
     found = _send(base.select("uid", "text"), parts).groupBy("part").applyInArrow(_repeating, "task long, uids binary, idx binary, pos binary")
     places = found.groupBy("task").applyInArrow(_by_text, "uid long, places binary")
     # of equal texts only the first document goes on: the others are removed whole
-    firsts = base.groupBy(F.md5("text").alias("_m")).agg(F.min(F.struct("_order", "uid")).alias("_f")).select(F.col("_f.uid").alias("uid"))
+    firsts = base.groupBy(F.md5("text").alias("_m")).agg(F.min(F.struct(order, "uid")).alias("_f")).select(F.col("_f.uid").alias("uid"))
     places = places.join(firsts, "uid").groupBy("uid").agg(F.first("places").alias("places"))
     cuts = spark.sparkContext.broadcast(_splitters(base, 2 * parts, n_docs))
-    sent = _deal(base.join(places, "uid").select("uid", "_order", "text", "places"), cuts)
+    # both joins take the same columns of base, so that its texts are shuffled once
+    sent = _deal(base.join(places, "uid").select("uid", order, "text", "places"), cuts)
     spans = sent.groupBy("bucket").applyInArrow(_match, "uid long, start long, end long")
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = base.join(spans, "uid", "left").join(firsts.select("uid", F.lit(False).alias("whole")), "uid", "left")
