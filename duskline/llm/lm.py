@@ -4,8 +4,10 @@ The network reads one token after another and predicts first the class of the ne
 its class. Frequent words have classes of their own, in which the network chooses. All other words are
 put into classes by their spelling, in which a word's share is its count over the whole corpus, plus one;
 one more share in each class is for words that were never seen, so the probabilities of a class sum to
-one. The network is trained on a bounded sample by backpropagation through windows whose state is carried
-on; scoring carries a document's state through all of its windows.
+one. The frequent words are those of all training texts. The network is trained on all training texts by
+backpropagation through windows whose state is carried on: in each round the tasks go on from the same
+network, each over its own blocks of texts, and their networks are averaged. Scoring carries a document's
+state through all of its windows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from .textkit import U, Words, mix, pack, steps, unpack
 
 #: Units; classes of frequent words and words in each; spelling classes of all others.
 HIDDEN, CLASSES, PER_CLASS, SPELLED = 24, 40, 32, 8
-#: Training: documents sampled at most, streams, window, updates, rate.
-SAMPLE, STREAMS, WINDOW, UPDATES, RATE = 2000, 64, 24, 350, 0.02
+#: Training: streams at least, window, updates at least (a small corpus is read several times), rate.
+STREAMS, WINDOW, UPDATES, RATE = 64, 24, 350, 0.02
+#: Rounds of training, tokens in a block, streams that a whole block is cut into, groups that average.
+ROUNDS, BLOCK, WIDE, GROUPS = 8, 250_000, 256, 16
 #: Tokens in a message, which is scored at once, and in a part of the counts.
 MESSAGE, PART = 1_000_000, 6_000_000
 END = U(0xE2D0_0000_0000_0000)  # stands for the end token; its low bits name no spelling class
@@ -140,53 +144,174 @@ class Model:
         return out, ds
 
 
-def fit(texts: list[str], seed: int = 11, updates: int = UPDATES) -> Model:
-    """Trains on the texts: streams of whole documents, a reset at each start, windows with carried state."""
+def untrained(words: np.ndarray, n: np.ndarray, spelled: np.ndarray, seed: int = 11) -> Model:
+    """A network at its start. Its frequent words are the most counted of words, n times each; spelled has the
+    counts of all tokens by spelling class. Biases start at these counts."""
     rng = np.random.default_rng(seed)
-    parts = [tokens(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)] or [tokens(pa.array([""]))]
-    h = np.concatenate([x[0] for x in parts])
-    words, n = np.unique(h, return_counts=True)
-    most = np.argsort(-n, kind="stable")[: CLASSES * PER_CLASS]
+    most = np.lexsort((words, -n))[: CLASSES * PER_CLASS]
     # classes by frequency: each holds neighbours in the order of counts
-    head = words[most]
+    head, k = words[most], CLASSES * PER_CLASS
     by_hash = np.argsort(head)
     f32 = lambda *shape, scale=0.1: (rng.standard_normal(shape) * scale).astype(np.float32)
-    params = {"x": f32(CLASSES * PER_CLASS + SPELLED + 1, 3 * HIDDEN), "h": f32(HIDDEN, 3 * HIDDEN, scale=0.2), "c": f32(HIDDEN, CLASSES + SPELLED), "cb": np.zeros(CLASSES + SPELLED, np.float32), "w": f32(CLASSES, HIDDEN, PER_CLASS), "wb": np.zeros((CLASSES, PER_CLASS), np.float32)}
-    model = Model(head[by_hash], by_hash.astype(np.int64), params)
-    ids = model.ids(h)
-    # biases start at the sample's frequencies
-    cls = np.where(ids < CLASSES * PER_CLASS, ids // PER_CLASS, ids - CLASSES * PER_CLASS + CLASSES)
-    params["cb"][:] = np.log((np.bincount(cls, minlength=CLASSES + SPELLED) + 1) / len(ids))
-    params["wb"][:] = np.log(np.bincount(ids, minlength=CLASSES * PER_CLASS + SPELLED)[: CLASSES * PER_CLASS].reshape(CLASSES, PER_CLASS) + 0.1)
-    end = model.ids(np.array([END]))[0]
-    span = len(ids) // STREAMS
-    if span < WINDOW + 1:
-        return model
-    streams = ids[: span * STREAMS].reshape(STREAMS, span).T
-    adam, state, at = gru.Adam(params, RATE), np.zeros((STREAMS, HIDDEN), np.float32), 1
-    for u in range(updates):
-        if at + WINDOW > span:
-            at, state = 1, state * 0
-        y, prev = streams[at : at + WINDOW], streams[at - 1 : at + WINDOW - 1]
-        fresh = (prev == end).astype(np.float32)
-        prev = np.where(prev == end, CLASSES * PER_CLASS + SPELLED, prev)
-        s, cache = gru.forward(params["x"][prev], params["h"], state, reset=fresh)
-        grads = {"w": np.zeros_like(params["w"]), "wb": np.zeros_like(params["wb"])}
-        _, ds = model._loss(s.reshape(-1, HIDDEN), y.reshape(-1), grads)
-        dxp, grads["h"] = gru.backward(ds.reshape(s.shape), cache, params["h"], reset=fresh)
-        grads["x"] = np.zeros_like(params["x"])
-        np.add.at(grads["x"], prev.reshape(-1), dxp.reshape(-1, 3 * HIDDEN))
-        adam.update(grads, RATE * min(1.0, (u + 1) / 30) * (1 - 0.9 * u / updates))
-        state, at = s[-1], at + WINDOW
+    params = {"x": f32(k + SPELLED + 1, 3 * HIDDEN), "h": f32(HIDDEN, 3 * HIDDEN, scale=0.2), "c": f32(HIDDEN, CLASSES + SPELLED), "cb": np.zeros(CLASSES + SPELLED, np.float32), "w": f32(CLASSES, HIDDEN, PER_CLASS), "wb": np.zeros((CLASSES, PER_CLASS), np.float32)}
+    often = np.zeros(k)
+    often[: len(most)] = n[most]
+    rare = spelled - np.bincount((head & U(7)).astype(np.int64), n[most], minlength=SPELLED)
+    params["cb"][:] = np.log((np.concatenate([often.reshape(CLASSES, PER_CLASS).sum(1), rare]) + 1) / spelled.sum())
+    params["wb"][:] = np.log(often.reshape(CLASSES, PER_CLASS) + 0.1)
+    return Model(head[by_hash], by_hash.astype(np.int64), params)
+
+
+def windows(ids: np.ndarray, end: int, streams: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Previous tokens and tokens (-1 after the last) of windows over parallel streams: each token is in one window."""
+    span = -(-len(ids) // streams)
+    y = np.full(span * streams, -1)
+    y[: len(ids)] = ids
+    prev = np.concatenate([[end], np.where(y < 0, end, y)[:-1]])
+    y, prev = y.reshape(streams, span).T, prev.reshape(streams, span).T
+    return [(prev[at : at + WINDOW], y[at : at + WINDOW]) for at in range(0, span, WINDOW)]
+
+
+def train(model: Model, blocks: list[np.ndarray], rate, updates: int | None = None, passes: int = 1) -> int:
+    """Trains model on blocks of token numbers by whole passes over all of them, or by a number of updates, and
+    says how many tokens it read. rate is of the update and the number of all updates."""
+    end, p = int(model.ids(np.array([END]))[0]), model.p
+    cut = [windows(b, end, int(np.clip(len(b) // (40 * WINDOW), STREAMS, WIDE))) for b in blocks if len(b)]
+    n = sum(len(w) for w in cut)
+    updates = n * passes if updates is None else updates if n else 0
+    adam, u, read = gru.Adam(p, RATE), 0, 0
+    while u < updates:
+        for block in cut:
+            state = np.zeros((block[0][0].shape[1], HIDDEN), np.float32)
+            for prev, y in block[: updates - u]:
+                fresh = (prev == end).astype(np.float32)
+                prev, valid = np.where(prev == end, CLASSES * PER_CLASS + SPELLED, prev), y.reshape(-1) >= 0
+                s, cache = gru.forward(p["x"][prev], p["h"], state, reset=fresh)
+                grads = {"w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+                ds = np.zeros((len(valid), HIDDEN), np.float32)
+                ds[valid] = model._loss(s.reshape(-1, HIDDEN)[valid], y.reshape(-1)[valid], grads)[1]
+                dxp, grads["h"] = gru.backward(ds.reshape(s.shape), cache, p["h"], reset=fresh)
+                order = np.argsort(prev.reshape(-1), kind="stable")
+                which = prev.reshape(-1)[order]
+                first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                grads["x"] = np.zeros_like(p["x"])
+                grads["x"][which[first]] = np.add.reduceat(dxp.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+                adam.update(grads, rate(u, updates))
+                state, u, read = s[-1], u + 1, read + int(valid.sum())
+    return read
+
+
+def fit(texts: list[str], seed: int = 11, updates: int = UPDATES) -> Model:
+    """Trains on texts that are at hand: streams of whole documents, a reset at each start, windows with carried state."""
+    parts = [tokens(pa.array(texts[i : i + 100], pa.string())) for i in range(0, len(texts), 100)] or [tokens(pa.array([""]))]
+    h = np.concatenate([x[0] for x in parts])
+    model = untrained(*np.unique(h, return_counts=True), np.bincount((h & U(7)).astype(np.int64), minlength=SPELLED), seed)
+    train(model, [model.ids(h)], lambda u, n: RATE * min(1.0, (u + 1) / 30) * (1 - 0.9 * u / n), updates)
     return model
 
 
-def sample(docs: DataFrame, usable: Column) -> list[str]:
-    """At most SAMPLE usable texts, those with the least digest."""
-    rows = docs.filter(usable & F.col("text").isNotNull()).select("text", F.abs(F.xxhash64("doc_id", F.lit("lm"))).alias("_h"))
-    n = rows.count()
-    few = rows.filter(F.col("_h") <= min(1.0, 3 * SAMPLE / max(n, 1)) * float(2**63)).orderBy("_h", "text").limit(SAMPLE)
-    return [r.text for r in few.collect()]
+def _vocabulary(docs: DataFrame, parts: int) -> Model:
+    """The untrained network of all texts: tokens are counted in parts of their hashes, each of which sends its
+    most frequent ones to the driver."""
+
+    def count(batches):
+        held, size = [], 0
+
+        def message():
+            nonlocal held, size
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (mix(h) % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, n, ends = h[order], n[order], np.searchsorted(part[order], np.arange(parts + 1))
+            held, size, at = [], 0, [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [pa.array(range(parts), pa.int32()), pa.array([pack(np.diff(h[x], prepend=U(0))) for x in at], pa.binary()), pa.array([pack(n[x].astype(np.uint32)) for x in at], pa.binary())]
+            yield from pa.table(columns, names=["part", "h", "n"]).to_batches()
+
+        for batch in batches:
+            for t in steps(batch):
+                held.append(tokens(t.column("text").combine_chunks())[0])
+                size += len(held[-1])
+                if size >= MESSAGE:
+                    yield from message()
+        if held:
+            yield from message()
+
+    def most(t: pa.Table) -> pa.Table:
+        words, at = np.unique(np.concatenate([np.cumsum(unpack(b, U), dtype=U) for b in t.column("h").to_pylist()]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([unpack(b, np.uint32) for b in t.column("n").to_pylist()]), minlength=len(words))
+        spelled = np.bincount((words & U(7)).astype(np.int64), n, minlength=SPELLED)
+        best = np.lexsort((words, -n))[: CLASSES * PER_CLASS]
+        return pa.table([pa.array([words[best].tobytes()], pa.binary()), pa.array([n[best].tobytes()], pa.binary()), pa.array([spelled.tolist()], pa.list_(pa.float64()))], names=["h", "n", "spelled"])
+
+    rows = docs.select("text").mapInArrow(count, "part int, h binary, n binary").groupBy("part").applyInArrow(most, "h binary, n binary, spelled array<double>").collect()
+    h = np.concatenate([np.frombuffer(r.h, U) for r in rows] or [np.array([END])])
+    n = np.concatenate([np.frombuffer(r.n, float) for r in rows] or [np.ones(1)])
+    return untrained(h, n, np.sum([r.spelled for r in rows] or [np.bincount([0], minlength=SPELLED)], axis=0))
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in p.values()])
+
+
+def _shaped(flat: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([x.size for x in p.values()])
+    return {k: part.reshape(x.shape).astype(np.float32) for (k, x), part in zip(p.items(), np.split(flat, ends[:-1]), strict=True)}
+
+
+def learn(docs: DataFrame, parts: int) -> Model:
+    """The network of all texts of docs: every token is read in a whole pass, in several where texts are few.
+
+    Tasks write their texts as blocks of token numbers and deal the blocks to rounds. In a round each task trains
+    the same network on its blocks; the mean of the networks by tokens read is where the next round starts.
+    """
+    model, context = _vocabulary(docs, parts), docs.sparkSession.sparkContext
+    shared = context.broadcast(model)
+
+    def blocks(batches):
+        at, held, size = TaskContext.get().partitionId(), [], 0
+
+        def block():
+            nonlocal at, held, size
+            ids, to, at, held, size = np.concatenate(held), at % ROUNDS, at + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["round", "n", "ids"])
+
+        for batch in batches:
+            for t in steps(batch):
+                held.append(shared.value.ids(tokens(t.column("text").combine_chunks())[0]).astype(np.uint16))
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield block()
+        if held:
+            yield block()
+
+    cut = materialize(docs.select("text").mapInArrow(blocks, "round int, n long, ids binary"), "blocks")
+    sizes = {r["round"]: r["n"] for r in cut.groupBy("round").agg(F.sum("n").alias("n")).collect()}  # a row for each round
+    passes = max(1, -(-UPDATES * WINDOW * STREAMS // max(1, sum(sizes.values()))))
+    for done, k in enumerate(sorted(sizes)):
+        now = context.broadcast(model)
+
+        def rate(u, n, done=done):
+            return RATE * min(1.0, (u + 1) / (5 if done else 30)) * (1 - 0.9 * (done + u / n) / len(sizes))
+
+        def work(batches, now=now, rate=rate):
+            own = [np.frombuffer(b, np.uint16).astype(np.int64) for batch in batches for b in batch.column(0).to_pylist()]
+            if own:
+                m = Model(now.value.head, now.value.number, {k: x.copy() for k, x in now.value.p.items()})
+                n = train(m, own, rate, passes=passes)
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([_flat(m.p).tobytes()], pa.binary())], names=["task", "n", "p"])
+
+        def total(t: pa.Table) -> pa.Table:
+            t = t.sort_by("task")
+            n = t.column("n").to_pylist()
+            p = sum(float(w) * np.frombuffer(b, np.float32).astype(float) for w, b in zip(n, t.column("p").to_pylist(), strict=True))
+            return pa.table([pa.array([t.column("task")[0].as_py()], pa.int64()), pa.array([sum(n)], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=["task", "n", "p"])
+
+        sums = cut.filter(F.col("round") == k).select("ids").mapInArrow(work, "task long, n long, p binary").groupBy(F.col("task") % GROUPS).applyInArrow(total, "task long, n long, p binary")
+        sums = sorted(sums.collect(), key=lambda r: r.task)  # GROUPS rows at most
+        p = sum(np.frombuffer(r.p, float) for r in sums) / sum(r.n for r in sums)
+        model = Model(model.head, model.number, _shaped(p, model.p))
+        now.unpersist()
+    return model
 
 
 _DOCS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "net": pa.float64(), "spelled": pa.list_(pa.int64())}
@@ -282,9 +407,9 @@ def score(docs: DataFrame, held_out: Column, model: Model | None = None) -> Data
     gives no rows; other columns are not read. doc_id is a whole number.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = model or fit(sample(rows, ~F.col("held_out")))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = int(max(12, n_bytes // 6 // PART))
+    model = model or learn(rows.filter(~F.col("held_out")), parts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sent = _messages(rows, parts, shared).groupBy("part").applyInArrow(_counted, "task long, docs binary, logs binary, rare binary, known binary, totals array<long>")
     sent = materialize(sent, "counts")

@@ -281,6 +281,25 @@ def test_model_probabilities_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    """A vocabulary that no small share of the texts shows, and blocks of all rounds: all tokens are trained on."""
+    rows = [(i, " ".join(f"w{i % 50}x{j}" for j in range(8)) + " common words here") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = collections.Counter(w for _, t in rows for w in t.split())
+    hashes = dict(zip(want, lm.tokens(pa.array([" ".join(want)]))[0].tolist(), strict=False))
+    monkeypatch.setattr(lm, "BLOCK", 3000)
+    monkeypatch.setattr(lm, "UPDATES", 1)
+    model = lm.learn(docs, 12)
+    assert {hashes[w] for w in want} < set(model.head.tolist()) and len(model.head) == len(want) + 1
+    ids, n, _ = lm.tokens(pa.array([t for _, t in rows]))
+    start = lm._vocabulary(docs, 12)
+    assert model.log10(model.ids(ids), n).sum() > 0.95 * start.log10(start.ids(ids), n).sum()
+    tail = lm.windows(np.arange(1003), 7, 64)
+    assert sorted(x for _, y in tail for x in y.reshape(-1) if x >= 0) == list(range(1003))
+    assert lm.train(start, [start.ids(ids)[:5001]], lambda u, n: 0.01) == 5001
+    assert lm.score(docs.limit(0), F.lit(False)).count() == 0
+
+
 def slow_dedup(rows, n=100):
     seen, out = set(), {}
     for k, b in sorted(rows):
