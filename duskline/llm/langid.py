@@ -14,8 +14,9 @@ from .textkit import Words, map_texts
 
 #: Hashed n-gram dimensions; centroids for each language; labelled rows read for each language at most.
 DIMS, CENTROIDS, SAMPLE = 4096, 4, 400
-#: A text is rejected beyond this share of the least likeness of nearly all learned rows to their centroid.
-SLACK, TAIL = 0.4, 0.005
+#: A text is rejected below what all but TAIL of rows that were held out reach at its length, at most halfway down
+#: to what ALIEN of them reach at other languages' centroids. Lengths are measured on cuts of so many words.
+TAIL, ALIEN, LEVELS = 0.02, 0.95, (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 UND = "und"
 
 
@@ -45,42 +46,76 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids with the language and least accepted likeness of each, and the IDF weights."""
+    """Centroids with the language of each, IDF weights, and least accepted likeness by the log of n-grams."""
 
     langs: list[str]
     centroids: np.ndarray
     owner: np.ndarray
+    sizes: np.ndarray
     least: np.ndarray
     idf: np.ndarray
 
     def nearest(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, likeness 0 to 1, and whether the text is too far from every centroid."""
-        likeness = _unit(vectors(texts) * self.idf) @ self.centroids.T
+        likeness, size = self.likeness(texts)
         best = likeness.argmax(1)
         score = np.clip(likeness[np.arange(len(best)), best], 0, 1).astype(float)
-        return self.owner[best], score, score < self.least[best]
+        return self.owner[best], score, score < np.interp(size, self.sizes, self.least)
 
+    def likeness(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cosine of each text to each centroid, and the log of its n-grams."""
+        x = vectors(texts)
+        size = np.log1p((x * x).sum(1))
+        return _unit(x * self.idf) @ self.centroids.T, size
 
-def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7) -> Model:
-    """Learns from (text, lang) rows: IDF, then spherical k-means in each language from evenly spread starts."""
+
+def _centred(rows: list[tuple[str, str]], centroids: int, seed: int) -> Model:
+    """IDF, then spherical k-means in each language from evenly spread starts; rejects nothing yet."""
     rng = np.random.default_rng(seed)
     langs = sorted({r[1] for r in rows})
     x = np.concatenate([vectors(pa.array([r[0] for r in rows[i : i + 200]], pa.string())) for i in range(0, len(rows), 200)])
     y = np.array([langs.index(r[1]) for r in rows])
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     x = _unit(x * idf)
-    found, owner, least = [], [], []
+    found, owner = [], []
     for k in range(len(langs)):
         own = x[y == k]
         c = own[rng.choice(len(own), min(centroids, len(own)), replace=False)]
         for _ in range(12):
             near = (own @ c.T).argmax(1)
             c = _unit(np.stack([own[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))]))
-        floor = SLACK * np.quantile((own @ c.T).max(1), TAIL)
         found.append(c)
         owner += [k] * len(c)
-        least += [floor] * len(c)
-    return Model(langs, np.concatenate(found).astype(np.float32), np.array(owner), np.array(least), idf)
+    return Model(langs, np.concatenate(found).astype(np.float32), np.array(owner), np.zeros(1), np.zeros(1), idf)
+
+
+def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7) -> Model:
+    """Learns centroids from (text, lang) rows, and the least likeness from rows that half of them have not seen.
+
+    A text's likeness grows with its length, so the floor is set at each of several lengths, from the first
+    words of held-out rows: against their own language, and against all others as rows that no one learned.
+    """
+    model = _centred(rows, centroids, seed)
+    at: dict[str, int] = {}
+    half = [at.__setitem__(lang, at.get(lang, 0) + 1) or at[lang] % 2 for _, lang in rows]
+    seen = _centred([r for r, h in zip(rows, half, strict=True) if h], centroids, seed)
+    held = [r for r, h in zip(rows, half, strict=True) if not h] or rows
+    words = [(t.split(), seen.langs.index(lang)) for t, lang in held]
+    sizes, least = [], []
+    for n in LEVELS:
+        cut = [(" ".join(w[:n]), k) for w, k in words if len(w) >= n]
+        if not cut:
+            break
+        parts = [seen.likeness(pa.array([c[0] for c in cut[i : i + 200]], pa.string())) for i in range(0, len(cut), 200)]
+        likeness, size = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+        own = np.array([c[1] for c in cut])[:, None] == seen.owner
+        low = np.quantile(np.where(own, likeness, 0).max(1), TAIL)
+        alien = np.quantile(np.where(own, 0, likeness).max(1), ALIEN)
+        sizes.append(np.median(size))
+        least.append((low + min(low, alien)) / 2)
+    if sizes:
+        model.sizes, model.least = np.maximum.accumulate(sizes), np.array(least)
+    return model
 
 
 def sample(docs: DataFrame, usable: Column, per_lang: int = SAMPLE) -> list[tuple[str, str]]:
@@ -103,7 +138,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
     lang_pred is the language of the nearest centroid, score the cosine to it. A null text, and one without
     a letter, is `und` with score 0 and rejected; one that is farther from every centroid than nearly all
-    learned rows keeps its nearest language and is rejected. Without a model (no labelled row) all are
+    held-out rows of its length keeps its nearest language and is rejected. Without a model (no labelled row) all are
     `und`. Repeated rows give repeated rows; an empty table gives none.
     """
     fields = [f for f in docs.schema.fields if f.name in keep]

@@ -102,6 +102,25 @@ def test_language(docs, spark):
     assert len(langid.sample(docs, F.lit(True), 3)) <= 6
 
 
+def test_unlearned_languages_and_letter_junk_are_rejected(spark, sf_dir):
+    """Latin letters alone bring no text near a language; clean documents stay, short ones too."""
+    table = spark.read.parquet(f"{sf_dir[:-5]}0.01/documents.parquet").filter("text is not null").orderBy("doc_id")
+    texts = collections.defaultdict(list)
+    for r in table.collect():
+        texts[r.lang].append(r.text)
+    rng = random.Random(4)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(n)) for n in (5, 20, 60, 200) * 10]
+    rejected = lambda model, rows: model.nearest(pa.array(rows, pa.string()))[2].mean()
+    for left_out in texts:
+        learned = {k: v for k, v in texts.items() if k != left_out}
+        model = langid.fit([(t, k) for k, v in learned.items() for t in v[::2]])
+        assert rejected(model, texts[left_out]) > 0.6 and rejected(model, junk) > 0.85
+        clean = [t for v in learned.values() for t in v[1::2]]
+        assert rejected(model, clean) < 0.08
+        short = [t for t in clean if 4 <= len(t.split()) <= 40]
+        assert short and rejected(model, short) < 0.08
+
+
 def slow_coverage(item, text, least):
     """Longest unmarked common run first, all by direct comparison."""
     fi, ft, covered = [1] * len(item), [1] * len(text), 0
