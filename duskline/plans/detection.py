@@ -104,6 +104,13 @@ def normalize_ascii_documents(spark, sf_dir):
     return n.select("doc_id", F.col("v.text").alias("view"), F.element_at("v.runs", -1)["src_end"].cast("long").alias("n"))
 
 
+@query()
+def normalize_documents(spark, sf_dir):
+    """All documents in the normalised view, with the runs that lead back to their text."""
+    v = table(spark, sf_dir, "documents").select("doc_id", normalize_with_map("text").alias("v"))
+    return v.select("doc_id", F.col("v.text").alias("view"), F.col("v.runs").alias("runs"))
+
+
 @query("SELECT conv_id, turn, '[U]' || substr(text, 4) AS text FROM conversations WHERE role = 'user' AND length(text) >= 3")
 def apply_text_edits(spark, sf_dir):
     edit = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("[U]").alias("text")), F.struct(F.lit(1).alias("start"), F.lit(2).alias("end"), F.lit("no").alias("text")))

@@ -110,3 +110,26 @@ def test_latin_names():
     assert latin_names("cache license machine") == []
     assert syllable_count("xiaoming") == 2 and syllable_count("qwrt") == 0
     assert {"zhang", "xiong", "lve", "er", "zhuang"} <= syllables()
+
+
+def test_all_documents_are_normalized(spark, tmp_path):
+    """Each place of the view leads to the source it was made from, in texts that are not ASCII too."""
+    import unicodedata
+
+    from duskline.functions.lexicon import SCRIPT_PAIRS
+    from duskline.functions.text import source_span
+    from duskline.plans.detection import normalize_documents
+
+    simple = {v: k for k, v in SCRIPT_PAIRS.items()}
+    view = lambda t: "".join(simple.get(c, c) for c in unicodedata.normalize("NFKC", t).casefold())
+    texts = ["Plain ASCII", "Straße ÉTÉ", "cafe\u0301 ＡＢ１", "ﬁle Ⅳ", "北京大學", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in normalize_documents(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and got[6].view is None and got[6].runs is None
+    for i, t in enumerate(texts[:-1]):
+        assert got[i].view == view(t)
+        runs = [tuple(r) for r in got[i].runs]
+        assert [p for r in runs for p in range(r[2], r[3])] == list(range(len(t)))
+        for k, c in enumerate(got[i].view):
+            a, b = source_span(runs, k, k + 1)
+            assert c in view(t[a:b])
