@@ -78,6 +78,16 @@ def late_changes(spark, sf_dir):
     return ic.late_changes(log, 100, allowed).select(F.col("usn").alias("event_id"), F.col("parent").alias("user_id"))
 
 
+@query()
+def late_changes_to_end(spark, sf_dir):
+    """All changes after the checkpoint, up to the last one of the log."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("usn"), F.col("user_id").alias("parent"))
+    allowed = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
+    last = e.agg(F.max("usn")).first()[0]
+    log = ic.change_range(e, 100, max(100, (100 if last is None else last + 1)), 0, "j", "j")
+    return ic.late_changes(log, 100, allowed).select(F.col("usn").alias("event_id"), F.col("parent").alias("user_id"))
+
+
 @query("""
 WITH l AS (SELECT event_id AS seq, user_id AS row_id, event_type AS state, event_id % 3 = 0 AS undo FROM events),
 o AS (SELECT *, sum(CASE WHEN undo THEN -1 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY seq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM l)

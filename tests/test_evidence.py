@@ -183,3 +183,18 @@ def test_stream_equals_batch(spark, tmp_path):
     q = st.keep_snapshot(stream, f"{tmp_path}/t", f"{tmp_path}/c")
     got = {tuple(r) for r in st.last_snapshot(spark, q, f"{tmp_path}/t").select("id", "usn", "v").collect()}
     assert (1, 3, "c") in got and (3, 5, "d") in got
+
+
+def test_late_changes_reach_the_end_of_the_log(spark, sf_dir, tmp_path):
+    from duskline.plans.incremental import late_changes_to_end
+
+    events = [(r.event_id, r.user_id) for r in spark.read.parquet(f"{sf_dir}/events.parquet").collect()]
+    allowed = {r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect() if r.c_custkey % 2 == 0}
+    events += [(max(events)[0] + 5000, min(allowed))]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k,) for k in allowed], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want = sorted((e, u) for e, u in events if e >= 100 and u in allowed)
+    assert sorted(map(tuple, late_changes_to_end(spark, str(tmp_path)).collect())) == want and want[-1] == events[-1]
+    spark.createDataFrame([], "event_id long, user_id long").write.parquet(f"{tmp_path}/none/events.parquet")
+    spark.createDataFrame([(2,)], "c_custkey long").write.parquet(f"{tmp_path}/none/customer.parquet")
+    assert late_changes_to_end(spark, f"{tmp_path}/none").count() == 0
