@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 WIDTH, WIDER = 8, 20
 #: Digests for each table on a retry, and rounds of peeling.
 LOAD, ROUNDS = 9, 12
-#: Paragraphs end at a line feed, and in long lines at about every third sentence end, by what follows it.
-PARAGRAPH = r"\\n|(?<=[.!?|]) (?=[A-E0-9|])"
+#: Paragraphs end at a line feed and at every sentence end, whatever follows it.
+PARAGRAPH = r"\\n|(?<=[.!?|…]) |(?<=[。！？])"
 #: Documents in each slice of the id order.
 SLICE = 500
 

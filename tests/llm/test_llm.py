@@ -202,6 +202,14 @@ def test_fingerprints(docs, rows):
     assert iblt.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_cut_at_every_sentence_end(spark):
+    """In lower case, before letters after E and with accents, in another script: whatever follows the end."""
+    texts = ["one is. two is. three is.", "Zum Ersten. Für alle! Über uns? 9 of them.", "Été. Être là. Où?", "北京。上海！广州？", "no end here", "Aa bb. Cc dd."]
+    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_paragraphs for i in range(6)] == [3, 4, 3, 3, 1, 2]
+    assert got[0].near_edited > 0
+
+
 def test_large_differences_are_whole(spark):
     a = "\n".join(f"left {i}" for i in range(700))
     b = "\n".join([f"right {i}" for i in range(300)] + [f"left {i}" for i in range(100)])
