@@ -33,28 +33,30 @@ ROUNDS, BLOCK, WIDE, GROUPS = 8, 250_000, 256, 16
 #: Tokens in a message, which is scored at once, and in a part of the counts.
 MESSAGE, PART = 1_000_000, 6_000_000
 END = U(0xE2D0_0000_0000_0000)  # stands for the end token; its low bits name no spelling class
-_GERMAN, _SPANISH = (0xA4, 0xB6, 0xBC, 0x9F), (0xB3, 0xB1, 0xAD, 0xA1, 0xBA)
+#: Slots of the table of often seen words that every task holds.
+SLOTS = 1 << 18
 
 
-def spelling(words: Words) -> np.ndarray:
-    """Class of each word by its spelling: letters with diacritics, an ending that is no letter, length, digits."""
-    b, s, e = words.body, words.start, words.end
-    if not len(s):
-        return np.zeros(0, np.int64)
+def _flags() -> np.ndarray:
+    """What a byte says of its word: 1 a digit, 2 a letter, and by its script 4, 8 or 16."""
+    b = np.arange(256)
+    digit, letter = (b >= 48) & (b <= 57), ((b >= 97) & (b <= 122)) | (b >= 0x80)
+    return (digit * 1 | letter * 2 | ((b >= 0xC3) & (b <= 0xC9)) * 4 | ((b >= 0xCA) & (b <= 0xDF)) * 8 | (b >= 0xE0) * 16).astype(np.uint8)
 
-    def any_of(mask):
-        sums = np.concatenate([[0], np.cumsum(mask)])
-        return sums[e] > sums[s]
 
-    wide = any_of(b >= 0xC0)
-    follows = np.concatenate([[False], b[:-1] == 0xC3])
-    german, spanish = any_of(follows & np.isin(b, _GERMAN)), any_of(follows & np.isin(b, _SPANISH))
-    letter = ((b >= 97) & (b <= 122)) | (b >= 0x80)
-    marked = ~letter[e - 1]
-    plain = np.where(e - s > 7, 1, 0)
-    out = np.where(german, 3, np.where(spanish, 4, np.where(wide, 5, plain)))
-    out = np.where(marked, np.where(wide, 6, 2), out)
-    return np.where(any_of((b >= 48) & (b <= 57)) | ~any_of(letter), 7, out)
+_FLAGS = _flags()
+
+
+def spelling(words: Words) -> np.ndarray:
+    """Class of each word by its spelling: digits or no letter, an end that is no letter, script, length."""
+    if not len(words.start):
+        return np.zeros(0, np.int64)
+    f = _FLAGS[words.body]
+    edges = np.column_stack([words.start, words.end]).ravel()  # a text's last blank is after the last word, so edges lie inside
+    seen, last = np.bitwise_or.reduceat(f, edges)[::2], f[words.end - 1]
+    out = np.where(seen & 16, 5, np.where(seen & 8, 4, np.where(seen & 4, 3, words.end - words.start > 7)))
+    out = np.where(last & 2, out, np.where(seen & 28, 6, 2))
+    return np.where((seen & 1 > 0) | (seen & 2 == 0), 7, out)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,27 +212,53 @@ def fit(texts: list[str], seed: int = 11, updates: int = UPDATES) -> Model:
     return model
 
 
-def _vocabulary(docs: DataFrame, parts: int) -> Model:
-    """The untrained network of all texts: tokens are counted in parts of their hashes, each of which sends its
-    most frequent ones to the driver."""
+class Often:
+    """Words by the slots of a table of fixed size, each with its count in training texts; of words that share a slot
+    the most counted has it. A word without a slot is a seldom one, whatever its count."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray, train: np.ndarray, model: Model):
+        self.word, self.train = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int64)
+        up = np.lexsort((words, n))
+        slot = self.slots(words[up])[0]
+        self.word[slot], self.train[slot] = words[up], train[up]
+        used = self.word != 0
+        self.code = np.where(model.ids(self.word) < CLASSES * PER_CLASS, 8, (self.word & U(7)).astype(np.int64))
+        self.logs = np.log10(self.train + 1.0)
+        self.totals = np.concatenate([np.bincount(self.code[used], self.train[used], minlength=9), np.bincount(self.code[used], self.train[used] > 0, minlength=9)])
+
+    def slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each token, and whether the token has it."""
+        at = (mix(h) & U(len(self.word) - 1)).astype(np.int64)
+        return at, self.word[at] == h
+
+
+def _vocabulary(docs: DataFrame, parts: int) -> tuple[Model, Often, int]:
+    """The untrained network of all training texts (docs: text, held_out), the often seen words, and how many tokens
+    have other words. Tokens are counted in parts of their hashes, each of which sends its most frequent ones to the
+    driver: twice the slots at most together."""
+    share = -(-2 * SLOTS // parts)
 
     def count(batches):
         held, size = [], 0
 
         def message():
             nonlocal held, size
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            part = (mix(h) % U(parts)).astype(np.int64)
+            h, out = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            (a, na), (b, nb) = (np.unique(x, return_counts=True) for x in (h[~out], h[out]))
+            words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            n, train = np.bincount(at, np.concatenate([na, nb]), minlength=len(words)), np.bincount(at[: len(a)], na, minlength=len(words))
+            part = (mix(words) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            h, n, ends = h[order], n[order], np.searchsorted(part[order], np.arange(parts + 1))
-            held, size, at = [], 0, [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [pa.array(range(parts), pa.int32()), pa.array([pack(np.diff(h[x], prepend=U(0))) for x in at], pa.binary()), pa.array([pack(n[x].astype(np.uint32)) for x in at], pa.binary())]
-            yield from pa.table(columns, names=["part", "h", "n"]).to_batches()
+            words, n, train, ends = words[order], n[order], train[order], np.searchsorted(part[order], np.arange(parts + 1))
+            held, size, cut = [], 0, [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            columns = [pa.array(range(parts), pa.int32()), pa.array([pack(np.diff(words[x], prepend=U(0))) for x in cut], pa.binary()), *[pa.array([pack(v[x].astype(np.uint32)) for x in cut], pa.binary()) for v in (n, train)]]
+            yield from pa.table(columns, names=["part", "h", "n", "train"]).to_batches()
 
         for batch in batches:
             for t in steps(batch):
-                held.append(tokens(t.column("text").combine_chunks())[0])
-                size += len(held[-1])
+                h, counts, _ = tokens(t.column("text").combine_chunks())
+                held.append((h, np.repeat(t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), counts)))
+                size += len(h)
                 if size >= MESSAGE:
                     yield from message()
         if held:
@@ -238,15 +266,18 @@ def _vocabulary(docs: DataFrame, parts: int) -> Model:
 
     def most(t: pa.Table) -> pa.Table:
         words, at = np.unique(np.concatenate([np.cumsum(unpack(b, U), dtype=U) for b in t.column("h").to_pylist()]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([unpack(b, np.uint32) for b in t.column("n").to_pylist()]), minlength=len(words))
-        spelled = np.bincount((words & U(7)).astype(np.int64), n, minlength=SPELLED)
-        best = np.lexsort((words, -n))[: CLASSES * PER_CLASS]
-        return pa.table([pa.array([words[best].tobytes()], pa.binary()), pa.array([n[best].tobytes()], pa.binary()), pa.array([spelled.tolist()], pa.list_(pa.float64()))], names=["h", "n", "spelled"])
+        n, train = (np.bincount(at, np.concatenate([unpack(b, np.uint32) for b in t.column(c).to_pylist()]), minlength=len(words)) for c in ("n", "train"))
+        spelled = np.bincount((words & U(7)).astype(np.int64), train, minlength=SPELLED)
+        best = np.lexsort((words, -n))[:share]
+        return pa.table([*[pa.array([x[best].tobytes()], pa.binary()) for x in (words, n, train)], pa.array([spelled.tolist()], pa.list_(pa.float64())), pa.array([n.sum()], pa.float64())], names=["h", "n", "train", "spelled", "total"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, h binary, n binary").groupBy("part").applyInArrow(most, "h binary, n binary, spelled array<double>").collect()
+    rows = docs.select("text", "held_out").mapInArrow(count, "part int, h binary, n binary, train binary").groupBy("part").applyInArrow(most, "h binary, n binary, train binary, spelled array<double>, total double").collect()
     h = np.concatenate([np.frombuffer(r.h, U) for r in rows] or [np.array([END])])
-    n = np.concatenate([np.frombuffer(r.n, float) for r in rows] or [np.ones(1)])
-    return untrained(h, n, np.sum([r.spelled for r in rows] or [np.bincount([0], minlength=SPELLED)], axis=0))
+    n, train = (np.concatenate([np.frombuffer(r[c], float) for r in rows] or [np.ones(1)]) for c in ("n", "train"))
+    model = untrained(h[train > 0], train[train > 0], np.sum([r.spelled for r in rows] or [np.bincount([0], minlength=SPELLED)], axis=0))
+    often = Often(h, n, train, model)
+    kept = often.slots(h)[1]
+    return model, often, int(sum(r.total for r in rows) - n[kept].sum())
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -258,13 +289,13 @@ def _shaped(flat: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]
     return {k: part.reshape(x.shape).astype(np.float32) for (k, x), part in zip(p.items(), np.split(flat, ends[:-1]), strict=True)}
 
 
-def learn(docs: DataFrame, parts: int) -> Model:
-    """The network of all texts of docs: every token is read in a whole pass, in several where texts are few.
+def learn(docs: DataFrame, model: Model) -> Model:
+    """model, trained on all texts of docs: every token is read in a whole pass, in several where texts are few.
 
     Tasks write their texts as blocks of token numbers and deal the blocks to rounds. In a round each task trains
     the same network on its blocks; the mean of the networks by tokens read is where the next round starts.
     """
-    model, context = _vocabulary(docs, parts), docs.sparkSession.sparkContext
+    context = docs.sparkSession.sparkContext
     shared = context.broadcast(model)
 
     def blocks(batches):
@@ -314,7 +345,7 @@ def learn(docs: DataFrame, parts: int) -> Model:
     return model
 
 
-_DOCS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "net": pa.float64(), "spelled": pa.list_(pa.int64())}
+_DOCS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "net": pa.float64(), "spelled": pa.list_(pa.int64()), "logs": pa.float64(), "rare": pa.float64(), "known": pa.int64()}
 
 
 def _ipc(t: pa.Table) -> bytes:
@@ -324,9 +355,10 @@ def _ipc(t: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _messages(docs: DataFrame, parts: int, model) -> DataFrame:
-    """Messages (task, part, docs, h, n, train, idx): distinct tokens of a task by hash, how often each is there and
-    in training texts, and the texts it is in; what the network says of the texts goes with one message of each task."""
+def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
+    """Messages (task, part, docs, h, n, train, idx): distinct seldom tokens of a task by hash, how often each is there
+    and in training texts, and the texts it is in. What the network and the table of often seen words say of the texts
+    goes with one message of each task, so no group ever holds the places of a word that the table has."""
     names = ["task", "part", "docs", "h", "n", "train", "idx"]
 
     def run(batches):
@@ -335,18 +367,22 @@ def _messages(docs: DataFrame, parts: int, model) -> DataFrame:
         def message():
             nonlocal held, size, flush
             task, flush = base + flush, flush + 1
-            m = model.value
+            m, table = model.value, often.value
             h, counts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             held_out = np.concatenate([x[3] for x in held])
             doc_ids = pa.concat_arrays([c for x in held for c in x[2].chunks]).cast(pa.int64())
-            idx = np.repeat(np.arange(len(counts)), counts)
+            idx, size = np.repeat(np.arange(len(counts)), counts), len(counts)
             ids = m.ids(h)
             net = m.log10(ids, counts)
             rare = ids - CLASSES * PER_CLASS
-            spelled = np.bincount(idx[rare >= 0] * SPELLED + rare[rare >= 0], minlength=len(counts) * SPELLED).reshape(-1, SPELLED)
-            table = pa.table([doc_ids, pa.array(held_out), pa.array(counts), pa.array(net), pa.array(spelled.tolist(), pa.list_(pa.int64()))], names=list(_DOCS))
-            # the low bits of a frequent word say so
-            h = np.where(rare < 0, (h & ~U(15)) | U(8), h)
+            spelled = np.bincount(idx[rare >= 0] * SPELLED + rare[rare >= 0], minlength=size * SPELLED).reshape(-1, SPELLED)
+            slot, has = table.slots(h)
+            logs = np.where(has, table.logs[slot], 0.0)
+            sums = [np.bincount(idx, x, minlength=size) for x in (logs, logs * (rare >= 0), has & (table.train[slot] > 0))]
+            own = [doc_ids, pa.array(held_out), pa.array(counts), pa.array(net), pa.array(spelled.tolist(), pa.list_(pa.int64())), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))]
+            own = _ipc(pa.table(own, names=list(_DOCS)))
+            # the low bits of a word of the network say so
+            h, idx = np.where(rare < 0, (h & ~U(15)) | U(8), h)[~has], idx[~has]
             part = (mix(h) % U(parts)).astype(np.int64)
             order = np.lexsort((idx, h, part))
             h, idx, part = h[order], idx[order], part[order]
@@ -358,8 +394,8 @@ def _messages(docs: DataFrame, parts: int, model) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]])) if b > a else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, b - a))
                 train = np.add.reduceat(trains[a:b].astype(np.int64), first) if b > a else n
-                own = _ipc(table) if p == task % parts else None
-                rows.append((task, p, own, pack(np.diff(h[a:b][first], prepend=U(0))), pack(n.astype(np.uint32)), pack(train.astype(np.uint32)), pack(idx[a:b].astype(np.uint32))))
+                if b > a or p == task % parts:
+                    rows.append((task, p, own if p == task % parts else None, pack(np.diff(h[a:b][first], prepend=U(0))), pack(n.astype(np.uint32)), pack(train.astype(np.uint32)), pack(idx[a:b].astype(np.uint32))))
             held, size = [], 0
             cols = list(zip(*rows, strict=True))
             yield from pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=names).to_batches()
@@ -378,8 +414,8 @@ def _messages(docs: DataFrame, parts: int, model) -> DataFrame:
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """Counts of one part's tokens over all training texts, back to the tasks as sums for each of their texts:
-    log10(c + 1) of all tokens and of those that are not frequent, and how many are known. One row has totals."""
+    """Counts of one part's seldom tokens over all training texts, back to the tasks as sums for each of their texts:
+    log10(c + 1) of all tokens and of those that are not the network's, and how many are known. One row has totals."""
     hs = [np.cumsum(unpack(b, U), dtype=U) for b in t.column("h").to_pylist()]
     trains = [unpack(b, np.uint32) for b in t.column("train").to_pylist()]
     words, at = np.unique(np.concatenate(hs), return_inverse=True)
@@ -408,21 +444,26 @@ def score(docs: DataFrame, held_out: Column, model: Model | None = None) -> Data
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = int(max(12, n_bytes // 6 // PART))
-    model = model or learn(rows.filter(~F.col("held_out")), parts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    sent = _messages(rows, parts, shared).groupBy("part").applyInArrow(_counted, "task long, docs binary, logs binary, rare binary, known binary, totals array<long>")
+    start, often, seldom = _vocabulary(rows, int(max(12, n_bytes // 24 // PART)))
+    context = docs.sparkSession.sparkContext
+    if model is None:
+        model = learn(rows.filter(~F.col("held_out")), start)
+    else:  # its frequent words are others
+        used = often.word != 0
+        often = Often(often.word[used], often.train[used], often.train[used], model)
+    shared, table = context.broadcast(model), context.broadcast(often)
+    sent = _messages(rows, max(12, seldom // PART), shared, table).groupBy("part").applyInArrow(_counted, "task long, docs binary, logs binary, rare binary, known binary, totals array<long>")
     sent = materialize(sent, "counts")
-    totals = np.zeros(18)
+    totals = often.totals.copy()
     for r in sent.filter("totals is not null").select(F.posexplode("totals").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # 18 rows
-        totals[r["k"]] = r["n"]
+        totals[r["k"]] += r["n"]
     n, v = totals[:9].sum(), totals[9:].sum()
     floor = np.log10(totals[:8] + totals[9:17] + 1)
 
     def finish(t: pa.Table) -> pa.Table:
         own = pa.ipc.open_stream(next(b for b in t.column("docs").to_pylist() if b is not None)).read_all()
         size = own.num_rows
-        sums = [np.zeros(size) for _ in range(3)]
+        sums = [own.column(c).to_numpy().astype(float) for c in ("logs", "rare", "known")]
         for kind, name in enumerate(("logs", "rare", "known")):
             for b in t.column(name).to_pylist():
                 x = unpack(b, np.uint32) if name == "known" else np.frombuffer(b, np.float64)

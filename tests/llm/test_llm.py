@@ -286,7 +286,9 @@ def test_gradients_of_the_network():
             assert (hi - lo) / (2 * e) == pytest.approx(g[i], abs=1e-4)
 
 
-def test_language_model(docs, rows):
+@pytest.mark.parametrize("slots", [lm.SLOTS, 64])
+def test_language_model(docs, rows, slots, monkeypatch):
+    monkeypatch.setattr(lm, "SLOTS", slots)  # with 64, most words go the way of seldom ones
     model = lm.fit([t for _, t in rows if t], updates=20)
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
     got = lm.score(docs, crc, model).collect()
@@ -316,10 +318,10 @@ def test_language_model_learns_from_all_texts(spark, monkeypatch):
     hashes = dict(zip(want, lm.tokens(pa.array([" ".join(want)]))[0].tolist(), strict=False))
     monkeypatch.setattr(lm, "BLOCK", 3000)
     monkeypatch.setattr(lm, "UPDATES", 1)
-    model = lm.learn(docs, 12)
+    start = lm._vocabulary(docs.withColumn("held_out", F.lit(False)), 12)[0]
+    model = lm.learn(docs, start)
     assert {hashes[w] for w in want} < set(model.head.tolist()) and len(model.head) == len(want) + 1
     ids, n, _ = lm.tokens(pa.array([t for _, t in rows]))
-    start = lm._vocabulary(docs, 12)
     assert model.log10(model.ids(ids), n).sum() > 0.95 * start.log10(start.ids(ids), n).sum()
     tail = lm.windows(np.arange(1003), 7, 64)
     assert sorted(x for _, y in tail for x in y.reshape(-1) if x >= 0) == list(range(1003))
