@@ -18,46 +18,55 @@ def step(xp: np.ndarray, h: np.ndarray, wh: np.ndarray) -> np.ndarray:
     return c + zr[:, :n] * (h - c)
 
 
+def _across(x: np.ndarray) -> np.ndarray:
+    """(T, B, n) as (T, n, B): the rows of a gate then lie together, which is what the steps below run over."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 def forward(xp: np.ndarray, wh: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None, reset: np.ndarray | None = None):
     """States (T, B, H) of inputs (T, B, 3H). Where keep is 0 the state stays; where reset is 1 it starts from 0."""
     out, cache = [], []
     n = h.shape[1]
-    for t in range(len(xp)):
+    xt, h, w = _across(xp), np.ascontiguousarray(h.T), np.ascontiguousarray(wh.T)
+    for t in range(len(xt)):
         if reset is not None:
-            h = h * (1 - reset[t])[:, None]
-        g = h @ wh
-        zr = sigmoid(xp[t, :, : 2 * n] + g[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(xp[t, :, 2 * n :] + r * g[:, 2 * n :])
+            h = h * (1 - reset[t])
+        g = w @ h
+        zr = sigmoid(xt[t, : 2 * n] + g[: 2 * n])
+        z, r = zr[:n], zr[n:]
+        c = np.tanh(xt[t, 2 * n :] + r * g[2 * n :])
         new = c + z * (h - c)
         if keep is not None:
-            new = h + keep[t][:, None] * (new - h)
-        cache.append((h, z, r, c, g[:, 2 * n :]))
+            new = h + keep[t] * (new - h)
+        cache.append((h, z, r, c, g[2 * n :]))
         h = new
         out.append(h)
-    return np.stack(out), cache
+    return _across(np.stack(out)), cache
 
 
 def backward(grad: np.ndarray, cache: list, wh: np.ndarray, keep: np.ndarray | None = None, reset: np.ndarray | None = None):
     """Gradients of inputs and recurrent weights from those of the states."""
     n = grad.shape[2]
-    dwh, dxp = np.zeros_like(wh), np.zeros((*grad.shape[:2], 3 * n), np.float32)
-    dh = np.zeros_like(grad[0])
-    for t in range(len(grad) - 1, -1, -1):
+    gt = _across(grad)
+    dwh, dxp = np.zeros_like(wh.T), np.empty((len(gt), 3 * n, gt.shape[2]), gt.dtype)
+    dh = np.zeros_like(gt[0])
+    dg = np.empty_like(dxp[0])
+    for t in range(len(gt) - 1, -1, -1):
         h, z, r, c, gn = cache[t]
-        dh = dh + grad[t]
-        new = dh if keep is None else dh * keep[t][:, None]
-        past = new * z if keep is None else new * z + dh * (1 - keep[t])[:, None]
-        dc = new * (1 - z) * (1 - c * c)
-        dz = new * (h - c) * z * (1 - z)
-        dr = dc * gn * r * (1 - r)
-        dxp[t] = np.concatenate([dz, dr, dc], axis=1)
-        dg = np.concatenate([dz, dr, dc * r], axis=1)
-        dwh += h.T @ dg
-        dh = past + dg @ wh.T
+        dh = dh + gt[t]
+        new = dh if keep is None else dh * keep[t]
+        past = new * z if keep is None else new * z + dh * (1 - keep[t])
+        dz, dr, dc = dxp[t, :n], dxp[t, n : 2 * n], dxp[t, 2 * n :]
+        np.multiply(new * (1 - z), 1 - c * c, out=dc)
+        np.multiply(new * (h - c), z * (1 - z), out=dz)
+        np.multiply(dc * gn, r * (1 - r), out=dr)
+        dg[: 2 * n] = dxp[t, : 2 * n]
+        np.multiply(dc, r, out=dg[2 * n :])
+        dwh += dg @ h.T
+        dh = past + wh @ dg
         if reset is not None:
-            dh = dh * (1 - reset[t])[:, None]
-    return dxp, dwh
+            dh = dh * (1 - reset[t])
+    return _across(dxp), np.ascontiguousarray(dwh.T)
 
 
 class Adam:
@@ -70,9 +79,9 @@ class Adam:
 
     def update(self, grads: dict[str, np.ndarray], rate: float | None = None) -> None:
         self.n += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values())))
         scale = min(1.0, self.clip / max(norm, 1e-9))
-        step = (rate or self.rate) * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
+        step = float((rate or self.rate) * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n))
         for k, g in grads.items():
             g = g * scale
             self.m[k] += 0.1 * (g - self.m[k])

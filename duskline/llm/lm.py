@@ -6,7 +6,7 @@ put into classes by their spelling, in which a word's share is its count over th
 one more share in each class is for words that were never seen, so the probabilities of a class sum to
 one. The frequent words are those of all training texts. The network is trained on all training texts by
 backpropagation through windows whose state is carried on: in each round the tasks go on from the same
-network, each over its own blocks of texts, and their networks are averaged. Scoring carries a document's
+network, each over its own messages, and their networks are averaged. Scoring carries a document's
 state through all of its windows.
 """
 
@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import gru
-from .textkit import U, Words, mix, pack, steps, unpack
+from .textkit import U, Words, mix, one_thread, pack, steps, unpack
 
 #: Units; classes of frequent words and words in each; spelling classes of all others.
 HIDDEN, CLASSES, PER_CLASS, SPELLED = 24, 40, 32, 8
 #: Training: streams at least, window, updates at least (a small corpus is read several times), rate.
 STREAMS, WINDOW, UPDATES, RATE = 64, 24, 350, 0.02
-#: Rounds of training, tokens in a block, streams that a whole block is cut into, groups that average.
-ROUNDS, BLOCK, WIDE, GROUPS = 8, 250_000, 256, 16
-#: Tokens in a message, which is scored at once, and in a part of the counts.
-MESSAGE, PART = 1_000_000, 6_000_000
+#: Rounds of training, streams at most that a message is cut into, groups that average.
+ROUNDS, WIDE, GROUPS = 8, 512, 16
+#: Tokens in a message, tokens that the network scores side by side, and tokens in a part of the counts.
+MESSAGE, ABREAST, PART = 500_000, 8_000_000, 6_000_000
+#: Texts that are scored side by side, and steps between two looks at the softmax.
+SIDE, STEPS = 1024, 24
 END = U(0xE2D0_0000_0000_0000)  # stands for the end token; its low bits name no spelling class
 #: Slots of the table of often seen words that every task holds.
 SLOTS = 1 << 18
@@ -44,19 +46,24 @@ def _flags() -> np.ndarray:
     return (digit * 1 | letter * 2 | ((b >= 0xC3) & (b <= 0xC9)) * 4 | ((b >= 0xCA) & (b <= 0xDF)) * 8 | (b >= 0xE0) * 16).astype(np.uint8)
 
 
-_FLAGS = _flags()
+def _classes() -> np.ndarray:
+    """Spelling class by what a word's bytes say together, 32 where it ends in a letter and 64 where it is long."""
+    k = np.arange(128)
+    out = np.where(k & 16, 5, np.where(k & 8, 4, np.where(k & 4, 3, k >> 6)))
+    out = np.where(k & 32, out, np.where(k & 28, 6, 2))
+    return np.where((k & 1 > 0) | (k & 2 == 0), 7, out).astype(np.uint8)
+
+
+_FLAGS, _CLASSES = _flags(), _classes()
 
 
 def spelling(words: Words) -> np.ndarray:
     """Class of each word by its spelling: digits or no letter, an end that is no letter, script, length."""
     if not len(words.start):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8)
     f = _FLAGS[words.body]
-    edges = np.column_stack([words.start, words.end]).ravel()  # a text's last blank is after the last word, so edges lie inside
-    seen, last = np.bitwise_or.reduceat(f, edges)[::2], f[words.end - 1]
-    out = np.where(seen & 16, 5, np.where(seen & 8, 4, np.where(seen & 4, 3, words.end - words.start > 7)))
-    out = np.where(last & 2, out, np.where(seen & 28, 6, 2))
-    return np.where((seen & 1 > 0) | (seen & 2 == 0), 7, out)
+    seen, last = np.bitwise_or.reduceat(f, words.start), f[words.end - 1]  # the blanks between words say nothing
+    return _CLASSES[seen | (last & 2) << 4 | (words.end - words.start > 7).astype(np.uint8) << 6]
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,16 +94,22 @@ class Model:
 
     def log10(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each text's classes, and of its frequent tokens in them."""
-        p, start = self.p, np.cumsum(counts) - counts
-        order = np.argsort(-counts, kind="stable")
-        length, start = counts[order], start[order]
+        start, order = np.cumsum(counts) - counts, np.argsort(-counts, kind="stable")
         out = np.zeros(len(counts))
-        h = np.zeros((len(counts), HIDDEN), np.float32)
-        prev = np.full(len(counts), CLASSES * PER_CLASS + SPELLED)
-        for t0 in range(0, int(length[0]) if len(length) else 0, WINDOW):
+        for at in range(0, len(order), SIDE):  # texts of like length, as many as keep a step's arrays in cache
+            own = order[at : at + SIDE]
+            out[own] = self._run(ids, start[own], counts[own]) / np.log(10)
+        return out
+
+    def _run(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Log-probability of texts, the longest first, with their state carried through all windows."""
+        p, out = self.p, np.zeros(len(length))
+        h = np.zeros((len(length), HIDDEN), np.float32)
+        prev = np.full(len(length), CLASSES * PER_CLASS + SPELLED)
+        for t0 in range(0, int(length[0]), STEPS):
             live = int(np.searchsorted(-length, -t0, side="left"))
             h, prev = h[:live], prev[:live]
-            t = np.arange(t0, min(t0 + WINDOW, int(length[0])))
+            t = np.arange(t0, min(t0 + STEPS, int(length[0])))
             valid = t[:, None] < length[:live]
             target = ids[np.where(valid, start[:live] + t[:, None], 0)]
             states = np.empty((len(t), live, HIDDEN), np.float32)
@@ -105,45 +118,45 @@ class Model:
                 states[i] = h
                 prev = target[i]
             s, y = states[valid], target[valid]
-            out += np.bincount(np.nonzero(valid)[1], self._loss(s, y)[0], minlength=len(counts))
-        result = np.zeros(len(counts))
-        result[order] = out / np.log(10)
-        return result
+            out += np.bincount(np.nonzero(valid)[1], self._loss(s, y)[0], minlength=len(length))
+        return out
 
     def _loss(self, s: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Log-probability of tokens y in states s; with grads, also adds the gradients of its negative mean."""
+        # one column for each state: sums and maxima then run over whole rows
         p, n = self.p, len(y)
         cls = np.where(y < CLASSES * PER_CLASS, y // PER_CLASS, y - CLASSES * PER_CLASS + CLASSES)
-        a = s @ p["c"] + p["cb"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        out = a[np.arange(n), cls].astype(float) - np.log(total)
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        s, y, cls = s[order], y[order], cls[order]
+        out, d = _chosen(p["c"], p["cb"], s, cls, n, grads is not None)
         ds = None
         if grads is not None:
-            d = e / total[:, None]
-            d[np.arange(n), cls] -= 1
-            d /= n
-            grads["c"], grads["cb"] = s.T @ d, d.sum(0)
-            ds = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[ends[k] : ends[k + 1]]
-            if not len(at):
-                continue
-            a = s[at] @ p["w"][k] + p["wb"][k]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            total, own = e.sum(1), y[at] - k * PER_CLASS
-            out[at] += a[np.arange(len(at)), own] - np.log(total)
+            grads["c"], grads["cb"], ds = s.T @ d.T, d.sum(1), d.T @ p["c"].T
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            at = slice(ends[k], ends[k + 1])
+            more, d = _chosen(p["w"][k], p["wb"][k], s[at], y[at] - k * PER_CLASS, n, grads is not None)
+            out[at] += more
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(at)), own] -= 1
-                d /= n
-                grads["w"][k], grads["wb"][k] = s[at].T @ d, d.sum(0)
-                ds[at] += d @ p["w"][k].T
-        return out, ds
+                grads["w"][k], grads["wb"][k] = s[at].T @ d.T, d.sum(1)
+                ds[at] += d.T @ p["w"][k].T
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        return out[back], None if ds is None else ds[back]
+
+
+def _chosen(w: np.ndarray, b: np.ndarray, s: np.ndarray, y: np.ndarray, n: int, gradient: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of choice y in each state, and the gradient of the negative mean over n by all choices."""
+    a, at = w.T @ s.T + b[:, None], np.arange(len(y))
+    a -= a.max(0)
+    e = np.exp(a)
+    total = e.sum(0)
+    out = a[y, at].astype(float) - np.log(total)
+    if not gradient:
+        return out, None
+    e *= 1 / (total * n)
+    e[y, at] -= 1 / n
+    return out, e
 
 
 def untrained(words: np.ndarray, n: np.ndarray, spelled: np.ndarray, seed: int = 11) -> Model:
@@ -190,16 +203,21 @@ def train(model: Model, blocks: list[np.ndarray], rate, updates: int | None = No
                 prev, valid = np.where(prev == end, CLASSES * PER_CLASS + SPELLED, prev), y.reshape(-1) >= 0
                 s, cache = gru.forward(p["x"][prev], p["h"], state, reset=fresh)
                 grads = {"w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-                ds = np.zeros((len(valid), HIDDEN), np.float32)
-                ds[valid] = model._loss(s.reshape(-1, HIDDEN)[valid], y.reshape(-1)[valid], grads)[1]
+                s, y = s.reshape(-1, HIDDEN), y.reshape(-1)
+                if valid.all():
+                    ds = model._loss(s, y, grads)[1]
+                else:
+                    ds = np.zeros_like(s)
+                    ds[valid] = model._loss(s[valid], y[valid], grads)[1]
+                last, s = s[-len(state) :], s.reshape(-1, *state.shape)
                 dxp, grads["h"] = gru.backward(ds.reshape(s.shape), cache, p["h"], reset=fresh)
-                order = np.argsort(prev.reshape(-1), kind="stable")
+                order = np.argsort(prev.reshape(-1).astype(np.uint16), kind="stable")
                 which = prev.reshape(-1)[order]
                 first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
                 grads["x"] = np.zeros_like(p["x"])
                 grads["x"][which[first]] = np.add.reduceat(dxp.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
                 adam.update(grads, rate(u, updates))
-                state, u, read = s[-1], u + 1, read + int(valid.sum())
+                state, u, read = last, u + 1, read + int(valid.sum())
     return read
 
 
@@ -289,34 +307,13 @@ def _shaped(flat: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]
     return {k: part.reshape(x.shape).astype(np.float32) for (k, x), part in zip(p.items(), np.split(flat, ends[:-1]), strict=True)}
 
 
-def learn(docs: DataFrame, model: Model) -> Model:
-    """model, trained on all texts of docs: every token is read in a whole pass, in several where texts are few.
-
-    Tasks write their texts as blocks of token numbers and deal the blocks to rounds. In a round each task trains
-    the same network on its blocks; the mean of the networks by tokens read is where the next round starts.
+def learn(messages: DataFrame, model: Model) -> Model:
+    """model, trained on the training texts of messages: every token is read in a whole pass, in several where texts
+    are few. Messages are dealt to rounds. In a round each task trains the same network on its messages; the mean of
+    the networks by tokens read is where the next round starts.
     """
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
-
-    def blocks(batches):
-        at, held, size = TaskContext.get().partitionId(), [], 0
-
-        def block():
-            nonlocal at, held, size
-            ids, to, at, held, size = np.concatenate(held), at % ROUNDS, at + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], names=["round", "n", "ids"])
-
-        for batch in batches:
-            for t in steps(batch):
-                held.append(shared.value.ids(tokens(t.column("text").combine_chunks())[0]).astype(np.uint16))
-                size += len(held[-1])
-                if size >= BLOCK:
-                    yield block()
-        if held:
-            yield block()
-
-    cut = materialize(docs.select("text").mapInArrow(blocks, "round int, n long, ids binary"), "blocks")
-    sizes = {r["round"]: r["n"] for r in cut.groupBy("round").agg(F.sum("n").alias("n")).collect()}  # a row for each round
+    context, cut = messages.sparkSession.sparkContext, messages.filter("learnt > 0")
+    sizes = {r["round"]: r["n"] for r in cut.groupBy("round").agg(F.sum("learnt").alias("n")).collect()}  # a row for each round
     passes = max(1, -(-UPDATES * WINDOW * STREAMS // max(1, sum(sizes.values()))))
     for done, k in enumerate(sorted(sizes)):
         now = context.broadcast(model)
@@ -325,8 +322,9 @@ def learn(docs: DataFrame, model: Model) -> Model:
             return RATE * min(1.0, (u + 1) / (5 if done else 30)) * (1 - 0.9 * (done + u / n) / len(sizes))
 
         def work(batches, now=now, rate=rate):
-            own = [np.frombuffer(b, np.uint16).astype(np.int64) for batch in batches for b in batch.column(0).to_pylist()]
+            own = [_learnt(ids, docs) for batch in batches for ids, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             if own:
+                one_thread()
                 m = Model(now.value.head, now.value.number, {k: x.copy() for k, x in now.value.p.items()})
                 n = train(m, own, rate, passes=passes)
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([_flat(m.p).tobytes()], pa.binary())], names=["task", "n", "p"])
@@ -337,7 +335,7 @@ def learn(docs: DataFrame, model: Model) -> Model:
             p = sum(float(w) * np.frombuffer(b, np.float32).astype(float) for w, b in zip(n, t.column("p").to_pylist(), strict=True))
             return pa.table([pa.array([t.column("task")[0].as_py()], pa.int64()), pa.array([sum(n)], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=["task", "n", "p"])
 
-        sums = cut.filter(F.col("round") == k).select("ids").mapInArrow(work, "task long, n long, p binary").groupBy(F.col("task") % GROUPS).applyInArrow(total, "task long, n long, p binary")
+        sums = cut.filter(F.col("round") == k).select("ids", "docs").mapInArrow(work, "task long, n long, p binary").groupBy(F.col("task") % GROUPS).applyInArrow(total, "task long, n long, p binary")
         sums = sorted(sums.collect(), key=lambda r: r.task)  # GROUPS rows at most
         p = sum(np.frombuffer(r.p, float) for r in sums) / sum(r.n for r in sums)
         model = Model(model.head, model.number, _shaped(p, model.p))
@@ -345,7 +343,7 @@ def learn(docs: DataFrame, model: Model) -> Model:
     return model
 
 
-_DOCS = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "net": pa.float64(), "spelled": pa.list_(pa.int64()), "logs": pa.float64(), "rare": pa.float64(), "known": pa.int64()}
+_MESSAGE = "task long, part int, docs binary, ids binary, learnt long, round int, h binary, n binary, train binary, idx binary"
 
 
 def _ipc(t: pa.Table) -> bytes:
@@ -355,32 +353,47 @@ def _ipc(t: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _table(b: bytes) -> pa.Table:
+    return pa.ipc.open_stream(b).read_all()
+
+
+def _learnt(ids: bytes, docs: bytes) -> np.ndarray:
+    """Numbers of the tokens of a message's training texts."""
+    own = _table(docs)
+    trains = ~own.column("held_out").to_numpy()
+    return np.frombuffer(ids, np.uint16)[np.repeat(trains, own.column("n_tokens").to_numpy())].astype(np.int64)
+
+
 def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
-    """Messages (task, part, docs, h, n, train, idx): distinct seldom tokens of a task by hash, how often each is there
-    and in training texts, and the texts it is in. What the network and the table of often seen words say of the texts
-    goes with one message of each task, so no group ever holds the places of a word that the table has."""
-    names = ["task", "part", "docs", "h", "n", "train", "idx"]
+    """Rows of _MESSAGE, in which all texts are cut into tokens once for what follows.
+
+    One row of each task has its texts (docs), what the table of often seen words says of them, and the numbers of
+    their tokens (ids) for the network. The others have the distinct seldom tokens of a part by hash (h), how often
+    each is there (n) and in training texts (train), and the texts it is in (idx): no group ever holds the places of
+    a word that the table has.
+    """
+    names = ["task", "part", "docs", "ids", "learnt", "round", "h", "n", "train", "idx"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
     def run(batches):
-        base, flush, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
+        at, flush, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def message():
             nonlocal held, size, flush
-            task, flush = base + flush, flush + 1
+            task, k, flush = (at << 24) + flush, (at + flush) % ROUNDS, flush + 1
             m, table = model.value, often.value
             h, counts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             held_out = np.concatenate([x[3] for x in held])
             doc_ids = pa.concat_arrays([c for x in held for c in x[2].chunks]).cast(pa.int64())
-            idx, size = np.repeat(np.arange(len(counts)), counts), len(counts)
+            idx, held, size = np.repeat(np.arange(len(counts)), counts), [], 0
             ids = m.ids(h)
-            net = m.log10(ids, counts)
             rare = ids - CLASSES * PER_CLASS
-            spelled = np.bincount(idx[rare >= 0] * SPELLED + rare[rare >= 0], minlength=size * SPELLED).reshape(-1, SPELLED)
+            spelled = np.bincount(idx[rare >= 0] * SPELLED + rare[rare >= 0], minlength=len(counts) * SPELLED).reshape(-1, SPELLED)
             slot, has = table.slots(h)
             logs = np.where(has, table.logs[slot], 0.0)
-            sums = [np.bincount(idx, x, minlength=size) for x in (logs, logs * (rare >= 0), has & (table.train[slot] > 0))]
-            own = [doc_ids, pa.array(held_out), pa.array(counts), pa.array(net), pa.array(spelled.tolist(), pa.list_(pa.int64())), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))]
-            own = _ipc(pa.table(own, names=list(_DOCS)))
+            sums = [np.bincount(idx, x, minlength=len(counts)) for x in (logs, logs * (rare >= 0), has & (table.train[slot] > 0))]
+            own = {"doc_id": doc_ids, "held_out": pa.array(held_out), "n_tokens": pa.array(counts), "spelled": pa.array(spelled.tolist(), pa.list_(pa.int64())), "logs": pa.array(sums[0]), "rare": pa.array(sums[1]), "known": pa.array(sums[2])}
+            rows = [(task, task % parts, _ipc(pa.table(own)), ids.astype(np.uint16).tobytes(), int(counts[~held_out].sum()), k, b"", b"", b"", b"")]
             # the low bits of a word of the network say so
             h, idx = np.where(rare < 0, (h & ~U(15)) | U(8), h)[~has], idx[~has]
             part = (mix(h) % U(parts)).astype(np.int64)
@@ -388,17 +401,12 @@ def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
             h, idx, part = h[order], idx[order], part[order]
             ends = np.searchsorted(part, np.arange(parts + 1))
             trains = ~held_out[idx]
-            rows = []
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(ends)).tolist():
                 a, b = ends[p], ends[p + 1]
-                first = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]])) if b > a else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, b - a))
-                train = np.add.reduceat(trains[a:b].astype(np.int64), first) if b > a else n
-                if b > a or p == task % parts:
-                    rows.append((task, p, own if p == task % parts else None, pack(np.diff(h[a:b][first], prepend=U(0))), pack(n.astype(np.uint32)), pack(train.astype(np.uint32)), pack(idx[a:b].astype(np.uint32))))
-            held, size = [], 0
-            cols = list(zip(*rows, strict=True))
-            yield from pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=names).to_batches()
+                first = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
+                n, train = np.diff(np.append(first, b - a)), np.add.reduceat(trains[a:b].astype(np.int64), first)
+                rows.append((task, p, None, None, None, None, pack(np.diff(h[a:b][first], prepend=U(0))), pack(n.astype(np.uint32)), pack(train.astype(np.uint32)), pack(idx[a:b].astype(np.uint32))))
+            yield from pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names).to_batches()
 
         for batch in batches:
             for t in steps(batch):
@@ -410,7 +418,34 @@ def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
         if held:
             yield from message()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "task long, part int, docs binary, h binary, n binary, train binary, idx binary")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _MESSAGE)
+
+
+def _scores(messages: DataFrame, model) -> DataFrame:
+    """Rows (task, net): what the network says of the texts of each task. The texts of many messages are scored side
+    by side, since the network's steps are as many as the longest text has tokens."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def scored():
+            nonlocal held, size
+            one_thread()
+            net = model.value.log10(np.concatenate([x[1] for x in held]).astype(np.int64), np.concatenate([x[2] for x in held]))
+            cut = np.split(net, np.cumsum([len(x[2]) for x in held])[:-1])
+            tasks, held, size = [x[0] for x in held], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["task", "net"])
+
+        for batch in batches:
+            for task, ids, docs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append((task, np.frombuffer(ids, np.uint16), _table(docs).column("n_tokens").to_numpy()))
+                size += len(held[-1][1])
+                if size >= ABREAST:
+                    yield from scored()
+        if held:
+            yield from scored()
+
+    return messages.filter("ids is not null").select("task", "ids", "docs").mapInArrow(run, "task long, net binary")
 
 
 def _counted(t: pa.Table) -> pa.Table:
@@ -446,14 +481,15 @@ def score(docs: DataFrame, held_out: Column, model: Model | None = None) -> Data
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     start, often, seldom = _vocabulary(rows, int(max(12, n_bytes // 24 // PART)))
     context = docs.sparkSession.sparkContext
-    if model is None:
-        model = learn(rows.filter(~F.col("held_out")), start)
-    else:  # its frequent words are others
+    if model is not None:  # its frequent words are others
         used = often.word != 0
         often = Often(often.word[used], often.train[used], often.train[used], model)
-    shared, table = context.broadcast(model), context.broadcast(often)
-    sent = _messages(rows, max(12, seldom // PART), shared, table).groupBy("part").applyInArrow(_counted, "task long, docs binary, logs binary, rare binary, known binary, totals array<long>")
+    parts = max(12, seldom // PART)
+    messages = materialize(_messages(rows, parts, context.broadcast(model or start), context.broadcast(often)), "messages")
+    sent = messages.select("task", "part", "docs", "h", "n", "train", "idx").groupBy("part").applyInArrow(_counted, "task long, docs binary, logs binary, rare binary, known binary, totals array<long>")
     sent = materialize(sent, "counts")
+    model = model or learn(messages, start)
+    nets = _scores(messages, context.broadcast(model))
     totals = often.totals.copy()
     for r in sent.filter("totals is not null").select(F.posexplode("totals").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # 18 rows
         totals[r["k"]] += r["n"]
@@ -461,17 +497,18 @@ def score(docs: DataFrame, held_out: Column, model: Model | None = None) -> Data
     floor = np.log10(totals[:8] + totals[9:17] + 1)
 
     def finish(t: pa.Table) -> pa.Table:
-        own = pa.ipc.open_stream(next(b for b in t.column("docs").to_pylist() if b is not None)).read_all()
+        own, said = (next(b for b in t.column(c).to_pylist() if b is not None) for c in ("docs", "net"))
+        own = _table(own)
         size = own.num_rows
         sums = [own.column(c).to_numpy().astype(float) for c in ("logs", "rare", "known")]
         for kind, name in enumerate(("logs", "rare", "known")):
-            for b in t.column(name).to_pylist():
+            for b in filter(None, t.column(name).to_pylist()):
                 x = unpack(b, np.uint32) if name == "known" else np.frombuffer(b, np.float64)
                 sums[kind][: len(x)] += x
         count = own.column("n_tokens").to_numpy()
         spelled = np.array(own.column("spelled").to_pylist(), float).reshape(size, SPELLED)
-        net = own.column("net").to_numpy() + sums[1] - spelled @ floor
+        net = np.frombuffer(said) + sums[1] - spelled @ floor
         return pa.table([own.column("doc_id"), own.column("held_out"), pa.array(count), pa.array(sums[2].astype(np.int64)), pa.array(np.full(size, int(n))), pa.array(sums[0] - count * np.log10(n + v + 1)), pa.array(net)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return sent.groupBy("task").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return sent.unionByName(nets, allowMissingColumns=True).groupBy("task").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

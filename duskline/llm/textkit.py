@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import glob
+import os
 import sys
 from collections.abc import Callable, Iterator
 
@@ -45,17 +47,17 @@ class Words:
     """Words of all texts of an array: start and end bytes, 64-bit hash and the text of each."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        data, self.offsets = buffers(texts)
-        self.data = _LOWER[data] if lower else data
-        # a blank between texts keeps their words apart
-        n = len(self.offsets) - 1
-        body = np.full(len(data) + n + 1, 32, np.uint8)
-        shift = np.repeat(np.arange(n), np.diff(self.offsets)) + 1
-        body[np.arange(len(data)) + shift] = self.data
+        texts = texts.cast(pa.large_string()).fill_null("")
+        # a blank after each text, and one before the first, keep their words apart
+        data, offsets = buffers(pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
+        n = len(offsets) - 1
+        body = np.empty(len(data) + 1, np.uint8)
+        body[0], body[1:] = 32, _LOWER[data] if lower else data
+        self.offsets = offsets - np.arange(n + 1)
         blank = _SPACE[body]
         edge = np.flatnonzero(blank[:-1] != blank[1:]) + 1
         self.body, self.start, self.end = body, edge[0::2], edge[1::2]
-        self.doc_start = self.offsets[:-1] + np.arange(n) + 1  # first byte of each text in body
+        self.doc_start = offsets[:-1] + 1  # first byte of each text in body
         self.doc = np.searchsorted(self.doc_start, self.start, side="right") - 1
         self.counts = np.bincount(self.doc, minlength=n) if n else np.zeros(0, np.int64)
         self.hash = self._hashes()
@@ -67,8 +69,7 @@ class Words:
         size = len(self.body)
         powers = power_table(size)
         sums = np.cumsum((self.body.astype(U) + U(1)) * powers[:size])
-        low = np.where(self.start > 0, sums[self.start - 1], U(0))
-        raw = (sums[self.end - 1] - low) * inverse_table(size)[self.start]
+        raw = (sums[self.end - 1] - sums[self.start - 1]) * inverse_table(size)[self.start]
         return mix(raw ^ ((self.end - self.start).astype(U) * MUL2))
 
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +121,15 @@ def steps(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = ST
         at = to
 
 
+def one_thread() -> None:
+    """Keeps numpy's matrix products in this worker on one thread: small products on more only wait for each other."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+
+
 def trim() -> None:
     """Gives freed memory back to the system: workers live on between tasks, and share a machine's limit."""
     pa.default_memory_pool().release_unused()
@@ -142,6 +152,7 @@ def map_texts(df: DataFrame, f: Callable[[pa.Table], Iterator[pa.Table] | pa.Tab
     """mapInArrow over bounded slices of each partition."""
 
     def run(batches):
+        one_thread()
         for batch in batches:
             for part in steps(batch, column):
                 out = f(part)

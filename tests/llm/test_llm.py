@@ -313,13 +313,16 @@ def test_model_probabilities_sum_to_one():
 def test_language_model_learns_from_all_texts(spark, monkeypatch):
     """A vocabulary that no small share of the texts shows, and blocks of all rounds: all tokens are trained on."""
     rows = [(i, " ".join(f"w{i % 50}x{j}" for j in range(8)) + " common words here") for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
     want = collections.Counter(w for _, t in rows for w in t.split())
     hashes = dict(zip(want, lm.tokens(pa.array([" ".join(want)]))[0].tolist(), strict=False))
-    monkeypatch.setattr(lm, "BLOCK", 3000)
+    monkeypatch.setattr(lm, "MESSAGE", 3000)
     monkeypatch.setattr(lm, "UPDATES", 1)
-    start = lm._vocabulary(docs.withColumn("held_out", F.lit(False)), 12)[0]
-    model = lm.learn(docs, start)
+    docs = docs.withColumn("held_out", F.lit(False))
+    start, often, _ = lm._vocabulary(docs, 12)
+    messages = lm._messages(docs, 12, *map(spark.sparkContext.broadcast, (start, often))).cache()
+    assert messages.filter("learnt > 0").select("round").distinct().count() == lm.ROUNDS
+    model = lm.learn(messages, start)
     assert {hashes[w] for w in want} < set(model.head.tolist()) and len(model.head) == len(want) + 1
     ids, n, _ = lm.tokens(pa.array([t for _, t in rows]))
     assert model.log10(model.ids(ids), n).sum() > 0.95 * start.log10(start.ids(ids), n).sum()
