@@ -1,21 +1,24 @@
 """Exact near-duplicate join of documents under the Jaccard metric on word shingles.
 
-Two documents are linked when their shingle sets are at most a quarter apart. The join is a recursion of
-regions around pivots, each with the window in which a linked document can still lie:
-
-1. First the pivots are single shingles. Shingles are put in one order for all documents, frequent ones
-   last. A document is nearest to the first shingle of its set, and its linked documents may lack a
-   quarter of its shingles, so the window holds the first quarter and one more: two linked documents
-   share a shingle of both windows. Documents are replicated to the regions of their window.
-2. Inside a region a document is the pivot. Documents within a quarter of it are its cell and linked
-   with it. By the triangle inequality a document of the cell can be linked with one outside only if the
-   outer one is at most a quarter farther from the pivot; those near the boundary are replicated to the
-   rest, and the rest is joined in the same way, with the next pivot.
+Two documents are linked when their shingle sets are at most REACH apart. The join is a recursion of regions
+around pivots, each with the window in which a linked document can still lie:
+
+1. The outermost pivots are single shingles, in one order for all documents, frequent ones last. From a set,
+   the one-shingle sets that lie in it are the nearest of all, and the first of them in the order are its
+   pivots: of a linked pair the smaller set has 1/7 of its shingles at most outside of the other, the larger
+   1/4, so the first 1/7 of the smaller (inner window) and the first 1/4 of the larger (outer window), and one
+   more, have a shingle in common. A shingle that no set has in its inner window makes no region.
+2. Inside a region documents are the pivots, several at once. Each document belongs to its nearest pivot (a
+   Voronoi cell). By the triangle inequality a document can be linked with one of another cell only if it is at
+   most twice REACH farther from that cell's pivot than from its own, and at most REACH farther than the cell's
+   farthest document; such documents near the boundary are replicated to that cell. Cells with what was
+   replicated to them are regions again. Pivots were measured against the whole region and leave it. Where the
+   pivots do not part a region (its documents are about equally far from all), it stays whole for the next.
 
 A region whose documents are known to hang together needs no more work, so a group of thousands of near
-copies costs one round of distances to its pivot, not all pairs. Small regions are solved in one task;
-large ones take each round as joins. Documents of equal sets are one item throughout. Shingles are
-64-bit hashes, sets are named by a 64-bit sum of them.
+copies costs one round of distances to its pivots, not all pairs. Small regions are solved in one task; in
+large ones all regions take a round together, each dealt to as many tasks as its sets need. Documents of equal
+sets are one item throughout. Shingles are 64-bit hashes, sets are named by a 64-bit sum of them.
 """
 
 from __future__ import annotations
@@ -33,12 +36,16 @@ from .textkit import MUL2, U, Words, distinct_pairs, map_texts, mix, pack, steps
 
 #: Words in a shingle and least Jaccard similarity, in hundredths.
 K, LEAST = 5, 75
+REACH = 1 - LEAST / 100
 #: A window is longer by this share of a set, so that linked sets share many of its shingles.
 SPARE = 16
 #: Slots of the table of frequent shingles, its size in every task; shingles in a message and a part.
 SLOTS, MESSAGE, PART = 1 << 22, 1_500_000, 1_500_000
 #: Documents and shingles in a region, and shingles in regions solved together, up to which one task takes them.
 LEAF, WEIGHT, GATHER = 8000, 4_000_000, 600_000
+#: Pivots of a region at once in a task, and in a round of large regions; what share of a region's pairs its cells may
+#: have left together for it to be parted.
+PIVOTS, WIDE, PARTED = 8, 48, 0.5
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,33 +146,34 @@ def frequency_table(docs: DataFrame, parts: int, bits: int) -> np.ndarray:
     return out
 
 
-def windows(doc: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
-    """Which shingles are in their document's window: by frequency, then hash, the first n - ceil(3/4 n) + 1, and
-    n // SPARE more. Linked documents then share 1 + n // SPARE of the smaller one's window or more."""
+def windows(doc: np.ndarray, h: np.ndarray, n: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are in their document's outer window, and which in its inner one: by frequency, then hash, the
+    first n - ceil(3/4 n) + 1 and n - ceil(6/7 n) + 1, and n // SPARE more in both. Of linked documents, the outer
+    window of the larger and the inner of the smaller share 1 + n // SPARE of the smaller's shingles or more."""
     rank = table[(mix(h >> U(64 - bits)) % U(SLOTS)).astype(np.int64)]
     order = np.lexsort((h, rank, doc))
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    keep = np.zeros(len(doc), bool)
-    most = n - -(-LEAST * n // 100) + 1 + n // SPARE
-    keep[order[place < np.repeat(most, n)]] = True
-    return keep
+    place = np.empty(len(doc), np.int64)
+    place[order] = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    outer, inner = (n - -(-share * n // whole) + 1 + n // SPARE for share, whole in ((LEAST, 100), (2 * LEAST, 100 + LEAST)))
+    return place < np.repeat(outer, n), place < np.repeat(inner, n)
 
 
 def _windows(docs: DataFrame, parts: int, table, bits: int) -> DataFrame:
-    """Messages (part, h, sets, idx): window shingles, by their upper 40 bits, with the place of their set among sets."""
+    """Messages (part, h, sets, idx): window shingles, by their upper 40 bits, with the place of their set among sets
+    times two, and one more in the inner window."""
 
     def run(batches):
         held, size, known = [], 0, set()
 
         def message():
-            h, name = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            h, name, inner = (np.concatenate([x[i] for x in held]) for i in range(3))
             part = (mix(h) % U(parts)).astype(np.int64)
             order = np.lexsort((name, h, part))
             ends = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
                 if len(at := order[ends[p] : ends[p + 1]]):
                     sets, idx = np.unique(name[at], return_inverse=True)
-                    yield p, pack(np.diff(h[at], prepend=U(0))), pack(sets), pack(idx.astype(np.uint32))
+                    yield p, pack(np.diff(h[at], prepend=U(0))), pack(sets), pack((2 * idx + inner[at]).astype(np.uint32))
 
         for batch in batches:
             for t in steps(batch):
@@ -173,8 +181,9 @@ def _windows(docs: DataFrame, parts: int, table, bits: int) -> DataFrame:
                 # equal sets once for each message
                 fresh = _first_of(name) & (n > 0) & np.array([x not in known for x in name.tolist()], bool)
                 known.update(name[fresh].tolist())
-                keep = windows(doc, h, n, table.value, bits) & fresh[doc]
-                held.append((h[keep] >> U(24), name[doc[keep]]))
+                outer, inner = windows(doc, h, n, table.value, bits)
+                keep = outer & fresh[doc]
+                held.append((h[keep] >> U(24), name[doc[keep]], inner[keep]))
                 size += len(held[-1][0])
                 if size >= MESSAGE:
                     yield from _blob(list(message()), ["part", "h", "sets", "idx"]).to_batches()
@@ -188,22 +197,26 @@ def _windows(docs: DataFrame, parts: int, table, bits: int) -> DataFrame:
 
 
 def _regions(t: pa.Table) -> pa.Table:
-    """Rows (region, set, n): shingles that two sets or more have in their windows. Regions of the same sets come
-    once, with their number."""
+    """Rows (region, set, n): shingles that two sets or more have in their windows, one of them in its inner window.
+    Regions of the same sets come once, with their number."""
     h = np.concatenate([np.cumsum(unpack(b, U), dtype=U) for b in t.column("h").to_pylist()])
-    name = np.concatenate([unpack(s, U)[unpack(i, np.uint32)] for s, i in zip(t.column("sets").to_pylist(), t.column("idx").to_pylist(), strict=True)])
+    idx = [unpack(i, np.uint32) for i in t.column("idx").to_pylist()]
+    name = np.concatenate([unpack(s, U)[i >> 1] for s, i in zip(t.column("sets").to_pylist(), idx, strict=True)])
+    inner = np.concatenate(idx) & 1
     order = np.lexsort((name, h))
-    h, name = h[order], name[order]
+    h, name, inner = h[order], name[order], inner[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (name[1:] != name[:-1])]) if len(h) else np.zeros(0, bool)
-    h, name = h[new], name[new]
+    h, name, inner = h[new], name[new], inner[new]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(h)))
+    has = np.maximum.reduceat(inner, first) > 0 if len(first) else np.zeros(0, bool)
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(name), dtype=U)])
     ident = mix(sums[first + count] - sums[first] + count.astype(U) * MUL2)
+    ident[~has] = 0
     _, once, times = np.unique(ident, return_index=True, return_counts=True)
     ok, n = np.zeros(len(first), bool), np.zeros(len(first), np.int64)
     ok[once], n[once] = True, times
-    ok &= count > 1
+    ok &= (count > 1) & has
     rows = np.repeat(ok, count)
     return pa.table([pa.array(np.repeat(ident[ok], count[ok]).view(np.int64)), pa.array(name[rows].view(np.int64)), pa.array(np.repeat(n[ok], count[ok]))], names=["region", "set", "n"])
 
@@ -226,14 +239,6 @@ class Groups:
         return a != b
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two ascending sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
 class Task:
     """The items of a task: their shingles as numbers, one after another, and which items were pivots already."""
 
@@ -258,22 +263,37 @@ class Task:
         return 1 - both / union
 
 
+def cells(d: np.ndarray) -> np.ndarray:
+    """Which items (columns) are in the window of each pivot's Voronoi cell (rows), by their distances."""
+    nearest, own = d.min(0), np.argmin(d, 0)
+    radius = np.array([d[q, own == q].max(initial=-1) for q in range(len(d))])
+    return (d <= np.minimum(nearest[None] + 2 * REACH, radius[:, None] + REACH) + 1e-9) & (radius >= 0)[:, None]
+
+
 def solve(region: list[int], task: Task) -> None:
     """Joins one region by pivots, cells and windows. A pivot is measured against all items of the task, so it is
-    a pivot once, whatever regions it is in. It is taken from the smallest group that is left: a region of one
-    large group and a few strays takes as many rounds as there are strays."""
-    reach, rest = 1 - LEAST / 100, np.array(sorted(region))
-    rest = rest[~task.done[rest]]
-    while len(rest) > 1:
-        group, of, count = np.unique([task.groups.find(i) for i in rest.tolist()], return_inverse=True, return_counts=True)
+    a pivot once, whatever regions it is in. Pivots are taken from the smallest groups that are left, one of each."""
+    stack = [np.array(sorted(region))]
+    while stack:
+        rest = stack.pop()
+        rest = rest[~task.done[rest]]
+        if len(rest) < 2:
+            continue
+        group, first, count = np.unique([task.groups.find(i) for i in rest.tolist()], return_index=True, return_counts=True)
         if len(group) == 1:
-            break
-        pivot = int(rest[np.argmin(count[of])])
-        d = task.measure(pivot)[rest]
-        # the window: of the cell, those that an outer item may reach
-        outer = d > reach
-        keep = outer | (d >= (d[outer].min() if outer.any() else 2.0) - reach - 1e-9)
-        rest = rest[keep & (rest != pivot)]
+            continue
+        pivots = rest[first[np.argsort(count, kind="stable")[:PIVOTS]]]
+        d = np.stack([task.measure(int(p)) for p in pivots])[:, rest]
+        # of a pivot's group only what the nearest other item may reach can still matter
+        group, keep = np.array([task.groups.find(i) for i in rest.tolist()]), np.ones(len(rest), bool)
+        for q, p in enumerate(pivots.tolist()):
+            of = group == task.groups.find(p)
+            keep &= ~of | (d[q] >= (d[q, ~of].min() if not of.all() else 2.0) - REACH - 1e-9)
+        keep &= ~task.done[rest]
+        rest, d = rest[keep], d[:, keep]
+        if len(rest) > 1:
+            inside = cells(d)
+            stack += [rest[x] for x in inside if x.sum() > 1] if (inside.sum(1) ** 2).sum() <= PARTED * len(rest) ** 2 else [rest]
 
 
 def _solved(t: pa.Table) -> pa.Table:
@@ -312,48 +332,64 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_texts(docs.select(bit.alias("b"), "text"), work, "set long, shingles binary")
 
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows (p, x, d, linked) of distinct pairs of sets."""
-    full = pairs.join(sets.select(F.col("set").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("set").alias("p"), F.col("shingles").alias("sp")), "p")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for sx, sp in zip(b.column("sx").to_pylist(), b.column("sp").to_pylist(), strict=True):
-                i = overlap(x := unpack(sx, U), p := unpack(sp, U))
-                u = len(x) + len(p) - i
-                out.append((1 - i / u, 100 * i >= LEAST * u))
-            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("x"), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.bool_())], names=["p", "x", "d", "linked"])
-
-    return full.select("p", "x", "sp", "sx").mapInArrow(run, "p long, x long, d double, linked boolean")
-
-
-def _rounds(large: DataFrame, sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Works down regions of more than LEAF sets by rounds of pivots. Returns all links, and regions small enough for a task."""
-    small, reach, label = None, F.lit(1 - LEAST / 100), None
+def _voronoi(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Rows (region, set, p, d, own, linked) for each set of rows (region, salt, set, shingles) and each pivot of
+    pivots (region, salt, p, sp) in whose cell it is (own), to which it may be replicated, or with which it is linked."""
+
+    def run(items: pa.Table, around: pa.Table) -> pa.Table:
+        if not items.num_rows or not around.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_())], names=["region", "set", "p", "d", "own", "linked"])
+        around = around.sort_by("p")
+        names, ps = items.column("set").to_numpy(), around.column("p").to_numpy()
+        task = Task([unpack(b, U) for b in items.column("shingles").to_pylist()] + [unpack(b, U) for b in around.column("sp").to_pylist()])
+        d = np.stack([task.measure(len(names) + q)[: len(names)] for q in range(len(ps))])
+        nearest = d.min(0)
+        q, x = np.nonzero(d <= nearest + 2 * REACH + 1e-9)
+        own = np.argmin(d, 0)[x] == q
+        both = (1 - d[q, x]) * (task.size[x] + task.size[len(names) + q]) / (2 - d[q, x])  # of d = 1 - both / union
+        both = np.rint(both)
+        linked = 100 * both >= LEAST * (task.size[x] + task.size[len(names) + q] - both)
+        region = np.full(len(x), items.column("region")[0].as_py())
+        return pa.table([pa.array(region), pa.array(names[x]), pa.array(ps[q]), pa.array(d[q, x]), pa.array(own), pa.array(linked)], names=["region", "set", "p", "d", "own", "linked"])
+
+    return rows.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(run, "region long, set long, p long, d double, own boolean, linked boolean")
+
+
+def _rounds(large: DataFrame, sets: DataFrame, sizes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Works down large regions (region, set) by rounds of WIDE pivots, all regions together. Returns all links, and
+    regions small enough for a task. sizes (set, size) are those of all sets."""
+    small = None
+    large = large.withColumn("g", F.col("set"))  # what a set hangs together with, as far as known
     while not large.isEmpty():
-        # three pivots by aggregation, strays first: set names are hashes, so any of them is a random choice
-        order = F.col("set") if label is None else F.struct(F.col("stray").cast("int") * -1, F.col("set"))
-        marked = large if label is None else large.join(label.select("set", F.lit(False).alias("s")), "set", "left").withColumn("stray", F.coalesce("s", F.lit(True)))
-        chosen = marked.groupBy("region").agg(F.array_distinct(F.array(F.min_by("set", order), F.max("set"), F.min_by("set", F.xxhash64("set")))).alias("ps"))
-        pivots = chosen.select("region", F.explode("ps").alias("p"))
-        pairs = large.join(pivots, "region").filter("p != set").select("region", "p", F.col("set").alias("x"))
-        seen = materialize(_measure(pairs.select("p", "x").distinct(), sets), "distances")
-        links = materialize(links.unionByName(seen.filter("linked").select(F.col("p").alias("src"), F.col("x").alias("dst"))).distinct(), "links")
-        # the window of each pivot: what of its cell an outer set can reach
-        far = pairs.join(seen, ["p", "x"])
-        edge = far.groupBy("region", "p").agg(F.min(F.when(F.col("d") > reach, F.col("d"))).alias("o"))
-        inner = (F.col("d") <= reach) & (F.col("o").isNull() | (F.col("d") < F.col("o") - reach - 1e-9))
-        rest = far.join(edge, ["region", "p"]).groupBy("region", "x").agg(F.max(inner).alias("inner")).filter("not inner")
-        rest = rest.join(pivots.withColumnRenamed("p", "x"), ["region", "x"], "left_anti").select("region", F.col("x").alias("set"))
-        # a region whose rest hangs together is done
-        label = connected_components(links).withColumnRenamed("node", "set")
-        named = rest.join(label, "set", "left").withColumn("c", F.coalesce("component", "set"))
-        sizes = named.groupBy("region").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1")
-        left = materialize(rest.join(sizes.select("region", "n"), "region"), "regions")
-        few = left.filter(f"n <= {LEAF}").select("region", "set")
+        weight = large.join(sizes, "set").groupBy("region").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+        whole = materialize(weight.filter("g0 != g1").select("region", "n", (F.col("w") <= WEIGHT).alias("light"), F.ceil(F.col("w") / GATHER).alias("salts")), "weights")
+        leaf = (F.col("n") <= LEAF) & F.col("light")
+        few = large.join(whole.filter(leaf), "region").select("region", "set")
         small = few if small is None else small.unionByName(few)
-        large = left.filter(f"n > {LEAF}").select("region", "set")
+        large = materialize(large.join(whole.filter(~leaf), "region").select("region", "set", "g", "n", "salts"), "large")
+        if large.isEmpty():
+            break
+        # a pivot of each hash bucket, first of those that are not known to hang together with others: names are hashes,
+        # so any choice among them is random
+        order = F.struct((F.col("g") != F.col("set")).alias("tied"), "set")
+        chosen = large.groupBy("region", F.pmod(F.xxhash64("set"), F.lit(WIDE)).alias("b")).agg(F.min(order).alias("s"), F.first("salts").alias("salts"))
+        pivots = materialize(chosen.select("region", "salts", F.col("s.set").alias("p")).join(sets.select(F.col("set").alias("p"), F.col("shingles").alias("sp")), "p"), "pivots")
+        dealt = pivots.select("region", "p", "sp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        rows = large.select("region", "set", F.pmod(F.xxhash64("set", "region"), F.col("salts")).alias("salt")).join(sets, "set")
+        seen = materialize(_voronoi(rows, dealt), "cells")
+        links = materialize(links.unionByName(seen.filter("linked and p != set").select(F.col("p").alias("src"), F.col("set").alias("dst")).distinct()).distinct(), "links")
+        label = connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("c"))
+        rest = large.drop("g").join(label, "set", "left").withColumn("g", F.coalesce("c", "set")).drop("c")
+        rest = rest.join(pivots.select("region", F.col("p").alias("set")), ["region", "set"], "left_anti")
+        # the windows: what the farthest own set of a cell may reach
+        inside = seen.join(rest.select("region", "set", "g", "n"), ["region", "set"])
+        radius = inside.filter("own").groupBy("region", "p").agg(F.max("d").alias("radius"))
+        inside = inside.join(radius, ["region", "p"]).filter(F.col("d") <= F.col("radius") + REACH + 1e-9)
+        sums = inside.groupBy("region", "p").agg(F.count("*").alias("m"), F.first("n").alias("n")).groupBy("region")
+        parted = sums.agg((F.sum(F.pow("m", F.lit(2))) <= PARTED * F.pow(F.first("n"), F.lit(2))).alias("parted"))
+        inside = inside.join(parted.filter("parted"), "region").select(F.xxhash64("region", "p").alias("region"), "set", "g")
+        rest = rest.join(parted.filter("parted"), "region", "left_anti").select("region", "set", "g")
+        large = materialize(inside.unionByName(rest), "regions")
     return links, small
 
 
@@ -396,7 +432,7 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     leaf = (F.col("n") <= LEAF) & (F.col("w") <= WEIGHT)
     none = sets.select(F.col("set").alias("src"), F.col("set").alias("dst")).limit(0)
     big = regions.join(counts.filter(~leaf), "region").select("region", "set")
-    links, more = _rounds(materialize(big, "large"), sets, none)
+    links, more = _rounds(materialize(big, "large"), sets, firsts.select("set", "size"), none)
     small = regions.join(counts.filter(leaf), "region").select("region", "set")
     if more is not None:
         small = small.unionByName(more)
@@ -412,16 +448,13 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def _leaves(small: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of small regions. Regions that share sets are solved by one task where they hold few shingles
-    together, so that a set moves about once; else each region is a task's work of its own."""
+    """Links of small regions. Regions of the same least set are solved by one task where they hold few shingles
+    together, so that a set moves few times; else each region is a task's work of its own. A least set is in all of
+    its regions, so they are no more than its window has shingles, and no key gathers a whole group of copies."""
     small = materialize(small, "leaves")
-    by_region = small.groupBy("region").agg(F.min("set").alias("k3"))
-    for _ in range(3):  # regions that share sets come to share a key; what they do not share only costs moves
-        by_set = small.join(by_region, "region").groupBy("set").agg(F.min("k3").alias("k"))
-        by_region = materialize(small.join(by_set, "set").groupBy("region").agg(F.min("k").alias("k3")), "keys")
-    keyed = small.join(by_region, "region")
     size = sets.select("set", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    crowd = keyed.select("k3", "set").distinct().join(size, "set").groupBy("k3").agg((F.sum("n") > GATHER).alias("alone"))
-    tasks = keyed.join(crowd, "k3").select(F.when(F.col("alone"), F.col("region")).otherwise(F.col("k3")).alias("task"), "region", "set")
-    rows = tasks.groupBy("task", "set").agg(F.collect_set("region").alias("regions")).join(sets, "set")
+    by_region = small.join(size, "set").groupBy("region").agg(F.min("set").alias("least"), F.sum("n").alias("w"))
+    crowd = by_region.groupBy("least").agg((F.sum("w") > GATHER).alias("alone"))
+    keys = by_region.join(crowd, "least").select("region", F.when(F.col("alone"), F.col("region")).otherwise(F.col("least")).alias("task"))
+    rows = small.join(keys, "region").groupBy("task", "set").agg(F.collect_set("region").alias("regions")).join(sets, "set")
     return rows.groupBy("task").applyInArrow(trimmed(_solved), "src long, dst long")

@@ -86,6 +86,71 @@ def test_near_duplicates(docs, rows, leaf, monkeypatch):
     assert got == want
 
 
+def near_texts(rng, n, spread):
+    """Texts around a few others: links, chains of links, and many that are almost linked."""
+    words = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(3)]
+    out = []
+    for _ in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(spread)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        out.append(" ".join(w))
+    return out
+
+
+def linked_groups(texts):
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_regions_by_several_pivots():
+    """Cells and windows lose no link, and items that hang together are not measured one by one."""
+    for seed in range(6):
+        texts = near_texts(random.Random(seed), 150, 1 + seed)
+        hashed = jaccard.shingle_sets(pa.array(texts))
+        task = jaccard.Task([hashed[1][hashed[0] == i] for i in range(len(texts))])
+        jaccard.solve(list(range(len(texts))), task)
+        got, want = [task.groups.find(i) for i in range(len(texts))], linked_groups(texts)
+        assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+        assert task.done.sum() <= len(set(want)) + 4 * jaccard.PIVOTS
+    d = np.array([[0.0, 0.1, 0.9, 0.8], [0.9, 0.9, 0.0, 0.2]])
+    assert jaccard.cells(d).tolist() == [[True, True, False, False], [False, False, True, True]]
+
+
+def test_large_regions_in_rounds(spark, monkeypatch):
+    for name, x in (("LEAF", 20), ("WIDE", 6), ("GATHER", 2000)):
+        monkeypatch.setattr(jaccard, name, x)
+    texts = near_texts(random.Random(3), 240, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(linked_groups(texts)))
+
+
+def test_shared_text_alone_makes_no_region():
+    """Sets that share three quarters of their shingles and no more are not linked: no shingle of the inner windows
+    is common to them, so not one pair is measured."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 62, 75, dtype=np.uint64)
+    rows = [np.sort(np.concatenate([common, rng.integers(0, 1 << 62, 25, dtype=np.uint64)])) for _ in range(300)]
+    doc, h, n = np.repeat(np.arange(300), 100), np.concatenate(rows), np.full(300, 100)
+    table, bits = np.zeros(jaccard.SLOTS, np.uint8), 40
+    table[(jaccard.mix(common >> np.uint64(64 - bits)) % np.uint64(jaccard.SLOTS)).astype(np.int64)] = 8
+    outer, inner = jaccard.windows(doc, h, n, table, bits)
+    assert inner.sum() == 300 * (100 - 86 + 1 + 6) and not np.isin(h[inner], common).any() and np.isin(h[outer], common).any()
+
+
 def test_language(docs, spark):
     rng = random.Random(5)
     en, fr = ["the", "of", "and", "that", "with"], ["les", "été", "où", "ça", "des"]
