@@ -78,4 +78,6 @@ def active_value(c: Column) -> Column:
 
 def display_text(c: Column) -> Column:
     """Control and direction characters shown as code points, so that a name cannot pose as another."""
-    return F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f‎‏‪-‮⁦-⁩]", "�")
+    hidden = "[\\x00-\\x1f\\x7f-\\x9f\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]"
+    shown = lambda x: F.when(x.rlike(hidden), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(x))), 4, "0"))).otherwise(x)
+    return F.when(c.rlike(hidden), F.array_join(F.transform(F.split(c, ""), shown), "")).otherwise(c)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lexicon import ALIAS_PREFIX
+from ..session import materialize
 
 
 def _prefix(category: Column) -> Column:
@@ -51,8 +52,6 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """Row numbers in each prefix by (first_seen, surface), by range slices that are counted first."""
     key = F.struct("first_seen", "surface")
     sliced = rows.repartitionByRange(64, "first_seen", "surface").withColumn("_s", F.spark_partition_id())
-    from ..session import materialize
-
     sliced = materialize(sliced, "slices")
     n = sliced.groupBy("prefix", "_s").agg(F.count("*").alias("n"))
     past = n.withColumn("past", F.coalesce(F.sum("n").over(Window.partitionBy("prefix").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -89,18 +88,20 @@ def keyed_alias(key: bytes, kind: str = "DOC"):
 def plan_paths(df: DataFrame, parent: str, leaf: str, is_dir: str = "is_dir", raw: str = "relpath") -> DataFrame:
     """df with planned: the leaf, from the second claim of a name in a directory on with `__2`, `__3` before
     its extension; directories come first, then by raw path. A made name that is taken moves on."""
-    order = Window.partitionBy(parent, F.lower(leaf)).orderBy(F.col(is_dir).desc(), raw)
-    stem, ext = F.regexp_extract(leaf, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(leaf, r"^(.+?)(\.[^.]*)?$", 2)
-    numbered = df.withColumn("_n", F.row_number().over(order))
-    made = F.when(F.col("_n") == 1, F.col(leaf)).when(F.col(is_dir), F.concat(F.col(leaf), F.lit("__"), F.col("_n").cast("string"))).otherwise(F.concat(stem, F.lit("__"), F.col("_n").cast("string"), ext))
-    out = numbered.withColumn("planned", made)
-    for _ in range(8):
-        again = F.row_number().over(Window.partitionBy(parent, F.lower("planned")).orderBy(F.col("_n"), F.col(is_dir).desc(), raw))
-        out = out.withColumn("_again", again).cache()
+    def with_number(name: Column, n: Column) -> Column:
+        stem, ext = (F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", i) for i in (1, 2))
+        suffix = F.concat(F.lit("__"), n.cast("string"))
+        return F.when(F.col(is_dir), F.concat(name, suffix)).otherwise(F.concat(stem, suffix, ext))
+
+    first = [F.col(is_dir).desc(), F.col(raw)]
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(parent, F.lower(leaf)).orderBy(*first)))
+    out = numbered.withColumn("planned", F.when(F.col("_n") == 1, F.col(leaf)).otherwise(with_number(F.col(leaf), F.col("_n"))))
+    while True:  # a name that moves on gets longer, so this ends
+        again = F.row_number().over(Window.partitionBy(parent, F.lower("planned")).orderBy("_n", *first))
+        out = materialize(out.withColumn("_again", again), "planned")
         if out.filter("_again > 1").isEmpty():
-            break
-        out = out.withColumn("planned", F.when(F.col("_again") > 1, F.concat("planned", F.lit("__"), (F.col("_again") + 1).cast("string"))).otherwise(F.col("planned"))).drop("_again")
-    return out.drop("_n", "_again")
+            return out.drop("_n", "_again")
+        out = out.withColumn("planned", F.when(F.col("_again") > 1, with_number(F.col("planned"), F.col("_again"))).otherwise(F.col("planned"))).drop("_again")
 
 
 def mapping_export(mapping: DataFrame) -> DataFrame:

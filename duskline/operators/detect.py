@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.text import find_latin_names, folded, latin_names
 
 #: Java reads \d, \w and \b as ASCII unless told otherwise.
 UNICODE = "(?U)"
@@ -25,15 +26,15 @@ def terms(text: str, rules: lx.Rules) -> Column:
     known = lx.term_categories(rules)
     if not known:
         return F.array().cast("array<struct<category:string,surface:string,source:string>>")
-    order = ["KEYWORD", "ORG", "NAME_LIST", "PROFESSION", "IDENTITY"]
+    # letters that Java's case folding takes for others, as the pattern does
+    fold = lambda x: F.lower(F.translate(x, "\u0130\u017f\u212a", "isk"))
+    by_fold: dict[str, str] = {}
+    for t in sorted(known, key=lambda t: lx.TERM_ORDER.index(known[t])):
+        by_fold.setdefault(t.translate(str.maketrans("\u0130\u017f\u212a", "isk")).lower(), known[t])
+    table = F.create_map(*[F.lit(x) for pair in by_fold.items() for x in pair])
 
     def category(s: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for c in reversed(order):
-            own = {t: c for t, k in known.items() if k == c}
-            if own:
-                out = F.when(s.rlike("(?iu)^(?:" + lx.alternation({t: "" for t in own}) + ")$"), F.lit(c)).otherwise(out)
-        return out
+        return F.element_at(table, fold(s))
 
     return _tagged(_all(text, "(?iu)" + lx.alternation(known)), category, "terms")
 
@@ -45,7 +46,7 @@ def patterns(text: str, rules: lx.Rules) -> Column:
 
 
 def organisations(text: str, rules: lx.Rules) -> Column:
-    suffix = "|".join(sorted(rules.org_suffixes, key=len, reverse=True))
+    suffix = "|".join(sorted(rules.organisation_ends, key=len, reverse=True))
     found = [_tagged(_all(text, UNICODE + lx.ENGLISH_ORG), "ORG", "organisations")]
     if suffix:
         found.insert(0, _tagged(_all(text, f"[一-鿿]{{2,15}}?(?:{suffix})"), "ORG", "organisations"))
@@ -104,7 +105,7 @@ def context_terms(text: str) -> Column:
 
 
 def ordinary(text: str, rules: lx.Rules) -> Column:
-    """All findings that name or mask something by themselves."""
+    """All findings that name or mask something by themselves, but names in Latin script, which findings adds."""
     return F.concat(terms(text, rules), patterns(text, rules), organisations(text, rules), english_names(text), surnames(text))
 
 
@@ -113,10 +114,18 @@ def contextual(text: str) -> Column:
     return F.concat(dates(text), locations(text), context_terms(text))
 
 
-def findings(strings: DataFrame, column: str, found: Column) -> DataFrame:
-    """Rows (string, category, surface, source) of each distinct string of the column."""
+def findings(strings: DataFrame, column: str, found: Column, names: lx.Rules | None = None) -> DataFrame:
+    """Rows (string, category, surface, source) of each distinct string of the column. With names, names in Latin script
+    are looked for too, by a Python function that only strings which may hold one reach."""
     distinct = strings.filter(F.col(column).isNotNull()).select(column).distinct()
-    return distinct.select(column, F.explode(F.array_distinct(found)).alias("f")).select(column, "f.*")
+    out = distinct.select(column, F.explode(F.array_distinct(found)).alias("f")).select(column, "f.*")
+    if names is None or not names.latin_names:
+        return out
+    able = distinct.filter(F.col(column).rlike(latin_names(names.no_names).possible()))
+    named = able.select(column, F.explode(find_latin_names(column, names.no_names)).alias("surface"))
+    named = named.select(column, F.lit("PERSON").alias("category"), "surface", F.lit("latin_names").alias("source"))
+    # a surface that is a term or a name already is not found again
+    return out.unionByName(named).groupBy(column, "category", "surface").agg(F.max("source").alias("source"))
 
 
 def signals(entries: DataFrame, rules: lx.Rules, context: bool = True) -> DataFrame:
@@ -127,8 +136,8 @@ def signals(entries: DataFrame, rules: lx.Rules, context: bool = True) -> DataFr
     """
     exploded = entries.select("entry_id", F.posexplode("parts").alias("component_index", "part"))
     found = F.concat(ordinary("part", rules), contextual("part")) if context else ordinary("part", rules)
-    once = findings(exploded, "part", found)
-    return exploded.join(once, "part").select("entry_id", "component_index", "category", "surface", F.lower("surface").alias("normalized"), "source")
+    once = findings(exploded, "part", found, rules).withColumn("normalized", folded("surface"))
+    return exploded.join(once, "part").select("entry_id", "component_index", "category", "surface", "normalized", "source")
 
 
 def unmatched(strings: DataFrame, column: str, found: DataFrame, most: int | None = None) -> DataFrame:

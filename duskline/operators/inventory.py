@@ -60,21 +60,32 @@ def drop_excluded(df: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def hide(df: DataFrame, terms: list[str]) -> DataFrame:
-    """With hidden: a directory whose name holds a term stays, hidden, and what is below it goes."""
+    """With hidden: a directory whose name holds a term stays, hidden, with the bytes below it as its size; what is
+    below it goes."""
     pattern = "(?iu)" + "|".join(re.escape(t) for t in expand_terms(terms)) if terms else "(?!)"
     marks = F.transform("parts", lambda p: p.rlike(pattern))
-    first = F.array_position(marks, True)
-    named = df.withColumn("_first", first)
+    named = df.withColumn("_first", F.array_position(marks, True))
     inside = (F.col("_first") > 0) & (F.col("_first") < F.col("depth"))
-    return named.filter(~inside).withColumn("hidden", (F.col("_first") == F.col("depth")) & F.col("is_dir")).drop("_first")
+    root = F.array_join(F.slice("parts", 1, F.col("_first").cast("int")), "/")
+    below = named.filter(inside & ~F.col("is_dir")).groupBy(root.alias("relpath")).agg(F.sum("size").alias("_below"))
+    left = named.filter(~inside).withColumn("hidden", (F.col("_first") == F.col("depth")) & F.col("is_dir")).drop("_first").join(below, "relpath", "left")
+    return left.withColumn("size", F.when(F.col("hidden"), F.coalesce("_below", F.lit(0))).otherwise(F.col("size"))).select(*df.columns, "hidden")
+
+
+def drop_links(df: DataFrame, link: str = "is_link") -> DataFrame:
+    """Entries that are no link and lie below none: links are never followed."""
+    return _outside(df, df.filter(F.col(link)).select(F.col("relpath").alias("_root")))
+
+
+def _outside(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries that are neither one of roots (_root) nor below one; the empty root holds all."""
+    prefixes = df.select("entry_id", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.array_join(F.slice("parts", 1, i), "/")))).alias("_root"))
+    return df.join(prefixes.join(roots.distinct(), "_root").select("entry_id").distinct(), "entry_id", "left_anti")
 
 
 def drop_protected(df: DataFrame, marker: str) -> DataFrame:
     """Entries outside of every directory that holds the marker file, whatever is in it."""
-    roots = df.filter(F.element_at("parts", -1) == marker).select(F.array_join(F.slice("parts", 1, F.col("depth") - 1), "/").alias("_root")).distinct()
-    prefixes = df.select("entry_id", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.array_join(F.slice("parts", 1, i), "/")))).alias("_root"))
-    inside = prefixes.join(roots, "_root").select("entry_id").distinct()
-    return df.join(inside, "entry_id", "left_anti")
+    return _outside(df, df.filter(F.element_at("parts", -1) == marker).select(F.array_join(F.slice("parts", 1, F.col("depth") - 1), "/").alias("_root")))
 
 
 def limit_depth(df: DataFrame, most: int) -> DataFrame:
@@ -89,9 +100,11 @@ def ancestors(df: DataFrame) -> DataFrame:
 
 
 def directory_sizes(df: DataFrame) -> DataFrame:
-    """Bytes and files below each directory, at any depth: rows (directory, total_size, n_files)."""
-    files = ancestors(df.filter(~F.col("is_dir")))
-    return files.groupBy(F.col("ancestor").alias("directory")).agg(F.sum("size").alias("total_size"), F.count("*").alias("n_files"))
+    """Bytes and files below each directory, at any depth: rows (directory, total_size, n_files). A hidden directory
+    counts with the bytes below it in those above it, and not as a file."""
+    hidden = F.col("hidden") if "hidden" in df.columns else F.lit(False)
+    counted = ancestors(df.filter(~F.col("is_dir") | hidden))
+    return counted.groupBy(F.col("ancestor").alias("directory")).agg(F.sum("size").alias("total_size"), F.count_if(~F.col("is_dir")).alias("n_files"))
 
 
 def parent_edges(df: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def counts(df: DataFrame) -> DataFrame:
 
 def prepare(paths: DataFrame, rules: Rules) -> DataFrame:
     """The usual scan: entries, then excludes, then hidden directories."""
-    return hide(drop_excluded(entries(paths), rules.excludes), rules.hidden)
+    return hide(drop_excluded(entries(paths), rules.prune), rules.hide)
 
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
@@ -166,8 +179,18 @@ def flatten_tree(df: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     if expanded is not None:
         closed = ancestors(df).join(expanded.select(F.col("directory").alias("ancestor")), "ancestor", "left_anti").select("entry_id").distinct()
         shown = df.join(closed, "entry_id", "left_anti")
-    ordinal = F.row_number().over(Window.orderBy("parts"))  # a view of one screen's tree, not of an inventory
-    return shown.withColumn("ordinal", ordinal)
+    return number_rows(shown, "parts")
+
+
+def number_rows(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
+    """df with ordinal, its row number in an order: range slices are counted first, so no task holds all rows."""
+    from ..session import materialize
+
+    sliced = materialize(df.repartitionByRange(ranges, *order).withColumn("_s", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    past = sliced.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_past"))  # one row for each range
+    inner = F.row_number().over(Window.partitionBy("_s").orderBy(*order))
+    return sliced.withColumn("_i", inner).join(F.broadcast(past), "_s").withColumn("ordinal", (F.col("_i") + F.col("_past")).cast("int")).drop("_s", "_i", "_past")
 
 
 def listing_json(df: DataFrame) -> DataFrame:

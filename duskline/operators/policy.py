@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import generalize as gz
 from ..functions.lexicon import SCHOOL_SUFFIXES, Rules
+from ..functions.text import folded
 from ..session import materialize
 from . import detect, risk
-from .subjects import SENSITIVE
+from .subjects import EVENTS
 
 CONTEXT = ("dates", "locations", "context")
 
@@ -25,8 +26,8 @@ class PolicyRejected(RuntimeError):
 def context_signals(entries: DataFrame) -> DataFrame:
     """Dates, places and domain terms of the paths as they are now; ordinary signals are never looked for again."""
     exploded = entries.select("entry_id", F.posexplode("parts").alias("component_index", "part"))
-    once = detect.findings(exploded, "part", detect.contextual("part"))
-    return exploded.join(once, "part").select("entry_id", "component_index", "category", "surface", F.lower("surface").alias("normalized"), "source")
+    once = detect.findings(exploded, "part", detect.contextual("part")).withColumn("normalized", folded("surface"))
+    return exploded.join(once, "part").select("entry_id", "component_index", "category", "surface", "normalized", "source")
 
 
 def suppress(entries: DataFrame, signals: DataFrame, risks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -65,7 +66,7 @@ def replacement(category: Column, surface: Column, asked: Column, strongest: Col
         .when(has("generalize_location") & category.startswith("LOCATION_"), F.when(strongest, "[LOCATION]").otherwise(gz.location(surface)))
         .when(has("generalize_role") & (category == "PROFESSION"), gz.role(surface))
         .when(has("generalize_school") & (category == "ORG") & school, gz.school(surface))
-        .when(has("redact_event") & category.isin(*SENSITIVE), F.lit("[EVENT]"))
+        .when(has("redact_event") & category.isin(*EVENTS), F.lit("[EVENT]"))
     )
 
 
@@ -96,12 +97,12 @@ def enforce(entries: DataFrame, signals: DataFrame, rules: Rules, namespace: str
 
     def look(e: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
         every = materialize(s.unionByName(context_signals(e)), "signals")
-        return every, materialize(risk.analyze(e, every, rules.k, rules.whole_release, namespace), "risks")
+        return every, materialize(risk.analyze(e, every, rules.k, rules.one_subject, namespace), "risks")
 
     every, remaining = look(now, ordinary)
     initial, actions, passes = remaining, None, 0
     high = remaining.filter("severity = 'high'").count()
-    while high and passes < rules.max_passes:
+    while high and passes < rules.passes:
         now1, every1, done1 = suppress(now, every, remaining)
         now2, every2, done2 = generalize(now1, every1, remaining)
         done = materialize(done1.unionByName(done2).withColumn("pass", F.lit(passes + 1)), "actions")
@@ -112,30 +113,28 @@ def enforce(entries: DataFrame, signals: DataFrame, rules: Rules, namespace: str
         actions = done if actions is None else actions.unionByName(done)
         every, remaining = look(now, ordinary)
         high = remaining.filter("severity = 'high'").count()
-    if high and rules.fail_closed:
+    if high and rules.must_settle:
         raise PolicyRejected(high, passes)
     return {"entries": now, "signals": ordinary, "initial": initial, "remaining": remaining, "actions": actions, "passes": passes, "rejected": bool(high)}
 
 
-def blur_structure(entries: DataFrame, path: str = "relpath", most_levels: int = 64) -> DataFrame:
-    """Collapses runs of two or more single-child directories under a top-level one to `top/[PATH]`.
+def blur_structure(entries: DataFrame, path: str = "relpath") -> DataFrame:
+    """Collapses runs of two or more single-child directories under a top-level one to `top/[PATH]`, however long.
 
-    The top-level name and what lies below the run stay; names and number of the directories between go.
+    The top-level name and what lies below the run stay; names and number of the directories between go. A top-level
+    directory with a run has one child, the first of the run, so the new name is free or the run's own.
     """
-    known = entries.withColumn("_parent", F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(""))
+    p, depth = F.col(path), F.size(F.split(path, "/"))
+    known = entries.withColumn("_parent", F.when(F.instr(p, "/") > 0, F.regexp_replace(p, "/[^/]*$", "")).otherwise(""))
     only = known.groupBy("_parent").agg(F.count_distinct(path).alias("n"), F.min(path).alias("child")).filter("n = 1 and _parent != ''").select("_parent", "child")
-    dirs = entries.filter(F.col("is_dir") & ~F.coalesce(F.col("hidden") if "hidden" in entries.columns else F.lit(False), F.lit(False))).select(F.col(path).alias("child"))
-    step = materialize(only.join(dirs, "child", "left_semi"), "chain")
-    tops = entries.filter(F.col("is_dir") & (F.instr(path, "/") == 0)).select(F.col(path).alias("top"), F.col(path).alias("end"), F.lit(0).alias("n"))
-    done = None
-    for _ in range(most_levels):
-        nxt = tops.join(step, tops["end"] == step["_parent"], "left")
-        stop = nxt.filter("child is null").select("top", "end", "n")
-        tops = materialize(nxt.filter("child is not null").select("top", F.col("child").alias("end"), (F.col("n") + 1).alias("n")), "chain")
-        done = stop if done is None else done.unionByName(stop)
-        if tops.isEmpty():
-            break
-    runs = materialize(done.filter("n >= 2").select("top", "end"), "runs")
+    dirs = entries.filter(F.col("is_dir") & ~F.coalesce(F.col("hidden") if "hidden" in entries.columns else F.lit(False), F.lit(False)))
+    step = materialize(only.join(dirs.select(p.alias("child")), "child", "left_semi").withColumn("parts", F.split("child", "/")), "steps")
+    # a directory is on the run if each one above it has one child, a directory
+    above = step.select("child", F.size("parts").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.array_join(F.slice("parts", 1, i), "/"))).alias("_parent"))
+    on = above.join(step.select("_parent"), "_parent").groupBy("child", "n").agg(F.count("*").alias("single")).filter("single = n - 1")
+    tops = dirs.filter(depth == 1).select(p.alias("top"))
+    ends = on.groupBy(F.split("child", "/")[0].alias("top")).agg(F.max(F.struct("n", "child")).alias("m")).filter("m.n >= 3")
+    runs = materialize(ends.select("top", F.col("m.child").alias("end")).join(tops, "top", "left_semi"), "runs")
     named = entries.withColumn("top", F.split(path, "/")[0]).join(runs, "top", "left")
     p, end = F.col(path), F.col("end")
     inside = end.isNotNull() & end.startswith(F.concat(p, F.lit("/"))) & (p != F.col("top"))

@@ -9,7 +9,9 @@ from ..functions.lexicon import SCHOOL_SUFFIXES
 from .graph import connected_components
 
 WHOLE = "__WHOLE_RELEASE__"
-SENSITIVE = ("MEDICAL", "LEGAL", "FINANCIAL", "POLITICAL", "FAMILY")
+#: Categories that are events of a life, and all that are sensitive by themselves.
+EVENTS = ("MEDICAL", "LEGAL", "FINANCIAL", "POLITICAL", "FAMILY")
+SENSITIVE = (*EVENTS, "IDENTITY", "KEYWORD", "PATTERN")
 
 
 def entry_groups(entries: DataFrame, whole_release: bool = False) -> DataFrame:
@@ -56,7 +58,7 @@ def categories(category: Column, surface: Column) -> Column:
         .when(category == "ORG", F.array(F.lit("ORG")))
         .when(category == "PROFESSION", F.array(F.lit("ROLE")))
         .when(category.isin("EDUCATION", "MAJOR", "AWARD"), F.array(category))
-        .when(category.isin(*SENSITIVE), F.array(F.lit("EVENT")))
+        .when(category.isin(*EVENTS), F.array(F.lit("EVENT")))
     )
 
 

@@ -43,7 +43,7 @@ _ALT = "|".join(sorted(LISTED + ALERTS, key=lambda t: (-len(t), t)))
 SELECT lang, CASE WHEN lower(surface) IN ({", ".join(f"'{t}'" for t in LISTED)}) THEN 'NAME_LIST' ELSE 'KEYWORD' END AS category, count(*) AS n
 FROM (SELECT lang, unnest(regexp_extract_all(text, '(?i){_ALT}')) AS surface FROM documents) GROUP BY 1, 2""")
 def detect_terms_by_language(spark, sf_dir):
-    rules = lx.Rules(keywords=ALERTS, names=LISTED, identity_terms=[], professions=[])
+    rules = lx.Rules(terms={"KEYWORD": ALERTS, "NAME_LIST": LISTED})
     found = table(spark, sf_dir, "documents").select("lang", F.explode(detect.terms("text", rules)).alias("f"))
     return found.groupBy("lang", F.col("f.category").alias("category")).agg(F.count("*").alias("n"))
 
@@ -51,7 +51,7 @@ def detect_terms_by_language(spark, sf_dir):
 @query("""
 SELECT role, count(*) AS n_turns, count(*) FILTER (regexp_matches(lower(text), 'worthless|pathetic|idiot')) AS flagged FROM conversations GROUP BY role""")
 def detect_conversation_terms(spark, sf_dir):
-    rules = lx.Rules(keywords=[], names=["worthless", "pathetic", "idiot"], identity_terms=[], professions=[])
+    rules = lx.Rules(terms={"NAME_LIST": ["worthless", "pathetic", "idiot"]})
     turns = table(spark, sf_dir, "conversations")
     return turns.groupBy("role").agg(F.count("*").alias("n_turns"), F.count_if(F.size(detect.terms("text", rules)) > 0).alias("flagged"))
 
@@ -74,7 +74,7 @@ def detect_and_generalize_dates(spark, sf_dir):
 SELECT count(DISTINCT part) AS distinct_parts, sum(n) AS parts, sum(n) FILTER (regexp_matches(part, '(?i)item')) AS with_term
 FROM (SELECT part, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) AS part FROM pages) GROUP BY part)""")
 def detect_once_per_component(spark, sf_dir):
-    rules = lx.Rules(keywords=["item"], patterns={}, identity_terms=[], professions=[], org_suffixes=[])
+    rules = lx.Rules(terms={"KEYWORD": ["item"]}, patterns={}, organisation_ends=[])
     parts = table(spark, sf_dir, "pages").select(F.explode(F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")).alias("part"))
     n = parts.groupBy("part").agg(F.count("*").alias("n"))
     hit = detect.findings(parts, "part", detect.terms("part", rules)).select("part").distinct().withColumn("hit", F.lit(True))
@@ -84,7 +84,7 @@ def detect_once_per_component(spark, sf_dir):
 @query(f"""
 SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '{EMAIL}') AND NOT regexp_matches(text, '(?i)token =')""")
 def detect_unmatched(spark, sf_dir):
-    rules = lx.Rules(keywords=["token ="], patterns={"email": lx.PATTERNS["email"]}, identity_terms=[], professions=[])
+    rules = lx.Rules(terms={"KEYWORD": ["token ="]}, patterns={"email": lx.PATTERNS["email"]})
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", F.explode(F.concat(detect.terms("text", rules), detect.patterns("text", rules))).alias("f"))
     return docs.join(found, "doc_id", "left_anti").select("doc_id")

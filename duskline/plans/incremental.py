@@ -67,7 +67,7 @@ def streamed_snapshot(spark, sf_dir):
     stream = st.read_changes(spark, f"{sf_dir}/events*.parquet", schema).select("user_id", "event_id", "event_type", (F.col("event_type") == "purchase").alias("deleted"))
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = st.keep_snapshot(stream, f"{at}/table", f"{at}/progress", "user_id", "event_id")
-    return st.last_snapshot(spark, q, f"{at}/table")
+    return st.last_snapshot(spark, q, f"{at}/table", key="user_id", order="event_id")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id >= 100 AND event_id < 900 AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")

@@ -19,9 +19,12 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a local one is made and set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster, whose
+    executors share no local folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         found = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,7 +36,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     executor costs only the tasks that ran on it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize wrote for df, which nothing may read any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.incremental import latest, merge_changes
+from ..operators.incremental import latest
 
 
 def read_changes(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,27 +24,29 @@ def windowed_counts(stream: DataFrame, ts: str, delay: str, window: str, by: lis
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
-def keep_snapshot(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "usn", deleted: str = "deleted") -> StreamingQuery:
-    """Merges each batch into a snapshot with a version for each batch: `target/v=<batch>`. A batch that is tried
-    again writes the same version again, from the version before it, so nothing is merged twice."""
-    columns = [c for c in stream.columns if c != deleted]
+def keep_snapshot(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "usn", compact: int = 16) -> StreamingQuery:
+    """Writes the last change of each key of a batch to `target/v=<batch>`; every so many batches a version holds all
+    keys. Deletions stay in it as rows, so an older change that comes late cannot bring a row back. A batch that is
+    tried again writes the same version again from those before it, so nothing is merged twice."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changes = latest(batch, key, order)
-        if number == 0:
-            now = changes.filter(~F.col(deleted)).select(*columns)
-        else:
-            base = spark.read.parquet(f"{target}/v={number - 1}")
-            seen = base.select(F.col(key).alias("_k"), F.col(order).alias("_o"))
-            # what a row already has is not undone by an older change that comes late
-            newer = changes.join(seen, F.col(key) == F.col("_k"), "left").filter(F.col("_o").isNull() | (F.col(order) > F.col("_o"))).select(*changes.columns)
-            now = merge_changes(base, newer, key, order, deleted)
-        now.write.mode("overwrite").parquet(f"{target}/v={number}")
+        now = batch
+        if number and number % compact == 0:
+            now = _versions(batch.sparkSession, target, number - 1, compact).unionByName(batch)
+        latest(now, key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_snapshot(spark: SparkSession, query: StreamingQuery, target: str) -> DataFrame:
+def _versions(spark: SparkSession, target: str, last: int, compact: int) -> DataFrame:
+    return spark.read.parquet(*[f"{target}/v={v}" for v in range(last - last % compact, last + 1)])
+
+
+def read_snapshot(spark: SparkSession, target: str, last: int, key: str = "id", order: str = "usn", deleted: str = "deleted", compact: int = 16) -> DataFrame:
+    """The rows that stand after batch `last`: at most `compact` versions are merged."""
+    return latest(_versions(spark, target, last, compact), key, order).filter(~F.col(deleted)).drop(deleted)
+
+
+def last_snapshot(spark: SparkSession, query: StreamingQuery, target: str, **names) -> DataFrame:
     query.awaitTermination()
-    return spark.read.parquet(f"{target}/v={query.lastProgress['batchId']}")
+    return read_snapshot(spark, target, query.lastProgress["batchId"], **names)

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from duskline.functions import lexicon as lx
-from duskline.functions.text import edited, latin_names, normalize, source_span, syllable_count, syllables
+from duskline.functions import script
+from duskline.functions.text import edited, latin_names, normalize, source_span, syllables
 from duskline.operators import detect
 
 
@@ -46,7 +47,7 @@ def test_words_inside_other_words_are_not_found(spark):
 
 
 def test_precedence_of_categories(spark):
-    rules = lx.Rules(keywords=["甲乙"], names=["甲乙", "丙丁"], orgs=["丙丁"])
+    rules = lx.Rules(terms={"KEYWORD": ["甲乙"], "NAME_LIST": ["甲乙", "丙丁"], "ORG": ["丙丁"]})
     got = found(spark, ["甲乙", "丙丁"], rules, lambda r: detect.terms("name", r))
     assert got == {"甲乙": {("KEYWORD", "甲乙")}, "丙丁": {("ORG", "丙丁")}}
 
@@ -84,43 +85,62 @@ def test_late_stage_uses_the_cache_and_stops_after_failures(spark):
 
 
 def test_unknown_rules_are_errors():
-    assert lx.Rules.load({"names": ["x"], "k": 5}).k == 5
-    assert "R18" in lx.Rules.load({"keywords": ["y"]}).keywords
+    assert lx.Rules.load({"terms": {"NAME_LIST": ["x"]}, "k": 5}).k == 5
+    assert {"R18", "y"} <= set(lx.Rules.load({"terms": {"KEYWORD": ["y"]}}).terms["KEYWORD"])
     with pytest.raises(ValueError):
         lx.Rules.load({"nonsense": 1})
 
 
-def test_normalisation_maps_back():
-    text, runs = normalize("Ａb學ﬁx")
+def test_normalisation_maps_back(spark):
+    simple = script.to_simplified()
+    text, runs = normalize("Ａb學ﬁx", simple)
     assert text == "ab学fix"
     assert source_span(runs, 0, 2) == (0, 2)
     assert source_span(runs, 3, 4) == (3, 4)
-    assert normalize("") == ("", [])
-    assert normalize("Straße")[0] == "strasse"
+    assert normalize("", simple) == ("", [])
+    assert normalize("Straße", simple)[0] == "strasse"
 
 
 def test_edits_do_not_cascade():
     assert edited("abcabc", [(0, 2, "X"), (1, 3, "Y"), (3, 4, "abc")]) == "Xcabcbc"
 
 
-def test_latin_names():
-    assert latin_names("LICENSE-Li-Si.txt") == ["Li-Si"]
-    assert "ZhangSan" in latin_names("license-ZhangSan.txt")
-    assert "zhangsan" in latin_names("LICENSE-zhangsan.txt")
-    assert latin_names("cache license machine") == []
-    assert syllable_count("xiaoming") == 2 and syllable_count("qwrt") == 0
-    assert {"zhang", "xiong", "lve", "er", "zhuang"} <= syllables()
+def test_latin_names(spark):
+    names = latin_names(["Ma Li"])
+    found = names.find
+    assert found("LICENSE-Li-Si.txt") == ["Li-Si"]
+    assert "ZhangSan" in found("license-ZhangSan.txt")
+    assert "zhangsan" in found("LICENSE-zhangsan.txt")
+    assert found("cache license machine") == [] and found("Liu Go") == [] and found("MaLi") == [] and found("li ne") == ["li ne"]
+    assert found("OuyangFeng") == ["OuyangFeng"] and found("San Zhang") == ["San Zhang"] and found("Zhang Xiao Ming wrote") == ["Zhang Xiao Ming"]
+    assert found("lime") == found("Li_Me") == []
+    assert names.count("xiaoming") == 2 and names.count("qwrt") == 0
+    assert {"zhang", "xiong", "lve", "er", "zhuang"} <= syllables() and not {"go", "ro", "sho", "tiang"} & syllables()
+
+
+def test_latin_names_are_found_in_a_scan(spark):
+    got = found(spark, ["report-ZhangSan.txt", "notes li si.md", "plain words", "Ｂｏｂ 報告"])
+    assert got["report-ZhangSan.txt"] == set()  # as a column alone, detectors know no names in Latin script
+    e = spark.createDataFrame([("a", ["report-ZhangSan.txt"]), ("b", ["notes li si.md", "plain words"])], "entry_id string, parts array<string>")
+    rows = {(r.entry_id, r.category, r.surface, r.normalized) for r in detect.signals(e, lx.Rules()).collect()}
+    assert rows == {("a", "PERSON", "ZhangSan", "zhangsan"), ("b", "PERSON", "li si", "li si")}
+    assert not detect.signals(e, lx.Rules(latin_names=False)).collect()
+
+
+def test_values_are_compared_folded(spark):
+    e = spark.createDataFrame([("a", ["Ｂｏｂ"]), ("b", ["Bob"])], "entry_id string, parts array<string>")
+    rows = detect.signals(e, lx.Rules(terms={"NAME_LIST": ["Bob"]})).collect()
+    assert {r.normalized for r in rows} == {"bob"} and len(rows) == 2
 
 
 def test_all_documents_are_normalized(spark, tmp_path):
     """Each place of the view leads to the source it was made from, in texts that are not ASCII too."""
     import unicodedata
 
-    from duskline.functions.lexicon import SCRIPT_PAIRS
     from duskline.functions.text import source_span
     from duskline.plans.detection import normalize_documents
 
-    simple = {v: k for k, v in SCRIPT_PAIRS.items()}
+    simple = script.to_simplified()
     view = lambda t: "".join(simple.get(c, c) for c in unicodedata.normalize("NFKC", t).casefold())
     texts = ["Plain ASCII", "Straße ÉTÉ", "cafe\u0301 ＡＢ１", "ﬁle Ⅳ", "北京大學", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

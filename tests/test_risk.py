@@ -26,7 +26,7 @@ def test_support_of_k_subjects_is_no_risk(spark):
 
 def test_people_link_directories(spark):
     e = entries(spark, "records-a/张三文档.txt", "records-b/张三照片.jpg")
-    s = detect.signals(e, lx.Rules(names=["张三"])).cache()
+    s = detect.signals(e, lx.Rules(terms={**lx.Rules().terms, "NAME_LIST": ["张三"]})).cache()
     found = risk.analyze(e, s).filter("risk_type = 'cross_directory_linkage'").collect()
     assert len(found) == 1 and found[0].support is None and len(found[0].entry_ids) == 2 and found[0].severity == "medium"
 
@@ -67,7 +67,7 @@ def test_policy_leaves_no_high_risk(spark):
 def test_policy_refuses(spark):
     e = entries(spark, "subject-a/北京大学/计算机专业/2024-06-17住院记录.txt")
     with pytest.raises(policy.PolicyRejected):
-        policy.enforce(e, detect.signals(e, lx.Rules(), context=False), lx.Rules(max_passes=0))
+        policy.enforce(e, detect.signals(e, lx.Rules(), context=False), lx.Rules(passes=0))
 
 
 def test_blurred_chain(spark):
