@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
+from .graph import connected_components
+
 
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """Rows (key, change): added, removed, changed or same."""
@@ -115,3 +118,50 @@ def replay(occurrences: DataFrame, events: list[dict], most: int = 1000) -> Data
     return out
 
 
+def dependency_edges(cells: DataFrame, primary: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Rows (src, dst): documents that must be worked out together, each with the least one of the same dependency.
+
+    cells (document_id, role, entity_type, namespace, value) and primary (document_id, entity_type, namespace), the
+    key of each document's template: documents depend on each other that share a key's value, an identity or label
+    of the same primary key (compared folded, empty ones do not count), or quasi-identifiers of one primary key.
+    anchors (correction_id, document_id) join the documents of a standing correction.
+    """
+    own = primary.select("document_id", F.col("entity_type").alias("_t"), F.col("namespace").alias("_s"))
+    c = cells.join(own, "document_id").withColumn("_v", folded("value"))
+    part = lambda kind, *cols: F.struct(F.lit(kind).alias("kind"), *[F.coalesce(x, F.lit("")).alias(f"k{i}") for i, x in enumerate(cols)])
+    empty = F.lit("")
+    key = (
+        F.when(F.col("role") == "key", part("key", F.col("entity_type"), F.col("namespace"), F.col("value")))
+        .when(F.col("role").isin("identity", "label") & (F.col("value") != ""), part("label", F.col("_t"), F.col("_s"), F.col("_v")))
+        .when(F.col("role") == "quasi", part("cohort", F.col("_t"), F.col("_s"), empty))
+    )
+    rows = c.select("document_id", key.alias("key"))
+    if anchors is not None:
+        rows = rows.unionByName(anchors.select("document_id", part("correction", F.col("correction_id").cast("string"), empty, empty).alias("key")))
+    rows = rows.filter("key is not null").distinct()
+    least = rows.groupBy("key").agg(F.min("document_id").alias("src"))
+    return rows.join(least, "key").select("src", F.col("document_id").alias("dst")).distinct()
+
+
+def dependency_components(documents: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (document_id, component): the least document that dependencies lead to; a document without any is its own."""
+    found = connected_components(edges).withColumnRenamed("node", "document_id")
+    return documents.select("document_id").join(found, "document_id", "left").select("document_id", F.coalesce("component", "document_id").alias("component"))
+
+
+def component_digests(members: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Rows (component, digest) of members (document_id, component) and their revisions (document_id, revision): what a
+    component's cached result is kept under, so that it is worked out again only if one of its documents changed."""
+    named = members.join(revisions, "document_id", "left").select("component", F.concat_ws(":", F.col("document_id").cast("string"), "revision").alias("m"))
+    one = named.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("m"))
+    return one.select("component", F.sha2("m", 256).alias("digest"))
+
+
+def expand_links(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (id, parent, name, ...) for each name of a file: changes (id, n_links, ...) with links (id, parent, name). A file
+    whose names are not as many as it says, or repeat, is an error: it changed while it was read."""
+    per = links.groupBy("id").agg(F.count("*").alias("_n"), F.count_distinct("parent", "name").alias("_d"))
+    wrong = changes.join(per, "id", "left").filter(~((F.coalesce("_n", F.lit(0)) == F.col("n_links")) & (F.coalesce("_d", F.lit(0)) == F.col("n_links"))))
+    if not wrong.isEmpty():
+        raise ValueError("hardlink count changed")
+    return changes.drop("parent", "name").join(links.select("id", "parent", "name"), "id")

@@ -201,6 +201,50 @@ def listing_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(row).alias("value"))
 
 
+def listing(df: DataFrame, root: str) -> DataFrame:
+    """The listing as lines that make up one JSON object {root, stats, entries}: rows (ordinal, value) in path order, so
+    that it can be written without being held in one place."""
+    stats = counts(df).select(F.to_json(F.struct(F.col("files"), F.col("dirs"), F.col("hidden_dirs"))).alias("s"))
+    label = F.col("size_label") if "size_label" in df.columns else F.lit(None).cast("string")
+    hidden = F.when(F.col("hidden"), True) if "hidden" in df.columns else F.lit(None).cast("boolean")
+    row = F.to_json(F.struct(F.col("relpath").alias("path"), F.when(F.col("is_dir"), "dir").otherwise("file").alias("type"), F.coalesce(label, F.col("size").cast("string")).alias("size"), hidden.alias("hidden")))
+    body = number_rows(df.select("relpath", row.alias("value")), "relpath").select("ordinal", F.concat(F.when(F.col("ordinal") > 1, ",").otherwise(""), "value").alias("value"))
+    head = stats.select(F.lit(0).alias("ordinal"), F.concat(F.lit('{"root":'), F.to_json(F.array(F.lit(root))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(root)))) - 2), F.lit(',"stats":'), "s", F.lit(',"entries":[')).alias("value"))
+    tail = df.agg((F.count("*") + 1).cast("int").alias("ordinal")).select("ordinal", F.lit("]}").alias("value"))
+    return head.unionByName(body).unionByName(tail).orderBy("ordinal")
+
+
+def components(df: DataFrame, leaf_only: bool = False) -> DataFrame:
+    """Rows (entry_id, component_index, part): all components of each path, or its last one."""
+    if leaf_only:
+        return df.select("entry_id", (F.col("depth") - 1).alias("component_index"), F.element_at("parts", -1).alias("part"))
+    return df.select("entry_id", F.posexplode("parts").alias("component_index", "part"))
+
+
+def in_scope(nodes: DataFrame, paths: DataFrame, private: str) -> DataFrame:
+    """Nodes (id, ..., is_link) with a path from the root (paths: id, path), no link, and none of whose path's components
+    is the private directory."""
+    inside = F.exists(F.split("path", "/"), lambda p: F.lower(p) == private.lower())
+    return nodes.filter(~F.col("is_link")).join(paths, "id").filter(~inside)
+
+
+def batches(df: DataFrame, most_items: int, most_bytes: int) -> DataFrame:
+    """df (relpath) with batch, for a model that takes so many paths and bytes at once: siblings stay together, a
+    directory with more than fits is split. batch is (directory, number); a path that is too long by itself has none.
+
+    Slices of a directory are cut by running sums of at most half the bytes, so none depends on the one before it.
+    """
+    size = F.octet_length("relpath")
+    fits = df.withColumn("_p", F.regexp_replace("relpath", "/?[^/]*$", "")).withColumn("_s", F.when(size <= most_bytes, size))
+    order = Window.partitionBy("_p").orderBy("relpath").rowsBetween(Window.unboundedPreceding, 0)
+    # a slice of at most half the bytes and one path more, which is at most the rest
+    half, items = max(1, most_bytes // 2), max(1, most_items // 2)
+    running = fits.withColumn("_b", F.sum(F.when(F.col("_s") <= half, F.col("_s"))).over(order)).withColumn("_i", F.count("_s").over(order))
+    alone = F.when(F.col("_s") > half, F.col("relpath"))
+    number = F.struct(F.col("_p").alias("directory"), F.floor(F.coalesce("_b", F.lit(0)) / half).alias("bytes"), F.floor((F.col("_i") - 1) / items).alias("items"), alone.alias("alone"))
+    return running.withColumn("batch", F.when(F.col("_s").isNotNull(), number)).drop("_p", "_s", "_b", "_i")
+
+
 def tree_lines(df: DataFrame, width: int = 100, most: int = 50_000) -> list[str]:
     """A drawn tree of at most `most` entries; wide characters take two cells, long names end in an ellipsis."""
     import unicodedata

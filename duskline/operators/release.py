@@ -152,6 +152,95 @@ def record_lines(df: DataFrame, state: str | None = None) -> DataFrame:
     return df.select(F.concat_ws(";", *[cell(c) for c in names]).alias("value"))
 
 
+def changed_cells(out: DataFrame, source: DataFrame, plans: tuple[Plan, ...], strategy: str, alias, key: str, state: str | None = None) -> DataFrame:
+    """Rows (key, column, reason) where a written table is not what the plan makes of its source.
+
+    Rows are matched by key, never by their order: TASK_ROWS_CHANGED for a key that is missing, new or repeated,
+    TASK_VALUE_CHANGED for a cell that is not its source's under the plan, ASSERTION_STATE_CHANGED for the state
+    column. No rows mean that the output is the plan's.
+    """
+    cols = {p.name: c for p in plans if (c := column_for(p, mode_of(p, strategy), alias)) is not None}
+    names = [*cols, *([state] if state else [])]
+    want = source.select(F.col(key).alias("_k"), *[F.coalesce(c, F.lit("")).alias(f"w_{n}") for n, c in cols.items()], *([F.col(state).cast("string").alias(f"w_{state}")] if state else []))
+    have = out.select(F.col(key).alias("_k"), *[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(f"h_{n}") for n in names])
+    count = lambda df, c: df.groupBy("_k").agg(F.count("*").alias(c), *[F.min(x).alias(x) for x in df.columns if x != "_k"])
+    both = count(want, "_w").join(count(have, "_h"), "_k", "full_outer")
+    rows = F.when(~F.col("_w").eqNullSafe(F.col("_h")), F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit("TASK_ROWS_CHANGED").alias("reason"))))
+    differs = [F.when(~F.col(f"w_{n}").eqNullSafe(F.col(f"h_{n}")), F.struct(F.lit(n).alias("column"), F.lit("ASSERTION_STATE_CHANGED" if n == state else "TASK_VALUE_CHANGED").alias("reason"))) for n in names]
+    cells = F.array_compact(F.array(*differs))
+    return both.select(F.col("_k").alias(key), F.explode(F.coalesce(rows, cells)).alias("x")).select(key, "x.*")
+
+
+def compare_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Rows (name, problem) where files (name, length, sha256) are not those expected: missing, unexpected or changed."""
+    f, e = (df.select("name", F.struct("length", "sha256").alias(c)) for df, c in ((found, "f"), (expected, "e")))
+    problem = F.when(F.col("f").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(F.col("f") != F.col("e"), "changed")
+    return f.join(e, "name", "full_outer").select("name", problem.alias("problem")).filter("problem is not null")
+
+
+#: From which states a release may go to which: the rest is refused.
+MOVES = {
+    "approve": (("VALIDATED", "APPROVED", "FAILED", "CANCELLED"), "APPROVED"), "stage": (("APPROVED",), "STAGING"), "publish": (("STAGING", "RECONCILING"), "PUBLISHED"),
+    "fail": (("STAGING",), "FAILED"), "cancel": (("STAGING",), "CANCELLED"), "stale": (("VALIDATED", "APPROVED", "FAILED", "CANCELLED"), "NEEDS_REVIEW"),
+    "reconcile": (("STAGING", "RECONCILING"), "RECONCILING"), "return": (("RECONCILING",), "APPROVED"),
+}
+
+
+def moved(releases: DataFrame, release_id: str, move: str) -> DataFrame:
+    """releases (release_id, state, digest, approval) after a move of one of them. Raises if there is no such release, or
+    its state does not allow the move. What is stale loses its approval."""
+    allowed, to = MOVES[move]
+    now = [r["state"] for r in releases.filter(F.col("release_id") == release_id).select("state").limit(2).collect()]
+    if len(now) != 1:
+        raise ValueError("unknown release")
+    if now[0] not in allowed:
+        raise ValueError(f"{now[0]} allows no {move}")
+    own = F.col("release_id") == release_id
+    out = releases.withColumn("state", F.when(own, to).otherwise(F.col("state")))
+    return out.withColumn("approval", F.when(own & F.lit(move == "stale"), None).otherwise(F.col("approval")))
+
+
+def approve(releases: DataFrame, release_id: str, digest: str) -> DataFrame:
+    """releases with one approved: only by the digest of what was looked at."""
+    if releases.filter((F.col("release_id") == release_id) & (F.col("digest") == digest)).isEmpty():
+        raise ValueError("the digest is not that of the release")
+    return moved(releases, release_id, "approve").withColumn("approval", F.when(F.col("release_id") == release_id, digest).otherwise(F.col("approval")))
+
+
+def resolve(releases: DataFrame, identifier: str) -> DataFrame:
+    """The release of a public identifier `RELEASE_` and 24 hex digits of its scope, or of its own id."""
+    if identifier.startswith("RELEASE_"):
+        suffix = identifier.removeprefix("RELEASE_")
+        if not re.fullmatch("[0-9a-f]{24}", suffix):
+            raise ValueError("invalid release identifier")
+        return releases.filter(F.col("scope_id") == suffix)
+    return releases.filter(F.col("release_id") == identifier)
+
+
+def export(out: DataFrame, releases: DataFrame, release_id: str, target: str, check) -> tuple[DataFrame, str]:
+    """Publishes an approved release's table: releases after it, and its state. Without an approval of its own digest
+    nothing is written; a failed check leaves no visible files."""
+    own = releases.filter(F.col("release_id") == release_id)
+    if own.filter("state = 'APPROVED' and approval = digest").isEmpty():
+        raise ValueError("explicit approval required")
+    staged = moved(releases, release_id, "stage")
+    ok = publish(out, target, check) == "PUBLISHED"
+    return moved(staged, release_id, "publish" if ok else "fail"), "PUBLISHED" if ok else "FAILED"
+
+
+def recover(releases: DataFrame, release_id: str, target: str, expected: DataFrame) -> tuple[DataFrame, str]:
+    """After a run that ended while it published: the release is PUBLISHED if all expected files are there, APPROVED
+    again if the target is not. A target with other files is an error."""
+    spark = releases.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    now = moved(releases, release_id, "reconcile")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return moved(now, release_id, "return"), "APPROVED"
+    if not compare_manifest(manifest(spark, target), expected).isEmpty():
+        raise ValueError("the target holds other files than the release")
+    return moved(now, release_id, "publish"), "PUBLISHED"
+
+
 def manifest(spark, path: str) -> DataFrame:
     """Rows (name, length, sha256) of the files below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -119,6 +119,14 @@ def summary(risks: DataFrame) -> DataFrame:
     return risks.agg(F.count("*").alias("total"), F.count_if(F.col("severity") == "high").alias("high"))
 
 
+def report_json(risks: DataFrame, entries: DataFrame, owner: DataFrame, k: int) -> DataFrame:
+    """The report as JSON lines: a summary first, then each risk in order. A report has no paths, only ids."""
+    n = entries.agg(F.count("*").alias("entries")).join(owner.agg(F.count_distinct("subject_id").alias("subjects"))).join(summary(risks))  # three single rows
+    head = n.select(F.to_json(F.struct(F.struct("entries", "subjects", F.col("total").alias("risks"), F.col("high").alias("high_risks"), F.lit(k).alias("k_anonymity")).alias("summary"))).alias("value"), F.lit(float("inf")).alias("_s"), F.lit("").alias("_t"), F.lit("").alias("_u"))
+    body = risks.select(F.to_json(F.struct(*risks.columns)).alias("value"), F.col("score").cast("double").alias("_s"), F.col("risk_type").alias("_t"), F.col("subject_id").alias("_u"))
+    return head.unionByName(body).orderBy(F.desc("_s"), "_t", "_u").select("value")
+
+
 def analyze(entries: DataFrame, signals: DataFrame, k: int = 3, whole_release: bool = False, namespace: str = "analysis") -> DataFrame:
     """From entries and their signals to risks."""
     owner = materialize(sj.subject_of(entries, signals, whole_release, namespace), "owner")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import generalize as gz
 from ..functions import lexicon as lx
 from ..functions.text import apply_edits, find_latin_names, normalize_with_map
-from ..operators import detect, review
+from ..operators import detect, inspect, review
 from ..session import table
 from .registry import query
 
@@ -97,17 +97,10 @@ def inspection_by_category(spark, sf_dir):
     return review.inspection_report(table(spark, sf_dir, "documents").select(kind.alias("category")))
 
 
-@query("SELECT doc_id, lower(text) AS view, length(text) AS n FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def normalize_ascii_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    n = docs.select("doc_id", normalize_with_map("text").alias("v"))
-    return n.select("doc_id", F.col("v.text").alias("view"), F.element_at("v.runs", -1)["src_end"].cast("long").alias("n"))
-
-
 @query()
 def normalize_documents(spark, sf_dir):
     """All documents in the normalised view, with the runs that lead back to their text."""
-    v = table(spark, sf_dir, "documents").select("doc_id", normalize_with_map("text").alias("v"))
+    v = table(spark, sf_dir, "documents").select("doc_id", normalize_with_map(F.col("text")).alias("v"))
     return v.select("doc_id", F.col("v.text").alias("view"), F.col("v.runs").alias("runs"))
 
 
@@ -120,6 +113,25 @@ def apply_text_edits(spark, sf_dir):
 
 @query()
 def detect_latin_script_names(spark, sf_dir):
-    parts = table(spark, sf_dir, "nation").select("n_name")
-    made = parts.select(F.explode(F.array("n_name", F.concat(F.initcap("n_name"), F.lit("-Zhang-San.txt")))).alias("name"))
-    return made.select("name", F.explode(find_latin_names("name")).alias("surface"))
+    """Names in Latin script in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.explode(find_latin_names(F.col("text"))).alias("surface"))
+
+
+@query("""
+SELECT doc_id, 'KEYWORD' AS category, u.i - 1 AS start, u.i + 6 AS "end", substr(text, u.i, 7) AS surface
+FROM documents, unnest(range(1, length(text) + 1)) AS u(i)
+WHERE text IS NOT NULL AND lower(substr(text, u.i, 7)) = 'token ='""")
+def inspected_contents(spark, sf_dir):
+    """Places of a keyword in all documents, found in the normalised view and led back to the text."""
+    rules = lx.Rules(terms={"KEYWORD": ["token ="]}, patterns={})
+    return inspect.inspect(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).select("doc_id", "category", "start", "end", "surface")
+
+
+@query("""
+SELECT CASE WHEN d = 1 THEN 'PATTERN' END AS category, count(*) AS n FROM (
+  SELECT 1 AS d, unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.]+')) AS m FROM documents) GROUP BY 1""")
+def inspected_patterns(spark, sf_dir):
+    """E-mail addresses in all documents by the inspector: in the text and in its view a span counts once."""
+    rules = lx.Rules(terms={}, patterns={"email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+"})
+    return inspect.inspect(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).groupBy("category").agg(F.count("*").alias("n"))

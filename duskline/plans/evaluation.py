@@ -47,12 +47,12 @@ def attack_summary(spark, sf_dir):
 
 @query("""
 SELECT count(*) FILTER (b.s = 'F' AND a.s = 'F') AS pairs, count(*) FILTER (NOT coalesce(b.s = 'F' AND a.s = 'F', false)) AS excluded, avg(CASE WHEN b.s = 'F' AND a.s = 'F' THEN a.v - b.v END) AS mean_change
-FROM (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS v FROM orders WHERE o_orderkey % 5 <> 0) b FULL JOIN (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey % 100 AS v FROM orders WHERE o_orderkey % 7 <> 0) a ON a.k = b.k""")
+FROM (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS v FROM orders WHERE o_orderkey % 6 <> 0) b FULL JOIN (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey % 100 AS v FROM orders WHERE o_orderkey % 6 <> 1) a ON a.k = b.k""")
 def paired_cases(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status")
-    before = o.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), status, F.col("o_custkey").alias("v"))
-    after = o.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), status, (F.col("o_custkey") % 100).alias("v"))
+    before = o.filter("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("k"), status, F.col("o_custkey").alias("v"))
+    after = o.filter("o_orderkey % 6 <> 1").select(F.col("o_orderkey").alias("k"), status, (F.col("o_custkey") % 100).alias("v"))
     return el.paired(before, after, "k", "v")
 
 

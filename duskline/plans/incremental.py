@@ -11,14 +11,15 @@ from ..session import shared_dir, table
 from ..streaming import changes as st
 from .registry import query
 
-_OLD = "SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 3 <> 0"
-_NEW = "SELECT CASE WHEN doc_id % 10 = 7 THEN doc_id + 1000000 ELSE doc_id END AS doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || '.' ELSE text END) AS d FROM documents WHERE doc_id % 4 <> 0"
+_OLD = "SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 6 <> 0"
+_NEW = "SELECT CASE WHEN doc_id % 10 = 7 THEN doc_id + 1000000 ELSE doc_id END AS doc_id, sha256(CASE WHEN doc_id % 5 = 1 THEN text || '.' ELSE text END) AS d FROM documents WHERE doc_id % 6 <> 1"
 
 
 def _versions(spark, sf_dir):
+    """Two versions of all documents: some are only in the one, others only in the other, some changed or moved."""
     docs = table(spark, sf_dir, "documents")
-    old = docs.filter("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("d"))
-    new = docs.filter("doc_id % 4 <> 0").select(F.when(F.col("doc_id") % 10 == 7, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.sha2(F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("d"))
+    old = docs.filter("doc_id % 6 <> 0").select("doc_id", F.sha2("text", 256).alias("d"))
+    new = docs.filter("doc_id % 6 <> 1").select(F.when(F.col("doc_id") % 10 == 7, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.sha2(F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("d"))
     return old, new
 
 

@@ -144,9 +144,17 @@ def ignore_list_names(spark, sf_dir):
     return iv.ignore_names(flagged, old).select("parent", F.array_join("names", ",").alias("names"))
 
 
-@query("""SELECT '{"path":"' || r_name || '","type":"dir","size":"0"}' AS value FROM region""")
+@query(_TREE + """SELECT '{"path":"' || p || '","type":"' || CASE WHEN d THEN 'dir' ELSE 'file' END || '","size":"' || s || '"}' AS value FROM t""")
 def listing_lines(spark, sf_dir):
-    return iv.listing_json(_tree(spark, sf_dir).filter("depth = 1"))
+    return iv.listing_json(_tree(spark, sf_dir))
+
+
+@query(_TREE + """, o AS (SELECT p, d, s, row_number() OVER (ORDER BY p) AS i FROM t)
+SELECT 0 AS ordinal, '{"root":"all","stats":{"files":' || count(*) FILTER (NOT d) || ',"dirs":' || count(*) FILTER (d) || ',"hidden_dirs":0},"entries":[' AS value FROM t
+UNION ALL SELECT i, CASE WHEN i > 1 THEN ',' ELSE '' END || '{"path":"' || p || '","type":"' || CASE WHEN d THEN 'dir' ELSE 'file' END || '","size":"' || s || '"}' FROM o
+UNION ALL SELECT count(*) + 1, ']}' FROM t""")
+def listing_object(spark, sf_dir):
+    return iv.listing(_tree(spark, sf_dir), "all").select(F.col("ordinal").cast("long").alias("ordinal"), "value")
 
 
 @query("""

@@ -78,3 +78,29 @@ SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN N
 def applied_operators(spark, sf_dir):
     op = F.element_at(F.array(*map(F.lit, ("identity", "drop", "redact", "generalize"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", gz.apply(F.col("o_orderpriority"), op, F.when(op == "generalize", "band")).alias("value"))
+
+
+@query("""
+SELECT k, CASE WHEN k % 50 = 1 THEN NULL WHEN k % 7 = 0 THEN 'seg' ELSE 'state' END AS "column",
+  CASE WHEN k % 50 = 1 THEN 'TASK_ROWS_CHANGED' WHEN k % 7 = 0 THEN 'TASK_VALUE_CHANGED' ELSE 'ASSERTION_STATE_CHANGED' END AS reason
+FROM (SELECT c_custkey AS k FROM customer) WHERE k % 50 = 1 OR k % 7 = 0
+UNION ALL SELECT k, 'state', 'ASSERTION_STATE_CHANGED' FROM (SELECT c_custkey AS k FROM customer) WHERE k % 50 <> 1 AND k % 11 = 0""")
+def verified_rows(spark, sf_dir):
+    """A written table held against its plan by key: rows left out, values and states changed."""
+    source = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.lit("positive").alias("state"))
+    out = source.filter("k % 50 != 1").withColumn("seg", F.when(F.col("k") % 7 == 0, "OTHER").otherwise(F.col("seg"))).withColumn("state", F.when(F.col("k") % 11 == 0, "negative").otherwise(F.col("state")))
+    return rl.changed_cells(out, source, (rl.Plan("seg", "label", "keep"),), "requested", lambda c: c, "k", "state")
+
+
+@query("""
+SELECT coalesce(f.name, e.name) AS name, CASE WHEN f.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'unexpected' ELSE 'changed' END AS problem
+FROM (SELECT p_partkey AS name, length(p_name) AS l, sha256(p_name) AS d FROM part WHERE p_partkey % 9 <> 0) f
+FULL JOIN (SELECT p_partkey AS name, length(p_name) AS l, sha256(CASE WHEN p_partkey % 8 = 3 THEN upper(p_name) || '!' ELSE p_name END) AS d FROM part WHERE p_partkey % 9 <> 1) e ON f.name = e.name
+WHERE f.name IS NULL OR e.name IS NULL OR f.l <> e.l OR f.d <> e.d""")
+def compared_files(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name, text = F.col("p_partkey").alias("name"), F.col("p_name")
+    found = p.filter("p_partkey % 9 != 0").select(name, F.length(text).alias("length"), F.sha2(text, 256).alias("sha256"))
+    other = F.when(F.col("p_partkey") % 8 == 3, F.concat(F.upper(text), F.lit("!"))).otherwise(text)
+    expected = p.filter("p_partkey % 9 != 1").select(name, F.length(text).alias("length"), F.sha2(other, 256).alias("sha256"))
+    return rl.compare_manifest(found, expected)

@@ -82,7 +82,8 @@ def enforced_policy(spark, sf_dir):
     return result["entries"].select("relpath", "is_dir", "hidden", "depth")
 
 
-@query()
+@query("""
+SELECT n_name || unnest(['', '/[PATH]', '/[PATH]/file.txt']) AS relpath, unnest([true, true, false]) AS is_dir FROM nation""")
 def blurred_structure(spark, sf_dir):
     c = table(spark, sf_dir, "nation")
     leaf = c.select(F.concat(F.col("n_name"), F.lit("/a/b/c/file.txt")).alias("relpath"), F.lit(False).alias("is_dir"), F.lit(0).cast("long").alias("size"))
