@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from functools import lru_cache
 
@@ -17,13 +16,14 @@ from .textkit import map_texts
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns of the base, as they were asked for
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Longest span in tokens, tokens of context on either side of one that may start a span, passes and step of training.
-MOST_TOKENS, CONTEXT, PASSES, STEP = 6, 2, 25, 0.5
+#: Longest span in tokens, passes and step of training.
+MOST_TOKENS, PASSES, STEP = 6, 25, 0.5
+#: Labels of segments: outside of all spans, then the kinds.
+LABELS = ("out", *KINDS)
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 CUE = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]|\b(?:AT|DOT)\b")
 HEAD, TAIL = re.compile(r"[A-Za-z0-9+(\[]"), re.compile(r"[A-Za-z0-9](?=[^A-Za-z0-9]*$)")
@@ -99,11 +99,19 @@ def _core(text: str, start: int, end: int) -> tuple[int, int]:
     return (head.start(), start + tail.end()) if head and tail and start + tail.end() > head.start() else (start, end)
 
 
+def _add(x: np.ndarray, axis: int | None = None) -> np.ndarray:
+    """Logarithm of a sum of exponentials."""
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+
 class Field:
     """Segments of one token outside entities, or of 1 to MOST_TOKENS tokens of one kind; a weight for each
-    (kind, feature) of a span and each pair of neighbouring labels. The outside label scores 0 but for pairs."""
+    (kind, feature) of a span and each ("pair", labels) of neighbouring segments, the start counting as outside."""
 
-    def __init__(self, weights: dict[tuple[str, str], float]):
+    def __init__(self, weights: dict[tuple, float]):
         self.weights = weights
 
     def candidates(self, text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
@@ -124,52 +132,84 @@ class Field:
     def score(self, kind: str, features: list[str]) -> float:
         return sum(self.weights.get((kind, f), 0.0) for f in features)
 
+    def pairs(self) -> np.ndarray:
+        """Weights of label pairs, the former label by row."""
+        return np.array([[self.weights.get(("pair", (a, b)), 0.0) for b in LABELS] for a in LABELS])
+
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """The best segmentation: entity lengths are bounded, so the program is linear in tokens."""
-        cand = self.candidates(text, tokens)
+        """The best segmentation by score and label pairs: entity lengths are bounded, so the program is linear in tokens."""
         ends: dict[int, list] = {}
-        for (i, j), f in cand.items():
-            ends.setdefault(j, []).extend((i, k, self.score(k, f)) for k in KINDS)
-        best, back = [0.0] + [0.0] * len(tokens), [None] * (len(tokens) + 1)
+        for (i, j), f in self.candidates(text, tokens).items():
+            ends.setdefault(j, []).extend((i, k, self.score(kind, f)) for k, kind in enumerate(KINDS, 1))
+        if not ends:
+            return []
+        pair = self.pairs().tolist()
+        none, every = float("-inf"), range(len(LABELS))
+        best, back = [[0.0, *[none] * len(KINDS)]], [None]
+        # step[i][l]: the best way to i on which a segment of label l follows, and its last label
+        step = []
         for j in range(1, len(tokens) + 1):
-            best[j], back[j] = best[j - 1], None
+            last = best[j - 1]
+            step.append([max((last[a] + pair[a][b], a) for a in every) for b in every])
+            now, way = [none] * len(LABELS), [None] * len(LABELS)
+            now[0], way[0] = step[j - 1][0][0], (j - 1, step[j - 1][0][1])
             for i, k, s in ends.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, k)
+                if step[i][k][0] + s > now[k]:
+                    now[k], way[k] = step[i][k][0] + s, (i, step[i][k][1])
+            best.append(now)
+            back.append(way)
         out, j = [], len(tokens)
+        label = max(every, key=lambda a: best[j][a])
         while j:
-            if back[j]:
-                i, k = back[j]
-                out.append((k, *_core(text, tokens[i][0], tokens[j - 1][1])))
-                j = i
-            else:
-                j -= 1
+            i, former = back[j][label]
+            if label:
+                out.append((LABELS[label], *_core(text, tokens[i][0], tokens[j - 1][1])))
+            j, label = i, former
         return out[::-1]
 
     def gradient(self, text: str, tokens: list[tuple[int, int]], gold: dict[tuple[int, int], str]) -> tuple[float, dict]:
         """Log-likelihood of the gold segmentation and its gradient, by forward and backward sums over segments."""
-        cand = self.candidates(text, tokens)
-        n = len(tokens)
-        arcs = [(i, j, k, f, self.score(k, f)) for (i, j), f in cand.items() for k in KINDS]
+        n, pair = len(tokens), self.pairs()
+        arcs = [(i, j, k, f, self.score(KINDS[k - 1], f)) for (i, j), f in self.candidates(text, tokens).items() for k in range(1, len(LABELS))]
         into: dict[int, list] = {}
         out_of: dict[int, list] = {}
         for a in arcs:
             into.setdefault(a[1], []).append(a)
             out_of.setdefault(a[0], []).append(a)
-        add = lambda xs: (m := max(xs)) + math.log(sum(math.exp(x - m) for x in xs))
-        fwd, bwd = [0.0] * (n + 1), [0.0] * (n + 1)
+        fwd, step = np.full((n + 1, len(LABELS)), -np.inf), np.zeros((n, len(LABELS)))
+        bwd, start = np.zeros((n + 1, len(LABELS))), np.full((n, len(LABELS)), -np.inf)
+        fwd[0, 0] = 0
         for j in range(1, n + 1):
-            fwd[j] = add([fwd[j - 1], *(fwd[a[0]] + a[4] for a in into.get(j, ()))])
+            step[j - 1] = _add(fwd[j - 1][:, None] + pair, 0)
+            fwd[j, 0] = step[j - 1, 0]
+            for i, _, k, _, s in into.get(j, ()):
+                fwd[j, k] = np.logaddexp(fwd[j, k], step[i, k] + s)
         for i in range(n - 1, -1, -1):
-            bwd[i] = add([bwd[i + 1], *(bwd[a[1]] + a[4] for a in out_of.get(i, ()))])
-        grad: dict[tuple[str, str], float] = {}
-        like = -fwd[n]
+            start[i, 0] = bwd[i + 1, 0]
+            for _, j, k, _, s in out_of.get(i, ()):
+                start[i, k] = np.logaddexp(start[i, k], s + bwd[j, k])
+            bwd[i] = _add(pair + start[i], 1)
+        total = float(_add(fwd[n]))
+        grad: dict[tuple, float] = {}
+        like = -total
         for i, j, k, f, s in arcs:
-            hit = gold.get((i, j)) == k
+            hit = gold.get((i, j)) == LABELS[k]
             like += s * hit
-            g = hit - math.exp(fwd[i] + s + bwd[j] - fwd[n])
+            g = hit - float(np.exp(step[i, k] + s + bwd[j, k] - total))
             for x in f:
-                grad[k, x] = grad.get((k, x), 0.0) + g
+                grad[LABELS[k], x] = grad.get((LABELS[k], x), 0.0) + g
+        met, at, former = np.zeros_like(pair), 0, 0
+        begins = {i: (j, LABELS.index(k)) for (i, j), k in gold.items()}
+        while at < n:
+            at, label = begins.get(at, (at + 1, 0))
+            met[former, label] += 1
+            former = label
+        like += float((met * pair).sum())
+        for i in range(n):
+            met -= np.exp(fwd[i][:, None] + pair + start[i] - total)
+        for a, la in enumerate(LABELS):
+            for b, lb in enumerate(LABELS):
+                grad["pair", (la, lb)] = float(met[a, b])
         return like, grad
 
 
@@ -229,7 +269,8 @@ def trained(n: int = 240, seed: int = 3) -> Field:
 
 
 def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens around those that may be part of a span; all others are outside in every segmentation."""
+    """Runs of tokens around cues, as many on either side as a span with the cue may have; all others are outside in every
+    segmentation."""
     hits = sorted({m.start() for m in CUE.finditer(text)})
     if not hits:
         return []
@@ -238,7 +279,7 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
     near = np.unique(np.searchsorted(starts, np.array(hits), side="right") - 1)
     out: list[list[int]] = []
     for i in near.tolist():
-        lo, hi = max(0, i - CONTEXT), min(len(tokens), i + CONTEXT + 1)
+        lo, hi = max(0, i - MOST_TOKENS + 1), min(len(tokens), i + MOST_TOKENS)
         if out and lo <= out[-1][1]:
             out[-1][1] = hi
         else:

@@ -21,8 +21,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 #: Odd multipliers of the rolling hashes.
 MUL, MUL2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-#: Bytes of text that one numpy step works on: bounds a worker's memory, whatever the batch.
-STEP_BYTES = 1 << 20
+#: Bytes and rows of text that one numpy step works on: bound a worker's memory, whatever the batch.
+STEP_BYTES, STEP_ROWS = 1 << 20, 2000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,14 +109,14 @@ def _table(key: str, n: int, base: np.uint64) -> np.ndarray:
 
 
 def steps(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.Table]:
-    """Cuts a batch into slices of about `most` bytes of text; a longer text is a slice of its own."""
+    """Cuts a batch into slices of about `most` bytes of text and STEP_ROWS rows at most; a longer text is a slice of its own."""
     t = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
     sizes = np.asarray(pc.binary_length(t.column(column).cast(pa.large_string())).fill_null(0).to_numpy(), np.int64)
     at = 0
     ends = np.cumsum(sizes)
     while at < len(sizes):
         low = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, low + most, side="right")))
+        to = max(at + 1, min(at + STEP_ROWS, int(np.searchsorted(ends, low + most, side="right"))))
         yield t.slice(at, to - at)
         at = to
 
