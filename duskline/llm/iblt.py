@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 WIDTH, WIDER = 8, 20
 #: Digests for each table on a retry, and rounds of peeling.
 LOAD, ROUNDS = 9, 12
-#: Paragraphs end at a line feed and at every sentence end, whatever follows it.
-PARAGRAPH = r"\\n|(?<=[.!?|…]) |(?<=[。！？])"
-#: Documents in each slice of the id order.
-SLICE = 500
+#: Paragraphs end at a line feed and at every sentence end, whatever follows it; a longer one is cut from its start on
+#: into pieces of so many code points.
+PARAGRAPH, PIECE = r"\\n|(?<=[.!?|…]) |(?<=[。！？])", 96
+#: Documents in each slice of the id order, and quantiles of the ids between which slices are even in width.
+SLICE, QUANTILES = 500, 256
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -35,7 +36,8 @@ def _mask(check: str, width: int) -> str:
 
 
 def _digests(text: str) -> str:
-    keys = f"array_distinct(transform(filter(split({text}, '{PARAGRAPH}'), x -> x != ''), x -> xxhash64(x)))"
+    pieces = f"flatten(transform(split({text}, '{PARAGRAPH}'), x -> IF(length(x) > {PIECE}, split(x, '(?s)(?<=\\\\G.{{{PIECE}}})'), array(x))))"
+    keys = f"array_distinct(transform(filter({pieces}, x -> x != ''), x -> xxhash64(x)))"
     pairs = f"transform({keys}, k -> named_struct('k', k, 'c', xxhash64(k, 7L)))"
     return _masked(pairs, WIDTH)
 
@@ -67,23 +69,24 @@ def _peel(cells: str, width: int) -> str:
 
 
 def _table(a: str, b: str) -> str:
-    """Number of digests that differ in one table: by the first width, else the wider, else one by one."""
-    plain = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    first = f"size({_peel(_minus(_cells(a, WIDTH), _cells(b, WIDTH)), WIDTH)})"
-    wider = f"size({_peel(_minus(_cells(_masked(a, WIDER), WIDER), _cells(_masked(b, WIDER), WIDER)), WIDER)})"
-    return _let("m1", first, f"IF(m1 >= 0, m1, {_let('m2', wider, f'IF(m2 >= 0, m2, {plain})')})")
+    """Digests that differ in one table: by the first width, else the wider, else one by one."""
+    plain = f"transform(concat(array_except({a}, {b}), array_except({b}, {a})), p -> p.k)"
+    first = _peel(_minus(_cells(a, WIDTH), _cells(b, WIDTH)), WIDTH)
+    wider = _peel(_minus(_cells(_masked(a, WIDER), WIDER), _cells(_masked(b, WIDER), WIDER)), WIDER)
+    return _let("m1", first, f"IF(m1 IS NOT NULL, m1, {_let('m2', wider, f'IF(m2 IS NOT NULL, m2, {plain})')})")
 
 
 def _differing(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """Number of digests that differ between a and b: from the fingerprints, else from larger sketches."""
-    inner = f"aggregate(sequence(0, g - 1), n, (n2, y) -> n2 + {_let('fa', 'filter(ga, p -> pmod(p.k DIV g, g) = y)', _let('fb', 'filter(gb, p -> pmod(p.k DIV g, g) = y)', _table('fa', 'fb')))})"
+    """Digests that differ between a and b: read off the fingerprints, else off larger sketches."""
+    inner = f"aggregate(sequence(0, g - 1), n, (n2, y) -> concat(n2, {_let('fa', 'filter(ga, p -> pmod(p.k DIV g, g) = y)', _let('fb', 'filter(gb, p -> pmod(p.k DIV g, g) = y)', _table('fa', 'fb')))}))"
     outer = _let("ga", f"filter({a}, p -> pmod(p.k, g) = x)", _let("gb", f"filter({b}, p -> pmod(p.k, g) = x)", inner))
-    larger = _let("g", f"CAST(ceil(sqrt((size({a}) + size({b})) / {LOAD})) AS INT)", f"aggregate(sequence(0, g - 1), 0, (n, x) -> {outer})")
-    return _let("m0", f"size({_peel(_minus(cells_a, cells_b), WIDTH)})", f"IF(m0 >= 0, m0, {larger})")
+    none = "CAST(array() AS ARRAY<BIGINT>)"
+    larger = _let("g", f"CAST(ceil(sqrt((size({a}) + size({b})) / {LOAD})) AS INT)", f"aggregate(sequence(0, g - 1), {none}, (n, x) -> {outer})")
+    return _let("m0", _peel(_minus(cells_a, cells_b), WIDTH), f"IF(m0 IS NOT NULL, m0, {larger})")
 
 
 def _likeness(a: str, b: str, differing: str) -> str:
-    return f"IF(size({a}) + size({b}) = 0, 1D, 1D - {differing} / CAST(size({a}) + size({b}) AS DOUBLE))"
+    return f"IF(size({a}) + size({b}) = 0, 1D, 1D - size({differing}) / CAST(size({a}) + size({b}) AS DOUBLE))"
 
 
 def _shown(digests: str, cells: str) -> str:
@@ -92,28 +95,36 @@ def _shown(digests: str, cells: str) -> str:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with next_text: of the next document in descending doc_id, after the last the
-    first. Ids are cut into even slices, which are ordered each on its own; only the last document of a
-    slice looks its successor up. Equal ids are ordered by text, both descending; null ids come last."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n or low is None:
-        step = low = high = 1
-    else:
-        step = max(1, (high - low + 1) * SLICE // n)
-    cut = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_s", F.coalesce(F.expr(f"(doc_id - {low}L) DIV {step}L"), F.lit(-1)))
-    order = Window.partitionBy("_s").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    first. Ids are cut at quantiles and between them into even slices, which are ordered each on its own; only the
+    last document of a slice looks its successor up. Equal ids are ordered by text, both descending; null ids come last.
+    """
+    shares = ", ".join(str((i + 1) / QUANTILES) for i in range(QUANTILES - 1))
+    low, high, n, cuts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.expr(f"approx_percentile(doc_id, array({shares}), 10000)")).first()
+    bounds = sorted({x for x in cuts or [] if low < x})  # each starts a quantile
+    starts, ends = [low or 0, *bounds], [*bounds, (high or 0) + 1]
+    steps = [min(1 << 62, max(1, (e - s) * SLICE * len(starts) // max(1, n))) for s, e in zip(starts, ends, strict=True)]
+    whole = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
+    q = f"IF(doc_id IS NULL, -1, size(filter({whole(bounds) if bounds else 'CAST(array() AS ARRAY<BIGINT>)'}, x -> x <= doc_id)))"
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_q", F.expr(q))
+    cut = cut.withColumn("_s", F.expr(f"IF(_q < 0, 0L, (doc_id - element_at({whole(starts)}, _q + 1)) DIV element_at({whole(steps)}, _q + 1))"))
+    order = Window.partitionBy("_q", "_s").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     led = cut.withColumn("_next", F.lead("text").over(order))
     # one row for each slice: the text of the first document of the slice that follows, or of all
-    heads = cut.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("_s", F.col("text").alias("_text"))
-    ids = heads.select("_s")
-    after = ids.select("_s", F.coalesce(F.lead("_s").over(Window.orderBy(F.col("_s").desc())), F.max("_s").over(Window.partitionBy(F.lit(1)))).alias("_to"))
-    bridge = after.join(heads.withColumnRenamed("_s", "_to"), "_to").select("_s", "_text")
+    heads = cut.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("_q", "_s", F.col("text").alias("_text"))
+    ids = heads.select("_q", "_s")
+    inside = ids.withColumn("_t", F.lead("_s").over(Window.partitionBy("_q").orderBy(F.col("_s").desc())))
+    tops = ids.groupBy("_q").agg(F.max("_s").alias("_t2"))  # QUANTILES + 1 rows at most, as the windows over them
+    around = tops.withColumn("_p", F.coalesce(F.lead(F.struct("_q", "_t2")).over(Window.orderBy(F.col("_q").desc())), F.max(F.struct("_q", "_t2")).over(Window.partitionBy(F.lit(1))))).select("_q", "_p")
+    after = inside.join(F.broadcast(around), "_q").select("_q", "_s", F.when(F.col("_t").isNull(), F.col("_p._q")).otherwise(F.col("_q")).alias("_q2"), F.coalesce("_t", "_p._t2").alias("_s2"))
+    bridge = after.join(heads.select(F.col("_q").alias("_q2"), F.col("_s").alias("_s2"), "_text"), ["_q2", "_s2"]).select("_q", "_s", "_text")
     # the rows of a slice are together already: this join moves no text
-    return led.join(bridge, "_s").select("doc_id", "text", F.coalesce("_next", "_text").alias("next_text"))
+    return led.join(bridge, ["_q", "_s"]).select("doc_id", "text", F.coalesce("_next", "_text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, n_paragraphs.
+    edited_fingerprint, near_edited, near_next, n_paragraphs, differing_edited, differing_next: the digests, in order, that
+    the edited and the next text do not share with it, as peeling recovers them.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next
     document. Likeness is 1 less the differing digests over the digests of both, so 1 for equal texts and
@@ -124,9 +135,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).selectExpr("doc_id", "text", "next_text", f"{edited} AS edited")
     rows = rows.selectExpr("doc_id", "CAST(length(text) AS BIGINT) AS n_chars", "sha2(edited, 256) AS edited_sha256", f"{_digests('text')} AS a", f"{_digests('edited')} AS e", f"{_digests('next_text')} AS z")
     rows = rows.selectExpr("*", *[f"{_cells(x, WIDTH)} AS {x}_cells" for x in "aez"])
+    rows = rows.selectExpr("*", *[f"array_sort({_differing('a', x, 'a_cells', f'{x}_cells')}) AS d{x}" for x in "ez"])
     return rows.selectExpr(
         "doc_id", "n_chars", "edited_sha256", f"{_shown('a', 'a_cells')} AS fingerprint", f"{_shown('e', 'e_cells')} AS edited_fingerprint",
-        f"{_likeness('a', 'e', _differing('a', 'e', 'a_cells', 'e_cells'))} AS near_edited",
-        f"{_likeness('a', 'z', _differing('a', 'z', 'a_cells', 'z_cells'))} AS near_next",
-        "CAST(size(a) AS BIGINT) AS n_paragraphs",
+        f"{_likeness('a', 'e', 'de')} AS near_edited", f"{_likeness('a', 'z', 'dz')} AS near_next",
+        "CAST(size(a) AS BIGINT) AS n_paragraphs", "de AS differing_edited", "dz AS differing_next",
     )
