@@ -50,7 +50,8 @@ def fair_queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2,
 
     Documents of a source come in the order of a digest of their id. A copy's virtual finish time is the
     source's words up to and with it, over the source's target; epoch e puts e whole sources before. All
-    copies of all sources are ordered by that time, and those within the sum of the targets are taken.
+    copies of all sources are ordered by that time, and those within the sum of the targets are taken. Rows of equal
+    id and size are ordered by carry, so that a digest of their text in it tells them apart.
     Running sums are made in two levels, by digest bucket in a source and by slice of virtual time, so a
     source with a third of all rows is as many tasks as any other.
 
@@ -66,7 +67,7 @@ def fair_queue(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2,
         F.col("source").alias("_ts"), "source_size", "target", F.round(F.sum("target").over(Window.partitionBy(F.lit(1)))).cast("long").alias("_budget"))
     marks = buckets.select(F.col("source").alias("_ms"), F.col("_b").alias("_mb"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_before"))
     marks = marks.join(targets, F.col("_ms").eqNullSafe(F.col("_ts"))).drop("_ts")
-    sort = Window.partitionBy("source", "_b").orderBy("_d", "doc_id", "size")
+    sort = Window.partitionBy("source", "_b").orderBy("_d", "doc_id", "size", *carry)
     inside = base.withColumn("_in", F.sum("size").over(sort.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(sort))
     cum = inside.join(marks, F.col("source").eqNullSafe(F.col("_ms")) & (F.col("_b") == F.col("_mb"))).withColumn("_cum", F.col("_before") + F.col("_in"))
     epochs = F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)

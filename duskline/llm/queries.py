@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": sql.CHAT, "op7_source_mixing": sql.MIX}
+    return {"op1_ngram_jaccard_join": sql.JACCARD, "op4_chat_formatting": sql.CHAT, "op7_source_mixing": sql.MIX, "op9_suffix_dedup": sql.SUFFIXES}

@@ -56,3 +56,42 @@ SELECT c.doc_id, c.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT A
 FROM cum c JOIN tg t ON c.source IS NOT DISTINCT FROM t.source
 LEFT JOIN took k ON k.source IS NOT DISTINCT FROM c.source AND k.k = c.k
 """
+
+JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : least(i + 4, len(w))], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+  HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), c AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.doc_id
+)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM c LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+SUFFIXES = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), p AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 98)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM p) WHERE k > 1
+), s AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r)
+), g AS (
+  SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM s GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM g GROUP BY doc_id
+)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE substr(x, 1, 2 * starts[1] - 2) ||
+    array_to_string(list_transform(range(1, n_spans + 1), lambda j: substr(x, 2 * ends[j] + 1, 2 * (coalesce(starts[j + 1], length(x) // 2 + 1) - ends[j] - 1))), '') END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
