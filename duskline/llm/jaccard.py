@@ -46,6 +46,8 @@ LEAF, WEIGHT, GATHER = 8000, 4_000_000, 600_000
 #: Pivots of a region at once in a task, and in a round of large regions; what share of a region's pairs its cells may
 #: have left together for it to be parted.
 PIVOTS, WIDE, PARTED = 8, 48, 0.5
+#: Places at which the rows of one key meet.
+SALTS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -448,13 +450,18 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def _leaves(small: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of small regions. Regions of the same least set are solved by one task where they hold few shingles
-    together, so that a set moves few times; else each region is a task's work of its own. A least set is in all of
-    its regions, so they are no more than its window has shingles, and no key gathers a whole group of copies."""
+    """Links of small regions. Regions that share sets are solved by one task where they hold few shingles
+    together, so that a set moves about once; else each region is a task's work of its own."""
     small = materialize(small, "leaves")
+    by_region = small.groupBy("region").agg(F.min("set").alias("k3"))
+    for _ in range(3):  # regions that share sets come to share a key; what they do not share only costs moves
+        by_set = small.join(by_region, "region").groupBy("set").agg(F.min("k3").alias("k"))
+        by_region = materialize(small.join(by_set, "set").groupBy("region").agg(F.min("k").alias("k3")), "keys")
+    # a group of near copies may hold a third of all regions: its rows meet what is said of their key in SALTS places
+    salted = small.join(by_region, "region").withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)))
     size = sets.select("set", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    by_region = small.join(size, "set").groupBy("region").agg(F.min("set").alias("least"), F.sum("n").alias("w"))
-    crowd = by_region.groupBy("least").agg((F.sum("w") > GATHER).alias("alone"))
-    keys = by_region.join(crowd, "least").select("region", F.when(F.col("alone"), F.col("region")).otherwise(F.col("least")).alias("task"))
-    rows = small.join(keys, "region").groupBy("task", "set").agg(F.collect_set("region").alias("regions")).join(sets, "set")
+    crowd = salted.select("k3", "set").distinct().join(size, "set").groupBy("k3").agg((F.sum("n") > GATHER).alias("alone"))
+    crowd = crowd.select("k3", "alone", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    tasks = salted.join(crowd, ["k3", "salt"]).select(F.when(F.col("alone"), F.col("region")).otherwise(F.col("k3")).alias("task"), "region", "set")
+    rows = tasks.groupBy("task", "set").agg(F.collect_set("region").alias("regions")).join(sets, "set")
     return rows.groupBy("task").applyInArrow(trimmed(_solved), "src long, dst long")

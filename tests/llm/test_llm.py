@@ -213,6 +213,7 @@ def test_decontamination(spark, docs):
     words = vocabulary(rng, 60)
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, text(rng.randrange(8, 25))) for i in range(6)] + [(6, "tiny item"), (7, None), (8, "")]
+    items += [(9, items[0][1]), (10, "tiny item")]
     rows = []
     for i, t in items[:6]:
         w = t.split()
@@ -232,10 +233,23 @@ def test_decontamination(spark, docs):
         assert got == want
     assert (1, 0) in {(k, i) for k, i, _ in want}
     dirty = {k for k, _, _ in want}
-    assert sorted(r.doc_id for r in decontaminate.clean(d, it).collect()) == sorted(k for k in range(len(rows)) if k not in dirty)
+    for blocks in (1 << 20, 150):
+        assert sorted(r.doc_id for r in decontaminate.clean(d, it, broadcast_bytes=blocks).collect()) == sorted(k for k in range(len(rows)) if k not in dirty)
+    assert decontaminate.contaminated(d, it.limit(0), broadcast_bytes=-1).count() == 0 and decontaminate.contaminated(docs.limit(0), it, broadcast_bytes=1).count() == 0
     assert decontaminate.contaminated(d, it.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), it).count() == 0
 
 
+def test_tiles_of_a_repeated_word():
+    import time
+
+    start = time.time()
+    one = np.full(20_000, 7, np.uint64)
+    assert decontaminate.tile(one[:200], one) == [(0, 0, 200)] and decontaminate.tile(one, one[:900]) == [(0, 0, 900)]
+    text = np.concatenate([one[:50], np.arange(100, 130, dtype=np.uint64), one[:50]])
+    assert sum(n for _, _, n in decontaminate.tile(np.concatenate([one[:80], text[50:80]]), text)) == 110
+    assert time.time() - start < 5
+
+
 def test_conversations(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", "ok"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, "user", "ok"), (4, 0, "user", "hi"), (4, 1, "bot", "no"), (5, 0, None, None), (6, 0, "", ""), (7, None, "user", "x"), (7, 0, "user", "y"), (7, 0, "user", "y"), (None, 0, "user", "hi")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("digest", F.lit(1))
@@ -246,11 +260,15 @@ def test_conversations(spark):
     assert chat.maximal_conversations(df.limit(0)).count() == 0
 
 
+def pieces(t):
+    return {x[i : i + iblt.PIECE] for x in re.split(r"\n|(?<=[.!?|…]) |(?<=[。！？])", t) for i in range(0, len(x), iblt.PIECE)}
+
+
 def test_fingerprints(docs, rows):
     docs = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     text = {k: t or "" for k, t in rows if k is not None}
     ids = sorted(text, reverse=True)
-    parts = lambda t: {x for x in re.split(r"\n|(?<=[.!?|]) (?=[A-E0-9|])", t) if x}
+    parts = pieces
     like = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
     got = {r.doc_id: r for r in iblt.fingerprints(docs).collect()}
     for i, k in enumerate(ids):
@@ -259,6 +277,8 @@ def test_fingerprints(docs, rows):
         e = t[: len(t) - h] + n[:h]
         r = got[k]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert len(r.differing_edited) == len(set(r.differing_edited)) == len(parts(t) ^ parts(e)) and len(r.differing_next) == len(parts(t) ^ parts(n))
+        assert len(t) <= 2 * iblt.PIECE or r.near_edited > 0
         assert r.near_edited == pytest.approx(like(parts(t), parts(e))) and r.near_next == pytest.approx(like(parts(t), parts(n)))
     same = collections.defaultdict(set)
     for k, r in got.items():
@@ -275,6 +295,16 @@ def test_fingerprints_cut_at_every_sentence_end(spark):
     assert got[0].near_edited > 0
 
 
+def test_fingerprints_of_odd_ids(spark):
+    """Null and repeated ids, one that lies far away, ids in other quantiles: each text meets its successor once."""
+    rows = [(None, "null b"), (None, "null a"), (7, "x"), (7, "x"), (7, "y"), (1 << 60, "far")] + [(i, f"text {i}") for i in range(20, 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text, r.next_text) for r in iblt.with_next(df).collect())
+    line = sorted((r for r in rows if r[0] is not None), reverse=True) + sorted((r for r in rows if r[0] is None), key=lambda r: r[1], reverse=True)
+    assert got == collections.Counter((k, t, line[(i + 1) % len(line)][1]) for i, (k, t) in enumerate(line))
+    assert [tuple(r) for r in iblt.with_next(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()] == [(None, "a", "a")]
+
+
 def test_large_differences_are_whole(spark):
     a = "\n".join(f"left {i}" for i in range(700))
     b = "\n".join([f"right {i}" for i in range(300)] + [f"left {i}" for i in range(100)])
@@ -456,6 +486,51 @@ def test_emails_as_the_pattern_finds_them():
         assert pii._emails(t) == [m.span() for m in slow.finditer(t)]
 
 
+def test_a_span_may_start_five_tokens_before_its_cue():
+    """As many tokens on either side of a cue are looked at as a span with it may have."""
+    text = "zero a b c d e f (at) g h i j k l"
+    assert [text[r[0][0] : r[-1][1]] for r in pii.regions(text)] == ["b c d e f (at) g h i j k"]
+
+
+def test_gradient_and_best_segmentation_of_the_field():
+    """Forward and backward sums, label pairs included, against all segmentations written out."""
+    rng = random.Random(4)
+    text = "call 555-1234 now 10.0.0.1"
+    tokens, gold = [m.span() for m in pii.TOKEN.finditer(text)], {(1, 2): "phone", (3, 4): "ip"}
+    field = pii.Field({})
+    cand = field.candidates(text, tokens)
+    for f in cand.values():
+        for k in pii.KINDS:
+            for x in f:
+                field.weights[k, x] = rng.uniform(-1, 1)
+    for a in pii.LABELS:
+        for b in pii.LABELS:
+            field.weights["pair", (a, b)] = rng.uniform(-1, 1)
+
+    def every(at, former):
+        if at == len(tokens):
+            yield 0.0, []
+            return
+        for j, label in [(at + 1, "out")] + [(j, k) for i, j in cand if i == at for k in pii.KINDS]:
+            own = field.weights["pair", (former, label)] + (field.score(label, cand[at, j]) if label != "out" else 0)
+            for s, rest in every(j, label):
+                yield own + s, [(at, j, label), *rest]
+
+    ways = list(every(0, "out"))
+    total = np.log(sum(np.exp(s) for s, _ in ways))
+    want = next(s for s, w in ways if {(i, j): k for i, j, k in w if k != "out"} == gold) - total
+    like, grad = field.gradient(text, tokens, gold)
+    assert like == pytest.approx(want)
+    for key in [*rng.sample(sorted(grad, key=str), 12), ("pair", ("out", "phone")), ("pair", ("phone", "out"))]:
+        old = field.weights.get(key, 0.0)
+        field.weights[key] = old + 1e-5
+        up = field.gradient(text, tokens, gold)[0]
+        field.weights[key] = old
+        assert (up - like) / 1e-5 == pytest.approx(grad[key], abs=1e-3)
+    best = max(ways, key=lambda x: x[0])[1]
+    assert [k for k, _, _ in field.decode(text, tokens)] == [k for _, _, k in best if k != "out"]
+
+
 def test_whole_spans_beat_parts():
     field = pii.trained()
     text = "call 202-555-0143 now, card 4539148803436467."
