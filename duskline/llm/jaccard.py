@@ -47,7 +47,7 @@ LEAF, WEIGHT, GATHER = 8000, 4_000_000, 600_000
 #: have left together for it to be parted.
 PIVOTS, WIDE, PARTED = 8, 48, 0.5
 #: Places at which the rows of one key meet.
-SALTS = 64
+SALTS = 8
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
