@@ -55,7 +55,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     plan = mix.fair_queue(named, mix.n_words(F.col("text")), carry=("_t",)).filter("taken > 0")
     plan = plan.groupBy(F.col("doc_id").alias("_d"), "_t", F.col("source").alias("_s")).agg(
         F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
-    one = named.dropDuplicates(["doc_id", "_t", "source"])
+    # of rows that repeat id, text and source the least by their other columns stands for all
+    one = named.groupBy("doc_id", "_t", "source").agg(F.min(F.struct("lang", "n_chars", "text")).alias("_r")).select("doc_id", "_t", "source", "_r.*")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (one["_t"] == plan["_t"]) & F.col("source").eqNullSafe(F.col("_s"))
     return one.join(plan, same).select(*COLUMNS, "size", (F.col("taken") / F.col("size")).cast("int").alias("copies"), "taken", "source_size", "target")
 
