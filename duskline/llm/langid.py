@@ -21,22 +21,27 @@ UND = "und"
 
 
 def vectors(texts: pa.Array, dims: int = DIMS) -> np.ndarray:
-    """Square roots of counts of hashed 1- to 4-byte n-grams inside blank-bounded words, a row for each text."""
+    """Square roots of counts of hashed 1- to 4-byte n-grams of each text with a blank before and after it, a row
+    for each text. No n-gram reaches into a neighbouring text, so a row does not depend on what else is in texts."""
     w = Words(pc.utf8_lower(texts.fill_null("")), lower=False)
     n = len(w.counts)
+    if not n:
+        return np.zeros((0, dims), np.float32)
     body = w.body.astype(np.uint32)
-    doc = np.repeat(np.arange(n), np.diff(w.offsets) + 1)
-    doc = np.concatenate([[0], doc])[: len(body)] if n else np.zeros(0, np.int64)
-    digit = (body >= 48) & (body <= 57)
-    body = np.where(digit, np.uint32(48), body)
+    body[(body >= 48) & (body <= 57)] = 48
+    doc = np.repeat(np.arange(n), np.diff(w.offsets) + 1)  # of a text's bytes and the blank before them
     out = np.zeros(n * dims, np.float32)
-    gram = np.zeros(len(body), np.uint32)
+    gram = body
     for k in range(1, 5):
-        gram = (gram[: len(body) - k + 1] * np.uint32(257) + body[k - 1 :]) if k > 1 else body.copy()
-        h = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        if k > 1:
+            gram = gram[: len(body) - k + 1] * np.uint32(257) + body[k - 1 :]
+        many = max(0, len(body) - max(k, 2) + 1)
+        # the last byte may be the blank after the text, the one before it may not
+        whole = doc[:many] == (doc[k - 2 : k - 2 + many] if k > 1 else doc[:many])
+        h = gram[:many][whole]
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         at = (h >> np.uint32(20)).astype(np.int64) % dims
-        # a gram across a text's end falls on the blank between, and belongs to the text it starts in
-        out += np.bincount(doc[: len(at)] * dims + at, minlength=n * dims).astype(np.float32)
+        out += np.bincount(doc[:many][whole] * dims + at, minlength=n * dims).astype(np.float32)
     return np.sqrt(out.reshape(n, dims))
 
 

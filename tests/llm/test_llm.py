@@ -167,6 +167,27 @@ def test_language(docs, spark):
     assert len(langid.sample(docs, F.lit(True), 3)) <= 6
 
 
+def test_vectors_are_of_each_text_alone():
+    """N-grams of a text between blanks, counted one by one; what stands beside it in the array changes nothing."""
+
+    def brute(text):
+        b, out = bytes(48 if 48 <= x <= 57 else x for x in f" {text.lower()} ".encode()), np.zeros(langid.DIMS)
+        for k in range(1, 5):
+            for i in range(len(b) - max(k, 2) + 1):
+                g = 0
+                for x in b[i : i + k]:
+                    g = (g * 257 + x) % 2**32
+                out[(((g ^ (g >> 15)) * 0x85EBCA6B) % 2**32 >> 20) % langid.DIMS] += 1
+        return np.sqrt(out)
+
+    texts = ["Hello wörld 123", "", "q", "zebra  crossing x ", "hello wörld 456"]
+    got = langid.vectors(pa.array(texts))
+    assert all(np.allclose(v, brute(t)) for v, t in zip(got, texts, strict=True))
+    assert all((langid.vectors(pa.array([t]))[0] == v).all() for v, t in zip(got, texts, strict=True))
+    assert langid.vectors(pa.array([], pa.string())).shape == (0, langid.DIMS)
+    assert (langid.vectors(pa.array([None], pa.string())) == langid.vectors(pa.array([""]))).all()
+
+
 def test_unlearned_languages_and_letter_junk_are_rejected(spark, sf_dir):
     """Latin letters alone bring no text near a language; clean documents stay, short ones too."""
     table = spark.read.parquet(f"{sf_dir[:-5]}0.01/documents.parquet").filter("text is not null").orderBy("doc_id")
