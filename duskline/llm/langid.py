@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import Words, map_texts
+from .textkit import Words, map_texts, trim
 
 #: Hashed n-gram dimensions; centroids for each language; labelled rows read for each language at most.
 DIMS, CENTROIDS, SAMPLE = 4096, 4, 400
@@ -18,6 +18,8 @@ DIMS, CENTROIDS, SAMPLE = 4096, 4, 400
 #: to what ALIEN of them reach at other languages' centroids. Lengths are measured on cuts of so many words.
 TAIL, ALIEN, LEVELS = 0.02, 0.95, (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 UND = "und"
+#: Texts whose vectors are made at once in learning.
+BATCH = 50
 
 
 def vectors(texts: pa.Array, dims: int = DIMS) -> np.ndarray:
@@ -78,13 +80,14 @@ def _centred(rows: list[tuple[str, str]], centroids: int, seed: int) -> Model:
     """IDF, then spherical k-means in each language from evenly spread starts; rejects nothing yet."""
     rng = np.random.default_rng(seed)
     langs = sorted({r[1] for r in rows})
-    x = np.concatenate([vectors(pa.array([r[0] for r in rows[i : i + 200]], pa.string())) for i in range(0, len(rows), 200)])
-    y = np.array([langs.index(r[1]) for r in rows])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = _unit(x * idf)
+    seen = np.zeros(DIMS, np.int64)
+    for i in range(0, len(rows), BATCH):  # vectors are made again for each language, so that those of one are held at once
+        seen += (vectors(pa.array([r[0] for r in rows[i : i + BATCH]], pa.string())) > 0).sum(0)
+    idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
     found, owner = [], []
-    for k in range(len(langs)):
-        own = x[y == k]
+    for k, lang in enumerate(langs):
+        of = [r[0] for r in rows if r[1] == lang]
+        own = np.concatenate([_unit(vectors(pa.array(of[i : i + BATCH], pa.string())) * idf) for i in range(0, len(of), BATCH)])
         c = own[rng.choice(len(own), min(centroids, len(own)), replace=False)]
         for _ in range(12):
             near = (own @ c.T).argmax(1)
@@ -105,13 +108,13 @@ def fit(rows: list[tuple[str, str]], centroids: int = CENTROIDS, seed: int = 7)
     half = [at.__setitem__(lang, at.get(lang, 0) + 1) or at[lang] % 2 for _, lang in rows]
     seen = _centred([r for r, h in zip(rows, half, strict=True) if h], centroids, seed)
     held = [r for r, h in zip(rows, half, strict=True) if not h] or rows
-    words = [(t.split(), seen.langs.index(lang)) for t, lang in held]
+    words = [(t.split(None, LEVELS[-1])[: LEVELS[-1]], seen.langs.index(lang)) for t, lang in held]
     sizes, least = [], []
     for n in LEVELS:
         cut = [(" ".join(w[:n]), k) for w, k in words if len(w) >= n]
         if not cut:
             break
-        parts = [seen.likeness(pa.array([c[0] for c in cut[i : i + 200]], pa.string())) for i in range(0, len(cut), 200)]
+        parts = [seen.likeness(pa.array([c[0] for c in cut[i : i + BATCH]], pa.string())) for i in range(0, len(cut), BATCH)]
         likeness, size = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         own = np.array([c[1] for c in cut])[:, None] == seen.owner
         low = np.quantile(np.where(own, likeness, 0).max(1), TAIL)
@@ -148,6 +151,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     """
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, rejected boolean"])
+    trim()  # the driver lives on, and what learning the model freed is some 100 MB
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(t: pa.Table) -> pa.Table:
