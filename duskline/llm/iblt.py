@@ -4,9 +4,10 @@ A sketch has three rows of cells. A digest goes to one cell of each row; a cell
 it got, the xor of them and the xor of their check hashes. Two sketches subtract cell by cell, which
 leaves the digests that differ; a cell with one digest left whose check agrees is read off and taken
 out of its other cells, until the cells are empty or nothing more can be read. Where that fails, larger
-sketches are tried: the digests are dealt to several tables by a part of their hash, and a table that
-still fails is built again with more cells. A table that fails at the largest width is compared digest
-by digest, so the difference is always whole.
+sketches are tried: the digests are dealt to several tables by a part of their hash, those of the second
+side with their count negative, so that a table is a difference from the start. What cannot be read off a
+table goes to one with more cells; what even that one does not give is compared digest by digest, so the
+difference is always whole.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells in each of three rows: of the fingerprint itself and the first tables, then of a table that failed.
-WIDTH, WIDER = 8, 20
+#: Cells in each of three rows: of the fingerprint itself and the first tables, then of what stays in a table that
+#: failed. They share no factor, so digests whose cells are the same in one are seldom so in the other.
+WIDTH, WIDER = 8, 13
 #: Digests for each table on a retry, and rounds of peeling.
 LOAD, ROUNDS = 9, 12
 #: Paragraphs end at a line feed and at every sentence end, whatever follows it; a longer one is cut from its start on
@@ -55,34 +57,46 @@ def _minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
+def _signed(digests: str, sign: int) -> str:
+    return f"transform({digests}, d -> named_struct('n', {sign}, 'k', d.k, 'c', d.c, 'm', d.m))"
+
+
+def _difference(signed: str, width: int) -> str:
+    """The cells of one side less those of the other: digests of the second are put in with their count negative."""
+    put = "(s, p) -> IF(getbit(p.m, i) = 1Y, named_struct('n', s.n + p.n, 'k', s.k ^ p.k, 'c', s.c ^ p.c), s)"
+    return f"transform(sequence(0, {3 * width - 1}), i -> aggregate({signed}, named_struct('n', 0, 'k', 0L, 'c', 0L), {put}))"
+
+
 def _peel(cells: str, width: int) -> str:
-    """The digests read off a difference, or null if cells remain."""
+    """m, the digests read off a difference, and whether they are whole: no cell remains."""
     found = "array_distinct(filter(s.t, x -> (x.n = 1 OR x.n = -1) AND xxhash64(x.k, 7L) = x.c))"
     pure = f"transform({found}, d -> named_struct('n', d.n, 'k', d.k, 'c', d.c, 'm', {_mask('d.c', width)}))"
     drop = "(y, p) -> IF(getbit(p.m, i) = 1Y, named_struct('n', y.n - p.n, 'k', y.k ^ p.k, 'c', y.c ^ p.c), y)"
     after = f"named_struct('t', transform(s.t, (x, i) -> aggregate(pure, x, {drop})), 'm', concat(s.m, transform(pure, p -> p.k)), 'go', true)"
     stop = "named_struct('t', s.t, 'm', s.m, 'go', false)"
     step = f"(s, r) -> IF(s.go, {_let('pure', pure, f'IF(size(pure) = 0, {stop}, {after})')}, s)"
-    done = "s -> IF(forall(s.t, x -> x.n = 0 AND x.k = 0L AND x.c = 0L), s.m, NULL)"
+    done = "s -> named_struct('m', s.m, 'whole', forall(s.t, x -> x.n = 0 AND x.k = 0L AND x.c = 0L))"
     start = f"named_struct('t', {cells}, 'm', CAST(array() AS ARRAY<BIGINT>), 'go', true)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, {step}, {done})"
 
 
-def _table(a: str, b: str) -> str:
-    """Digests that differ in one table: by the first width, else the wider, else one by one."""
-    plain = f"transform(concat(array_except({a}, {b}), array_except({b}, {a})), p -> p.k)"
-    first = _peel(_minus(_cells(a, WIDTH), _cells(b, WIDTH)), WIDTH)
-    wider = _peel(_minus(_cells(_masked(a, WIDER), WIDER), _cells(_masked(b, WIDER), WIDER)), WIDER)
-    return _let("m1", first, f"IF(m1 IS NOT NULL, m1, {_let('m2', wider, f'IF(m2 IS NOT NULL, m2, {plain})')})")
+def _table(signed: str) -> str:
+    """Digests that differ in one table: by the first width; what stays in its cells by the wider, or one by one."""
+    plus, minus = (f"transform(filter(w, p -> p.n = {n}), p -> p.k)" for n in (1, -1))
+    plain = f"concat(array_except({plus}, {minus}), array_except({minus}, {plus}))"
+    wide = f"transform(filter({signed}, p -> NOT array_contains(f.m, p.k)), p -> named_struct('n', p.n, 'k', p.k, 'c', p.c, 'm', {_mask('p.c', WIDER)}))"
+    more = _let("w", wide, _let("f2", _peel(_difference("w", WIDER), WIDER), f"IF(f2.whole, f2.m, {plain})"))
+    return _let("f", _peel(_difference(signed, WIDTH), WIDTH), f"IF(f.whole, f.m, concat(f.m, {more}))")
 
 
 def _differing(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """Digests that differ between a and b: read off the fingerprints, else off larger sketches."""
-    inner = f"aggregate(sequence(0, g - 1), n, (n2, y) -> concat(n2, {_let('fa', 'filter(ga, p -> pmod(p.k DIV g, g) = y)', _let('fb', 'filter(gb, p -> pmod(p.k DIV g, g) = y)', _table('fa', 'fb')))}))"
-    outer = _let("ga", f"filter({a}, p -> pmod(p.k, g) = x)", _let("gb", f"filter({b}, p -> pmod(p.k, g) = x)", inner))
     none = "CAST(array() AS ARRAY<BIGINT>)"
-    larger = _let("g", f"CAST(ceil(sqrt((size({a}) + size({b})) / {LOAD})) AS INT)", f"aggregate(sequence(0, g - 1), {none}, (n, x) -> {outer})")
-    return _let("m0", _peel(_minus(cells_a, cells_b), WIDTH), f"IF(m0 IS NOT NULL, m0, {larger})")
+    inner = f"aggregate(sequence(0, g - 1), n, (n2, y) -> concat(n2, {_let('h', 'filter(gs, p -> pmod(p.k DIV g, g) = y)', _table('h'))}))"
+    outer = _let("gs", "filter(both, p -> pmod(p.k, g) = x)", inner)
+    tables = f"aggregate(sequence(0, g - 1), {none}, (n, x) -> {outer})"
+    larger = _let("both", f"concat({_signed(a, 1)}, {_signed(b, -1)})", _let("g", f"CAST(ceil(sqrt(size(both) / {LOAD})) AS INT)", tables))
+    return _let("f0", _peel(_minus(cells_a, cells_b), WIDTH), f"IF(f0.whole, f0.m, {larger})")
 
 
 def _likeness(a: str, b: str, differing: str) -> str:
