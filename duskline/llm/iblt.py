@@ -50,7 +50,9 @@ def _masked(digests: str, width: int) -> str:
 
 def _cells(digests: str, width: int) -> str:
     put = "(s, p) -> IF(getbit(p.m, i) = 1Y, named_struct('n', s.n + 1, 'k', s.k ^ p.k, 'c', s.c ^ p.c), s)"
-    return f"transform(sequence(0, {3 * width - 1}), i -> aggregate({digests}, named_struct('n', 0, 'k', 0L, 'c', 0L), {put}))"
+    # a column's structs are decoded at each look, so they are taken out of it once
+    taken = f"transform({digests}, d -> named_struct('k', d.k, 'c', d.c, 'm', d.m))"
+    return _let("ds", taken, f"transform(sequence(0, {3 * width - 1}), i -> aggregate(ds, named_struct('n', 0, 'k', 0L, 'c', 0L), {put}))")
 
 
 def _minus(a: str, b: str) -> str:
@@ -72,7 +74,9 @@ def _peel(cells: str, width: int) -> str:
     found = "array_distinct(filter(s.t, x -> (x.n = 1 OR x.n = -1) AND xxhash64(x.k, 7L) = x.c))"
     pure = f"transform({found}, d -> named_struct('n', d.n, 'k', d.k, 'c', d.c, 'm', {_mask('d.c', width)}))"
     drop = "(y, p) -> IF(getbit(p.m, i) = 1Y, named_struct('n', y.n - p.n, 'k', y.k ^ p.k, 'c', y.c ^ p.c), y)"
-    after = f"named_struct('t', transform(s.t, (x, i) -> aggregate(pure, x, {drop})), 'm', concat(s.m, transform(pure, p -> p.k)), 'go', true)"
+    hit = "aggregate(pure, 0L, (z, p) -> z | p.m)"
+    less = _let("at", hit, f"transform(s.t, (x, i) -> IF(getbit(at, i) = 1Y, aggregate(pure, x, {drop}), x))")
+    after = f"named_struct('t', {less}, 'm', concat(s.m, transform(pure, p -> p.k)), 'go', true)"
     stop = "named_struct('t', s.t, 'm', s.m, 'go', false)"
     step = f"(s, r) -> IF(s.go, {_let('pure', pure, f'IF(size(pure) = 0, {stop}, {after})')}, s)"
     done = "s -> named_struct('m', s.m, 'whole', forall(s.t, x -> x.n = 0 AND x.k = 0L AND x.c = 0L))"
