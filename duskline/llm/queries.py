@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, sql, suffixes, toxicity
+from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, retention, sql, suffixes, toxicity
 
 
 def crc(modulus: int) -> Column:
@@ -61,9 +61,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("masked_text")
 
 
+def op13_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": sql.JACCARD, "op4_chat_formatting": sql.CHAT, "op7_source_mixing": sql.MIX, "op9_suffix_dedup": sql.SUFFIXES}
+    return {"op1_ngram_jaccard_join": sql.JACCARD, "op4_chat_formatting": sql.CHAT, "op7_source_mixing": sql.MIX, "op9_suffix_dedup": sql.SUFFIXES, "op13_cohort_retention": sql.RETENTION}

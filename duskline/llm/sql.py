@@ -95,3 +95,37 @@ SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
     array_to_string(list_transform(range(1, n_spans + 1), lambda j: substr(x, 2 * ends[j] + 1, 2 * (coalesce(starts[j + 1], length(x) // 2 + 1) - ends[j] - 1))), '') END)) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+RETENTION = """
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), k AS (
+  SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL
+), h AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(click_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM k, crc
+), a AS (
+  SELECT *, coalesce(arrived_at + CASE WHEN h % 3 = 0 THEN to_days((h % 100)::INTEGER) ELSE to_days(0) END < TIMESTAMP '2024-02-01', false) AS known0 FROM h
+), s AS (
+  SELECT *, min(CASE WHEN kind = 'error' AND known0 THEN ts END) OVER w AS start0, min(CASE WHEN kind = 'error' THEN ts END) OVER w AS start1
+  FROM a WINDOW w AS (PARTITION BY client_id)
+), e AS (
+  SELECT client_id, 0 AS state, ts, value, start0 AS start, start0, start1 FROM s WHERE known0 AND ts >= start0
+  UNION ALL SELECT client_id, 1, ts, value, start1, start0, start1 FROM s WHERE ts >= start1
+), u AS (
+  SELECT client_id, state, floor((start::DATE - DATE '1970-01-01') / 7)::BIGINT AS cohort, (epoch_us(ts) - epoch_us(start)) // 604800000000 AS period,
+    coalesce(floor((start0::DATE - DATE '1970-01-01') / 7) <> floor((start1::DATE - DATE '1970-01-01') / 7), false) AS moved,
+    sum(coalesce(floor(100 * value + 0.5)::BIGINT, 0)) AS cents
+  FROM e GROUP BY ALL
+), g AS (
+  SELECT client_id, max(source) AS segment FROM clients GROUP BY client_id
+), c AS (
+  SELECT client_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(client_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT client_id FROM u), crc
+)
+SELECT state, coalesce(segment, '') AS segment, cohort, period, count(*) AS users, sum(crc)::BIGINT AS users_crc32, count(*) FILTER (moved) AS moved, sum(cents)::BIGINT AS cents
+FROM u JOIN c USING (client_id) LEFT JOIN g USING (client_id) GROUP BY ALL
+"""
