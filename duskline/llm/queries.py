@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, retention, sql, suffixes, toxicity
+from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, retention, sql, suffixes, toxicity, whitening
 
 
 def crc(modulus: int) -> Column:
@@ -61,6 +61,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("masked_text")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
 
