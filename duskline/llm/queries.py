@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, retention, sql, suffixes, toxicity, whitening
+from . import chat, decontaminate, iblt, jaccard, langid, lm, mix, pii, retention, sql, suffixes, tokenblocks, toxicity, whitening
 
 
 def crc(modulus: int) -> Column:
@@ -61,6 +61,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("masked_text")
 
 
+def op11_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenblocks.read(tokenblocks.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
