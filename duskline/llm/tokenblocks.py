@@ -236,7 +236,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, counts + 1
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = FILE_IDS) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = FILE_IDS, step_bytes: int = STEP_BYTES) -> DataFrame:
     """Files of docs (doc_id, text), written in the shared folder: rows (shard, seq, first, n_ids, n_docs, content).
 
     Documents are dealt by ranges of doc_id and of a digest of the text, so one id in many rows is many
@@ -259,7 +259,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, file_ids: int = FILE
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["shard", "seq", "first", "n_ids", "n_docs", "content"])
 
         for batch in batches:
-            for part in steps(batch, most=STEP_BYTES):
+            for part in steps(batch, most=step_bytes):
                 tokens, counts = with_end(*encode(part.column("text").combine_chunks()), end_id)
                 ids = part.column("doc_id").combine_chunks().cast(pa.int64())
                 held.append((ids.fill_null(0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False), counts, tokens))

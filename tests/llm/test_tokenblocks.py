@@ -84,7 +84,7 @@ def corpus(spark, shards):
     rows = [(rng.randrange(10**6), " ".join(rng.choice(["cat", "Dog,", "école", "42"]) for _ in range(rng.randrange(90))), "n", i) for i in range(200)]
     rows += [(10**6 + i, x, "n", i) for i, x in enumerate(ODD)] + [(None, "null id", "n", 0), (None, None, "n", 0), (5, "same id", "n", 0), (5, "same", "n", 0)] + rows[:3] * 20
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, start long").repartition(7)
-    files = tb.write(docs, WORDS, file_ids=500)
+    files = tb.write(docs, WORDS, file_ids=500, step_bytes=300)
     got = tb.read(files, with_ids=True).collect()
     want = sorted((-1 if i is None else i, whole(WORDS, x) + [2]) for i, x, _, _ in rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids) for r in got) == want
