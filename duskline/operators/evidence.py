@@ -25,15 +25,20 @@ class Field:
 
 @dataclass(frozen=True)
 class Template:
-    """How a table's rows make assertions about the entity of its primary key."""
+    """How a table's rows make assertions about the entity of its primary key. view says what of a document is read:
+    docx_table (that of number table) or docx_paragraphs; without one, a CSV file's rows or a text's lines."""
 
     primary: str
     fields: tuple[Field, ...]
     state_field: str | None = None
     default_state: str = "positive"
     states: tuple[str, ...] = field(default=("positive", "negative", "quoted", "unknown"))
+    view: str | None = None
+    table: int | None = None
 
     def __post_init__(self):
+        if self.view not in (None, "docx_table", "docx_paragraphs") or (self.view == "docx_table") != (self.table is not None):
+            raise ValueError("unknown view, or a table number where it does not belong")
         names = [f.name for f in self.fields]
         if len(set(names)) != len(names):
             raise ValueError("a field is named twice")

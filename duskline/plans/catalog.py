@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection, evaluation, evidence, incremental, inventory, release, risk  # noqa: F401  they register
+from . import detection, evaluation, evidence, incremental, inventory, records, release, risk  # noqa: F401  they register
 from .registry import QUERIES, SQL
 
 

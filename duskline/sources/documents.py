@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -12,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCKS = "document_id string, block_no long, kind string, text string, start long, end long, row long, col long, status string, reason string"
+BLOCKS = "document_id string, block_no long, kind string, text string, start long, end long, row long, col long, table_no long, status string, reason string"
 #: Limits of a parse; what lies beyond makes it partial or failed, never silently shorter.
 MAX_BYTES, MAX_ROWS, MAX_COLUMNS, MAX_CELL = 64 << 20, 1_000_000, 10_000, 1 << 20
 _BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+_CELL_END = re.compile(r"[,\r\n]")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _REFUSED = {"ins", "del", "moveFrom", "moveTo", "fldSimple", "instrText", "gridSpan", "vMerge"}
 
@@ -77,7 +79,7 @@ def csv_cells(text: str) -> Iterator[tuple[int, int, str, int, int]]:
                 raise Refused("CSV_AFTER_QUOTE")
             cell = "".join(value)
         else:
-            j = min((k for k in (text.find(c, i) for c in ",\r\n") if k >= 0), default=n)
+            j = end.start() if (end := _CELL_END.search(text, i)) else n
             cell = text[i:j]
             if '"' in cell:
                 raise Refused("CSV_BARE_QUOTE")
@@ -92,8 +94,8 @@ def csv_cells(text: str) -> Iterator[tuple[int, int, str, int, int]]:
             row, col = row + 1, 0
 
 
-def docx_parts(payload: bytes) -> Iterator[tuple[str, str, int | None, int | None]]:
-    """(kind, text, row, column) of paragraphs and simple table cells. Macros, tracked changes, fields and merged
+def docx_parts(payload: bytes) -> Iterator[tuple[str, str, int | None, int | None, int | None]]:
+    """(kind, text, row, column, table) of paragraphs and simple table cells, tables counted from 0. Macros, tracked changes, fields and merged
     cells are refused: what they show depends on who looks."""
     try:
         with zipfile.ZipFile(io.BytesIO(payload)) as z:
@@ -108,30 +110,32 @@ def docx_parts(payload: bytes) -> Iterator[tuple[str, str, int | None, int | Non
     if any(x.tag.removeprefix(_W) in _REFUSED for x in root.iter()):
         raise Refused("DOCX_UNSUPPORTED_MARKUP")
     words = lambda x: "".join(t.text or "" for t in x.iter(f"{_W}t"))
+    tables = 0
     for part in root.find(f"{_W}body"):
         if part.tag == f"{_W}p":
-            yield "paragraph", words(part), None, None
+            yield "paragraph", words(part), None, None, None
         elif part.tag == f"{_W}tbl":
             for r, line in enumerate(part.findall(f"{_W}tr")):
                 for c, cell in enumerate(line.findall(f"{_W}tc")):
-                    yield "cell", words(cell), r, c
+                    yield "cell", words(cell), r, c, tables
+            tables += 1
 
 
 def _blocks(doc: str, path: str, payload: bytes, encoding: str | None) -> list[tuple]:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "docx":
-        return [(doc, i, k, t, None, None, r, c, "partial", "CONTAINER") for i, (k, t, r, c) in enumerate(docx_parts(payload))]
+        return [(doc, i, k, t, None, None, r, c, n, "partial", "CONTAINER") for i, (k, t, r, c, n) in enumerate(docx_parts(payload))]
     if kind not in ("txt", "md", "markdown", "csv"):
-        return [(doc, None, None, None, None, None, None, None, "unsupported", "FORMAT")]
+        return [(doc, *[None] * 8, "unsupported", "FORMAT")]
     text = decode(payload, encoding)
     if kind != "csv":
-        return [(doc, 0, "text", text, 0, len(text), None, None, "complete", None)]
+        return [(doc, 0, "text", text, 0, len(text), None, None, None, "complete", None)]
     out = []
     for row, col, cell, start, end in csv_cells(text):
         if row >= MAX_ROWS or col >= MAX_COLUMNS or len(cell) > MAX_CELL:
-            return [(*x[:8], "partial", "CSV_LIMIT") for x in out]
-        out.append((doc, len(out), "cell", cell, start, end, row, col, "complete", None))
-    return out or [(doc, None, None, None, None, None, None, None, "complete", None)]
+            return [(*x[:9], "partial", "CSV_LIMIT") for x in out]
+        out.append((doc, len(out), "cell", cell, start, end, row, col, None, "complete", None))
+    return out or [(doc, *[None] * 8, "complete", None)]
 
 
 def parse(files: DataFrame, encoding: str | None = None) -> DataFrame:
@@ -140,7 +144,7 @@ def parse(files: DataFrame, encoding: str | None = None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCKS.split(", ")]
-        whole = ["block_no", "start", "end", "row", "col"]
+        whole = ["block_no", "start", "end", "row", "col", "table_no"]
         for pdf in frames:
             for doc, path, payload in zip(pdf["document_id"], pdf["path"], pdf["content"], strict=True):
                 try:
@@ -148,7 +152,7 @@ def parse(files: DataFrame, encoding: str | None = None) -> DataFrame:
                         raise Refused("NOT_CAPTURED")
                     rows = _blocks(doc, path, bytes(payload), encoding)
                 except Refused as e:
-                    rows = [(doc, None, None, None, None, None, None, None, "failed", str(e))]
+                    rows = [(doc, *[None] * 8, "failed", str(e))]
                 out = pd.DataFrame(rows, columns=names)
                 out[whole] = out[whole].astype("Int64")
                 yield out
