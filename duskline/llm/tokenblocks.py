@@ -13,6 +13,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ MAGIC, BLOCK, PERCENTILE = b"PFR1", 256, 0.9
 #: Magic, ids, documents, blocks. Before each block: its least id, its width, its exceptions.
 HEAD, BLOCK_HEAD = struct.Struct("<4sQII"), 6
 #: A file is closed once it has so many ids; text that one step cuts into words; words that a worker remembers.
-FILE_IDS, STEP_BYTES, REMEMBERED = 1 << 20, 4 << 20, 400_000
+FILE_IDS, STEP_BYTES, REMEMBERED = 1 << 20, 4 << 20, 1_000_000
 FILES = "shard int, seq int, first long, n_ids long, n_docs int, content binary"
 
 
@@ -162,27 +163,25 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.first, self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _words(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Pieces of all texts, and the number of pieces before each text and in all."""
         data, offsets = buffers(texts)
-        kind = np.zeros(len(data) + 2, np.uint8)
-        kind[1:-1] = _KIND[data]
-        inside = kind != 0
-        opens = np.flatnonzero(inside[1:] & ~inside[:-1])  # places in data
-        new = np.zeros(len(data) + 1, bool)
-        new[opens] = new[offsets[:-1]] = True
-        word = np.cumsum(new[:-1])  # texts part words too
-        odd = np.zeros(int(word[-1]) + 1 if len(word) else 1, bool)
-        odd[word[kind[1:-1] == 4]] = True
-        plain = ~odd[word] if len(word) else np.zeros(0, bool)
-        turn = (kind[1:-1] != kind[:-2]) | (kind[1:-1] == 2)
-        new[:-1] |= plain & turn
-        held = inside[1:-1]
-        low = np.where(plain, _LOWER[data], data)[held]
-        begin = np.flatnonzero(new[:-1][held])
-        before = np.concatenate([[0], np.cumsum(held)])[offsets]  # bytes kept before each text
+        kind = _KIND[data]
+        held = kind != 0
+        new = np.ones(len(data) + 1, bool)  # words begin behind white space and at each text
+        np.logical_not(held, out=new[1:])
+        new[offsets[:-1]] = True
+        before = np.concatenate([np.zeros(1, np.int32), np.cumsum(held, dtype=np.int32)])[offsets]  # bytes kept before each text
+        data, kind, new = data[held], kind[held], new[:-1][held]
+        starts = np.flatnonzero(new)
+        odd = np.maximum.reduceat(kind, starts) == 4 if len(starts) else np.zeros(0, bool)
+        plain = np.repeat(~odd, np.diff(np.append(starts, len(data))))
+        turn = kind == 2
+        turn[1:] |= kind[1:] != kind[:-1]
+        begin = np.flatnonzero(new | (plain & turn))
+        low = np.where(plain, _LOWER[data], data)
         pieces = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(low)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(low)))
         return pieces.dictionary_encode(), np.searchsorted(begin, before)
 
@@ -190,11 +189,11 @@ class Encoder:
         """Remembers the ids of new words: all are encoded as one text, and cut where a token's place passes a word's."""
         joined = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         ends = np.cumsum([len(w) + 1 for w in words])
-        of = np.searchsorted(ends, np.fromiter((a for a, _ in joined.offsets), np.int64, len(joined)), side="right")
+        of = np.searchsorted(ends, np.fromiter(chain.from_iterable(joined.offsets), np.int64, 2 * len(joined))[::2], side="right")
         size = np.bincount(of, minlength=len(words))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.flat = np.concatenate([self.flat, np.array(joined.ids, np.uint32)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -207,13 +206,16 @@ class Encoder:
         words = pieces.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
             self._forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))[pieces.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        found = np.array(list(map(self.known.get, words, repeat(-1))), np.int32)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.known) + np.arange(len(new))
+            self._learn([words[i] for i in new])
+        at = found[pieces.indices.to_numpy()]
         size = self.size[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.first[at] - total[:-1], size) + np.arange(total[-1])]
-        return ids, np.diff(total[cuts])
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])  # a step's ids are fewer than its bytes
+        ids = self.flat[np.repeat(self.first[at] - total[:-1], size) + np.arange(total[-1], dtype=np.int32)]
+        return ids, np.diff(total[cuts]).astype(np.int64)
 
 
 _ENCODERS: dict[str, Encoder] = {}
