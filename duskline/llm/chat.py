@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for null in digests: no role or text holds a NUL byte of this form.
-NULL = "\x00null"
-
-
 def _field(name: str):
-    c = F.coalesce(F.col(name), F.lit(NULL))
-    return F.concat(F.length(c).cast("string"), F.lit(":"), c)
+    """A field behind its length; -1 stands for null, which no text has."""
+    c = F.col(name)
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-1:"))
 
 
 def maximal_conversations(turns: DataFrame, template: str = "<|{role}|>\n{text}<|end|>\n") -> DataFrame:

@@ -16,7 +16,8 @@ from .textkit import map_texts
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns of the base, as they were asked for
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match starts at the first of its digits and takes all of a run; said so, the search is linear in runs of digits
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -318,7 +319,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep with n_email, n_ip, n_card, n_phone, base_sha256, spans, masked_text for each row of docs (doc_id, text).
 
     Counts and digest are of the base patterns; spans has theirs and the field's. masked_text is the text
-    with every span replaced by its kind, null for a null text, which else counts as empty. Repeated rows
+    with every span replaced by its kind, null for a null text, which else counts as empty. Texts of any length are searched whole, in
+    time that grows with them; runs of digits of any length too. Of spans that start together the longest is masked. Repeated rows
     give repeated rows; an empty table gives none; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())

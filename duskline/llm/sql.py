@@ -3,8 +3,7 @@
 CHAT = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text,
-    sha256(concat(length(coalesce(role, chr(0) || 'null')), ':', coalesce(role, chr(0) || 'null'),
-                  length(coalesce(text, chr(0) || 'null')), ':', coalesce(text, chr(0) || 'null'))) AS k
+    sha256(coalesce(length(role) || ':' || role, '-1:') || coalesce(length(text) || ':' || text, '-1:')) AS k
   FROM conversations WHERE conv_id IS NOT NULL
 ), n AS (
   SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n_turns
