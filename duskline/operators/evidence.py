@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_with_map
 from ..session import materialize
 
 MAX_DEPTH = 6
@@ -235,10 +236,11 @@ def incremental_joins(found: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def candidates(facts: DataFrame) -> DataFrame:
-    """Rows (entity_type, namespace, label, members): entities of one kind with the same name. They are only
-    proposed, never merged."""
-    named = facts.filter(F.col("kind").isin("identity", "label") & (F.col("state") == "positive"))
-    groups = named.groupBy("entity_type", "namespace", F.lower("value").alias("label")).agg(F.array_sort(F.collect_set("source")).alias("members"))
+    """Rows (entity_type, namespace, label, members): entities of one kind with the same name in the normalised view, full-width
+    letters, case and script aside. They are only proposed, never merged."""
+    named = facts.filter(F.col("kind").isin("identity", "label") & (F.col("state") == "positive")).select("entity_type", "namespace", "source", "value").distinct()
+    label = normalize_with_map(F.col("value"))["text"]
+    groups = named.withColumn("label", label).groupBy("entity_type", "namespace", "label").agg(F.array_sort(F.collect_set("source")).alias("members"))
     return groups.filter(F.size("members") > 1)
 
 

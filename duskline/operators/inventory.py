@@ -43,14 +43,21 @@ def duplicate_targets(df: DataFrame, path: str) -> DataFrame:
     return df.groupBy(F.lower(path).alias("target")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+#: Pieces of a glob: a class that is closed, a star, a mark, any other sign. A bracket that is never closed is itself.
+_GLOB = re.compile(r"\[(?P<not>!?)(?P<set>\]?[^\]]*)\]|(?P<many>\*+)|(?P<one>\?)|(?P<sign>.)", re.DOTALL)
+
+
 def glob_pattern(globs: list[str]) -> str:
     """One case-insensitive pattern for all globs, as names are matched by them."""
 
-    def one(g: str) -> str:
-        out = "".join(".*" if c == "*" else "." if c == "?" else c if c in "[]" else re.escape(c) for c in g)
-        return out.replace("[!", "[^")
+    def piece(m: re.Match) -> str:
+        if m["set"]:
+            low, *rest = re.split(r"(?<=.)-(?=.)", m["set"], flags=re.DOTALL)
+            body = re.escape(low) + "".join("-" + re.escape(x) for x in rest)
+            return f"[{'^' * bool(m['not'])}{body}]"
+        return ".*" if m["many"] else "." if m["one"] else re.escape(m[0])
 
-    return "(?is)^(?:" + "|".join(map(one, globs)) + ")$" if globs else "(?!)"
+    return "(?isu)^(?:" + "|".join(_GLOB.sub(piece, g) for g in globs) + r")\z" if globs else "(?!)"
 
 
 def drop_excluded(df: DataFrame, globs: list[str]) -> DataFrame:

@@ -79,7 +79,7 @@ def late_changes(spark, sf_dir):
     return ic.late_changes(log, 100, allowed).select(F.col("usn").alias("event_id"), F.col("parent").alias("user_id"))
 
 
-@query()
+@query("SELECT event_id, user_id FROM events WHERE event_id >= 100 AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
 def late_changes_to_end(spark, sf_dir):
     """All changes after the checkpoint, up to the last one of the log."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("usn"), F.col("user_id").alias("parent"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,16 +19,19 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Folders of local sessions without spark.checkpoint.dir, which cannot be set any more once a session runs.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster, whose
     executors share no local folder, an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
-        found = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
     return found.rstrip("/")
 
 
