@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import generalize as gz
 from ..functions import lexicon as lx
 from ..functions.text import apply_edits, find_latin_names, normalize_with_map
-from ..operators import detect, inspect, review
+from ..operators import detect, inspect, locators, review
 from ..session import table
 from .registry import query
 
@@ -135,3 +136,28 @@ def inspected_patterns(spark, sf_dir):
     """E-mail addresses in all documents by the inspector: in the text and in its view a span counts once."""
     rules = lx.Rules(terms={}, patterns={"email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]+"})
     return inspect.inspect(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
+SELECT doc_id, line_no, len(regexp_extract_all(line, '{EMAIL}'))::BIGINT AS n_found FROM l WHERE regexp_matches(line, '{EMAIL}')""")
+def findings_by_line(spark, sf_dir):
+    """Addresses found in whole texts, by the line that they stand in: places of both meet in an interval join."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    before = Window.partitionBy("document_id", "_row").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+
+    def spans(pieces, step, name):
+        """Pieces of a text with their places, each followed by `step` code points of what parts them."""
+        rows = docs.withColumn("_row", F.xxhash64("text")).select("document_id", "_row", F.posexplode(pieces).alias("_i", name))
+        past = F.coalesce(F.sum(F.length(f"{name}.a") + step(name)).over(before), F.lit(0))
+        return rows.withColumn("_at", past + F.when(F.lit(name == "hit"), F.length(f"{name}.a")).otherwise(0))
+
+    pattern = F.lit("(?U)" + lx.PATTERNS["email"])
+    # gaps and hits in turn: a hit starts behind its gap
+    turns = F.arrays_zip(F.split("text", "(?U)" + lx.PATTERNS["email"], -1).alias("a"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("b"))
+    hits = spans(turns, lambda n: F.length(F.coalesce(F.col(f"{n}.b"), F.lit(""))), "hit").filter("hit.b is not null")
+    hits = hits.select("document_id", F.col("_at").alias("start"), (F.col("_at") + F.length("hit.b")).alias("end"))
+    lines = spans(F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("a"))), lambda n: F.lit(1), "line")
+    lines = lines.select("document_id", F.col("_i").cast("long").alias("line_no"), F.col("_at").alias("start"), (F.col("_at") + F.length("line.a")).alias("end"))
+    met = locators.overlapping(hits, lines, "inside")
+    return met.groupBy(F.col("document_id").alias("doc_id"), "line_no").agg(F.count("*").alias("n_found"))

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import build as bd
+from ..operators import components as cp
+from ..operators import evidence as ev
 from ..operators import incremental as ic
-from ..session import shared_dir, table
+from ..session import materialize, shared_dir, table
 from ..streaming import changes as st
 from .registry import query
 
@@ -118,3 +121,105 @@ def invalidated_plans(spark, sf_dir):
     plans = o.select(F.col("o_orderkey").alias("workspace"), F.lit(1).alias("revision"), F.when(F.col("o_orderstatus") == "O", "VALIDATED").otherwise("PUBLISHED").alias("state"))
     now = o.select(F.col("o_orderkey").alias("workspace"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("revision"))
     return ic.invalidate(plans, now).groupBy("state").agg(F.count("*").alias("n"))
+
+
+# ---- an inventory of users' files under regions and nations, built from a snapshot and its journal of events -------
+
+
+def _built(spark, sf_dir):
+    """Built at four tenths, eight tenths and the end of the events: view events change no name, a purchase removes its user's file."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    last = (e.agg(F.max("event_id")).first()[0] or 0) + 1
+    at = bd.Cursors("events", last * 4 // 10, last * 8 // 10, last)
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    yes, no = F.lit(True), F.lit(False)
+    place = (F.col("user_id") % 25 + 10).cast("long")
+    columns = lambda id_, parent, name, is_dir, is_link: [id_.cast("long").alias("id"), parent.cast("long").alias("parent"), name.alias("name"), is_dir.alias("is_dir"), is_link.alias("is_link")]
+    dirs = region.select(*columns(F.col("r_regionkey") + 1, F.lit(0), F.col("r_name"), yes, no))
+    dirs = dirs.unionByName(nation.select(*columns(F.col("n_nationkey") + 10, F.col("n_regionkey") + 1, F.col("n_name"), yes, F.col("n_nationkey") == 5)))
+    dirs = dirs.unionByName(spark.createDataFrame([(0, 0, ".", True, False), (99, 17, ".keep", False, False)], dirs.schema))
+    own = lambda df: ic.latest(df, "user_id", "event_id").select(*columns(F.col("user_id") + 1000, place, F.concat(F.lit("u"), "user_id", F.lit("-"), "event_type"), no, no), "event_type", "user_id")
+    base = own(e.filter(F.col("event_id") < at.start))
+    now = own(e.filter(F.col("event_id") < at.end)).filter("event_type != 'purchase'")
+    journal = e.select(F.col("event_id").alias("usn"), (F.col("user_id") + 1000).cast("long").alias("id"), place.alias("parent"), F.col("event_type").alias("name"), F.when(F.col("event_type") == "view", 1).otherwise(0x200).alias("reason"))
+    structural = journal.filter((F.col("usn") >= at.start) & (F.col("usn") < at.end) & (F.col("reason") != 1)).select("id").distinct()
+    merged = base.join(structural, "id", "left_anti").unionByName(now.join(structural, "id", "left_semi"))
+    second = merged.filter("user_id % 7 = 0").select("id", (F.pmod(F.col("user_id") + 1, F.lit(25)) + 10).cast("long").alias("parent"), F.concat(F.lit("v"), "user_id").alias("name"))
+    links = merged.select("id", "parent", "name").unionByName(second).unionByName(dirs.filter("not is_dir").select("id", "parent", "name"))
+    nodes = dirs.unionByName(base.select(dirs.columns))
+    return bd.build_inventory(nodes, journal, now.select(dirs.columns), links, 0, at, known_journal="events", excludes=("a*",), marker=".keep")
+
+
+_BUILT = """
+WITH m AS (SELECT (coalesce(max(event_id), 0) + 1) * 4 // 10 AS a, (coalesce(max(event_id), 0) + 1) * 8 // 10 AS b FROM events),
+base AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events, m WHERE event_id < a GROUP BY 1),
+now AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM events, m WHERE event_id < b GROUP BY 1),
+changed AS (SELECT DISTINCT user_id FROM events, m WHERE event_id >= a AND event_id < b AND event_type <> 'view'),
+merged AS (SELECT * FROM base WHERE user_id NOT IN (SELECT user_id FROM changed) UNION ALL SELECT * FROM now WHERE t <> 'purchase' AND user_id IN (SELECT user_id FROM changed)),
+region_ AS (SELECT * FROM region WHERE NOT r_name ILIKE 'a%'),
+nation_ AS (SELECT n_nationkey, r_name || '/' || n_name AS p FROM nation JOIN region_ ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (5, 7) AND NOT n_name ILIKE 'a%'),
+names AS (SELECT user_id % 25 AS n, 'u' || user_id || '-' || t AS name FROM merged UNION ALL SELECT (user_id + 1) % 25, 'v' || user_id FROM merged WHERE user_id % 7 = 0)
+"""
+
+
+@query(_BUILT + """SELECT p || '/' || name AS relpath, false AS is_dir FROM names JOIN nation_ ON n = n_nationkey
+UNION ALL SELECT p, true FROM nation_ UNION ALL SELECT r_name, true FROM region_""")
+def built_inventory(spark, sf_dir):
+    return _built(spark, sf_dir).entries.select("relpath", "is_dir")
+
+
+@query(_BUILT + """SELECT (SELECT count(*) FROM base) + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + 2 AS records, (SELECT count(*) FROM changed) AS journal_updates,
+  (SELECT count(*) FROM names JOIN nation_ ON n = n_nationkey) AS link_names,
+  (SELECT count(*) FROM events, m WHERE event_id >= b AND event_type <> 'view' AND user_id % 25 IN (SELECT n_nationkey FROM nation_)) AS late_changes""")
+def built_inventory_counts(spark, sf_dir):
+    return _built(spark, sf_dir).counts.select("records", "journal_updates", "link_names", "late_changes")
+
+
+# ---- witnesses by dependency component: each nation's customers, orders and items, and one nation that changes ------
+
+_PERSON, _ORDER = ev.Field("cust", "key", "customers", "person"), ev.Field("ord", "key", "orders", "event")
+_CHANGED = 7
+
+
+def _nations(spark, sf_dir, changed: bool):
+    """Assertions, cells, primary keys and revisions of three documents for each nation. In the second version the items of
+    one nation that were returned are denied."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cust"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ord"), F.col("o_custkey").cast("string").alias("cust")).join(c.select("cust", "n"), "cust")
+    denied = (F.col("n") == _CHANGED) & (F.col("flag") == "R") if changed else F.lit(False)
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ord"), F.col("l_returnflag").alias("flag")).join(o.select("ord", "n"), "ord").withColumn("state", F.when(denied, "negative").otherwise("positive"))
+    shapes = (("customer", c, ev.Template("cust", (_PERSON, ev.Field("name", "identity")))), ("orders", o, ev.Template("cust", (_PERSON, _ORDER))), ("items", i, ev.Template("ord", (_ORDER, ev.Field("flag", "sensitive")), state_field="state")))
+    rows, cells, primary, revisions = [], [], [], []
+    for name, df, t in shapes:
+        doc = F.concat(F.lit(name + "-"), F.col("n").cast("string"))
+        of = {f.name: f for f in t.fields}
+        # every document of a table is asserted at once: its name follows from the entity's nation
+        named = df.withColumn("document_id", doc)
+        said = ev.assertions(named, t, name).drop("document_id")
+        source = named.select("document_id", ev.entity_id(of[t.primary], F.col(t.primary)).alias("source")).distinct()
+        rows.append(said.join(source, "source"))
+        cells += [named.select("document_id", F.lit(f.role).alias("role"), F.lit(f.entity_type).alias("entity_type"), F.lit(f.namespace).alias("namespace"), F.col(f.name).alias("value")) for f in t.fields]
+        primary.append(named.select("document_id", F.lit(of[t.primary].entity_type).alias("entity_type"), F.lit(of[t.primary].namespace).alias("namespace")).distinct())
+        content = F.xxhash64(*[F.col(x) for x in named.columns])
+        revisions.append(named.groupBy("document_id").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(content.cast("decimal(38,0)")).cast("string")).alias("revision")))
+
+    def union(dfs):
+        out = dfs[0]
+        for more in dfs[1:]:
+            out = out.unionByName(more)
+        return out
+
+    return tuple(materialize(union(x), "nations") for x in (rows, cells, primary, revisions))
+
+
+@query(f"""
+WITH i AS (SELECT DISTINCT o_custkey, l_orderkey, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+d AS (SELECT c_nationkey AS n, count(*) AS k FROM i JOIN customer ON c_custkey = o_custkey WHERE NOT (c_nationkey = {_CHANGED} AND l_returnflag = 'R') GROUP BY 1)
+SELECT 'customer-' || c_nationkey AS component, c_nationkey = {_CHANGED} AS recomputed, count(*) AS names, coalesce(max(k), 0)::BIGINT AS joins FROM customer LEFT JOIN d ON n = c_nationkey GROUP BY c_nationkey""")
+def recomputed_components(spark, sf_dir):
+    cache = cp.ResultCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", cp.WITNESSES)
+    cp.refresh_witnesses(*_nations(spark, sf_dir, False), cache)
+    got = cp.refresh_witnesses(*_nations(spark, sf_dir, True), cache)
+    n = lambda rule: F.count_if(F.col("rule") == rule)
+    per = got.results.groupBy("component").agg(n("identity_mapping").alias("names"), n("numbered_join").alias("joins"))
+    return got.components.join(per, "component").select("component", "recomputed", "names", "joins")
