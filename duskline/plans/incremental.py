@@ -12,6 +12,7 @@ from ..operators import evidence as ev
 from ..operators import incremental as ic
 from ..session import materialize, shared_dir, table
 from ..streaming import changes as st
+from ..streaming import results as rs
 from .registry import query
 
 _OLD = "SELECT doc_id, sha256(text) AS d FROM documents WHERE doc_id % 6 <> 0"
@@ -74,6 +75,22 @@ def streamed_snapshot(spark, sf_dir):
     return st.last_snapshot(spark, q, f"{at}/table", key="user_id", order="event_id")
 
 
+@query("SELECT 'u' || user_id || '/' || event_id AS relpath FROM events WHERE event_type = 'purchase' AND ('u' || user_id) LIKE '%7%'")
+def refiltered_stream(spark, sf_dir):
+    """A view of all events as they stream, after the filter changed: it has what a filter over all of them has."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = st.read_changes(spark, f"{sf_dir}/events*.parquet", schema).select(
+        F.concat(F.lit("u"), "user_id", F.lit("/"), "event_id").alias("relpath"), (F.col("event_type") == "view").alias("is_dir"),
+        F.array(F.struct(F.col("event_type").alias("category"), F.concat(F.lit("u"), "user_id").alias("surface"))).alias("signals"))
+    at = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    log = rs.ResultLog(spark, at, "relpath string, is_dir boolean, signals array<struct<category:string,surface:string>>")
+    log.follow(stream, f"{at}-progress", rs.Filter(kind="dir")).awaitTermination()
+    changed = rs.Filter(categories=("purchase",))
+    while log.catch_up(changed):
+        pass
+    return log.results(changed).filter(F.array_contains(F.transform("signals", lambda s: s["surface"].contains("7")), True)).select("relpath")
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id >= 100 AND event_id < 900 AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
 def late_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("usn"), F.col("user_id").alias("parent"))
