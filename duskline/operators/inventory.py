@@ -189,15 +189,16 @@ def flatten_tree(df: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     return number_rows(shown, "parts")
 
 
-def number_rows(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
-    """df with ordinal, its row number in an order: range slices are counted first, so no task holds all rows."""
+def number_rows(df: DataFrame, *order: str, kind: str = "int") -> DataFrame:
+    """df with ordinal, its row number in an order: range slices, as many as a shuffle has partitions, are counted first, so no
+    task holds all rows."""
     from ..session import materialize
 
-    sliced = materialize(df.repartitionByRange(ranges, *order).withColumn("_s", F.spark_partition_id()), "ranges")
+    sliced = materialize(df.repartitionByRange(*order).withColumn("_s", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     past = sliced.groupBy("_s").agg(F.count("*").alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_past"))  # one row for each range
     inner = F.row_number().over(Window.partitionBy("_s").orderBy(*order))
-    return sliced.withColumn("_i", inner).join(F.broadcast(past), "_s").withColumn("ordinal", (F.col("_i") + F.col("_past")).cast("int")).drop("_s", "_i", "_past")
+    return sliced.withColumn("_i", inner).join(F.broadcast(past), "_s").withColumn("ordinal", (F.col("_i") + F.col("_past")).cast(kind)).drop("_s", "_i", "_past")
 
 
 def listing_json(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import generalize as gz
 from ..operators import inventory as iv
-from ..operators import review
+from ..operators import packing, review
 from ..session import table
 from .registry import query
 
@@ -178,3 +178,27 @@ def filtered_results(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter(F.lower("source").contains("src1"))
     sig = F.array(F.struct(F.lit("KEYWORD").alias("category"), F.col("text").alias("surface")))
     return review.filter_results(docs.select("doc_id", F.col("source").alias("relpath"), F.lit(False).alias("is_dir"), sig.alias("signals")), "file", ["KEYWORD"], "TOKEN").select("doc_id")
+
+
+def _customer_files(spark, sf_dir):
+    """One path for each order: nation, customer, order."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    named = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return named.select(F.concat_ws("/", "n_name", F.col("c_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("relpath"), F.lit(False).alias("is_dir"))
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT n_name || '/' || c_custkey || '/' || o_orderkey AS p, n_name || '/' || c_custkey AS d FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+e AS (SELECT p, d, row_number() OVER (ORDER BY p) - 1 AS i FROM f),
+s AS (SELECT *, length('{"path":"' || p || '","kind":"file","id":"E' || (i + 1) || '"}') + 1 AS b, coalesce(d <> lag(d) OVER (ORDER BY i), true) AS fresh FROM e),
+t AS (SELECT *, sum(b) OVER (ORDER BY i) AS total, max(CASE WHEN fresh THEN i END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM s),
+l AS (SELECT list(total ORDER BY i) AS totals, list(run ORDER BY i) AS runs, count(*) AS n FROM t),
+q AS (SELECT i, total - b AS past, least(i + 40, n) AS j, n, runs,
+  list_position(list_transform(totals[i + 1 : i + 41], lambda x: x - (total - b) > 4029), true) AS over FROM t, l),
+w AS (SELECT i, n, CASE WHEN over IS NOT NULL THEN least(j, i + over - 1) ELSE j END AS j, runs FROM q),
+x AS (SELECT i, CASE WHEN j < n AND runs[j + 1] > i THEN runs[j + 1] ELSE j END AS nxt FROM w),
+r AS (SELECT i, nxt FROM x WHERE i = 0 UNION ALL SELECT x.i, x.nxt FROM r JOIN x ON x.i = r.nxt)
+SELECT i AS batch, nxt - i AS n_entries FROM r""")
+def packed_batches(spark, sf_dir):
+    packed = packing.pack_entries(_customer_files(spark, sf_dir), 40, 4096)
+    return packed.groupBy("batch").agg(F.count("*").alias("n_entries"))
