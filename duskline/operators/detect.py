@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,15 +131,60 @@ def findings(strings: DataFrame, column: str, found: Column, names: lx.Rules | N
     return out.unionByName(named).groupBy(column, "category", "surface").agg(F.max("source").alias("source"))
 
 
-def signals(entries: DataFrame, rules: lx.Rules, context: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class Detector:
+    """A caller's detector: find takes distinct strings (text) and returns rows (text, category, surface) of them.
+
+    An early one gets every string, a late one those in which neither the rules nor an early one found anything, which is
+    the place of costly models. A name is one detector's, and the source of what it finds.
+    """
+
+    name: str
+    find: Callable[[DataFrame], DataFrame]
+    stage: str = "early"
+
+    def __post_init__(self):
+        if self.stage not in ("early", "late") or not self.name:
+            raise ValueError("a detector needs a name, and is early or late")
+
+
+def run_detectors(strings: DataFrame, column: str, found: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """found (column, category, surface, source) with what detectors add. A finding that is there already is not added;
+    columns beyond the three, null ones and surfaces that are not in their string are an error of the detector."""
+    if len({d.name for d in detectors}) != len(detectors):
+        raise ValueError("two detectors have one name")
+    distinct = strings.filter(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+    for stage in ("early", "late"):
+        own = [d for d in detectors if d.stage == stage]
+        given = distinct if stage == "early" else distinct.join(found.select(F.col(column).alias("text")).distinct(), "text", "left_anti")
+        for d in own:
+            rows = d.find(given)
+            if set(rows.columns) != {"text", "category", "surface"}:
+                raise ValueError(f"{d.name} returned {rows.columns}")
+            bad = F.lit(False)
+            for c in ("text", "category", "surface"):
+                bad = bad | F.col(c).isNull()
+            bad = bad | ~F.coalesce(F.contains("text", "surface"), F.lit(False)) | (F.col("surface") == "")
+            # a filter, so that no query can leave the check out
+            rows = rows.filter(F.when(bad, F.raise_error(F.lit(f"{d.name} found what is not there")).cast("boolean")).otherwise(True)).distinct()
+            rows = rows.join(distinct, "text", "left_semi").withColumnRenamed("text", column)
+            new = rows.join(found.select(column, "category", "surface"), [column, "category", "surface"], "left_anti")
+            found = found.unionByName(new.withColumn("source", F.lit(d.name)))
+    return found
+
+
+def signals(entries: DataFrame, rules: lx.Rules, context: bool = True, detectors: list[Detector] | None = None) -> DataFrame:
     """Rows (entry_id, component_index, category, surface, normalized, source) for entries (entry_id, parts).
 
     Path components repeat over entries, so detectors run on the distinct ones and a join brings their
-    findings back: one long component in a million paths is looked at once.
+    findings back: one long component in a million paths is looked at once. detectors are the caller's own.
     """
     exploded = entries.select("entry_id", F.posexplode("parts").alias("component_index", "part"))
     found = F.concat(ordinary("part", rules), contextual("part")) if context else ordinary("part", rules)
-    once = findings(exploded, "part", found, rules).withColumn("normalized", folded("surface"))
+    once = findings(exploded, "part", found, rules)
+    if detectors:
+        once = run_detectors(exploded, "part", once, detectors)
+    once = once.withColumn("normalized", folded("surface"))
     return exploded.join(once, "part").select("entry_id", "component_index", "category", "surface", "normalized", "source")
 
 

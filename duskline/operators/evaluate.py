@@ -98,3 +98,36 @@ def request_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with request and sha256: canonical JSON, keys in order, and its digest."""
     body = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
     return rows.select("*", body.alias("request"), F.sha2(body, 256).alias("sha256"))
+
+
+def selected_split(cases: DataFrame, split: str, known: tuple[str, ...] = ("development", "validation", "holdout"), key: str = "case_id") -> DataFrame:
+    """The cases (case_id, split, ...) of one split. A split that is not known, a case without or with another one, and a case in two
+    splits are errors: what was tuned on must not be scored."""
+    if split not in known:
+        raise ValueError(f"unknown split {split!r}")
+    per = cases.groupBy(key).agg(F.count_distinct("split").alias("n"), F.count_if(~F.coalesce(F.col("split").isin(*known), F.lit(False))).alias("odd"))
+    if not per.filter((F.col("n") != 1) | (F.col("odd") > 0)).isEmpty():
+        raise ValueError("a case has no known split, or several")
+    return cases.filter(F.col("split") == split)
+
+
+def attack(cases: DataFrame, attacker, gold: DataFrame, key: str = "case_id") -> DataFrame:
+    """Rows (case_id, status, correct, claims) of an attacker, a function from cases to rows (case_id, claim), against gold (case_id, claim).
+
+    A case without a claim is completed with none; claims on cases that were not given are an error; repeated claims count
+    once. Where the attacker raises before it returns its rows, every case is failed.
+    """
+    try:
+        claims = attacker(cases)
+    except Exception:  # an attacker that is down fails its cases, not the evaluation
+        return cases.select(key).distinct().select(key, F.lit("failed").alias("status"), F.lit(0).cast("long").alias("correct"), F.lit(0).cast("long").alias("claims"))
+    if set(claims.columns) != {key, "claim"}:
+        raise ValueError(f"an attacker returns ({key}, claim)")
+    claims = claims.filter("claim is not null").distinct()
+    given = cases.select(key).distinct()
+    known = claims.join(given.withColumn("_given", F.lit(True)), key, "left")
+    known = known.filter(F.when(F.col("_given").isNull(), F.raise_error(F.lit("a claim on a case that was not given")).cast("boolean")).otherwise(True))
+    right = known.join(gold.select(key, "claim", F.lit(1).alias("_right")).distinct(), [key, "claim"], "left")
+    per = right.groupBy(key).agg(F.count("*").alias("claims"), F.count("_right").alias("correct"))
+    zero = F.lit(0)
+    return given.join(per, key, "left").select(key, F.lit("completed").alias("status"), F.coalesce("correct", zero).alias("correct"), F.coalesce("claims", zero).alias("claims"))

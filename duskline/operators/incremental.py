@@ -98,24 +98,60 @@ def review_counts(rows: DataFrame, decided: DataFrame) -> DataFrame:
     return rows.select("row_id").join(decided, "row_id", "left").groupBy(state).agg(F.count("*").alias("n"))
 
 
-def replay(occurrences: DataFrame, events: list[dict], most: int = 1000) -> DataFrame:
+def replay(occurrences: DataFrame, events: list[dict], most: int = 1000, most_targets: int = 100_000) -> DataFrame:
     """occurrences (occurrence_id, entity_id) after ordered corrections: confirm joins a group's entities under the
-    least, split gives an occurrence an entity of its own, reject leaves an entity out."""
-    if len(events) > most:
-        raise ValueError(f"more than {most} corrections")
-    out = occurrences
-    for e in events:
+    least, split gives an occurrence an entity of its own, reject leaves an entity out until a later confirm takes it up;
+    reject_assertion changes no entity (see reject_assertions).
+
+    The log is control data of a bounded size: it is read once, on the driver, into what became of each occurrence and each entity that
+    it names, and two small tables are joined to the occurrences, however many corrections there are. An event with a
+    version must have its place in the log, counted from 0. An entity that was joined to another is none any more: naming it is
+    an error, as are an unknown kind, an empty event, and a log beyond the limits.
+    """
+    if len(events) > most or sum(len(v) for e in events for v in e.values() if isinstance(v, (list, tuple, set))) > most_targets:
+        raise ValueError(f"more than {most} corrections or {most_targets} targets")
+    joined: dict[str, str] = {}  # an entity, and the one it was joined to
+    split: dict[str, str] = {}  # an occurrence, and the entity that its last split gave it
+    gone: set[str] = set()
+    used: set[str] = set()  # names that splits gave
+    for number, e in enumerate(events):
+        if e.get("version", number) != number:
+            raise ValueError(f"correction {number} has another version")
+        targets = list(dict.fromkeys(e.get({"split": "occurrences", "reject_assertion": "assertions"}.get(e["kind"], "entities"), ())))
+        if e["kind"] not in ("confirm", "split", "reject", "reject_assertion") or not targets:
+            raise ValueError(f"unknown or empty correction {e['kind']!r}")
+        if e["kind"] in ("confirm", "reject") and any(x in joined for x in targets):
+            raise ValueError(f"correction {number} names an entity that is none any more")
         if e["kind"] == "confirm":
-            group = sorted(e["entities"])
-            out = out.withColumn("entity_id", F.when(F.col("entity_id").isin(*group), F.lit(group[0])).otherwise(F.col("entity_id")))
-        elif e["kind"] == "split":
-            own = F.concat(F.lit("SPLIT_"), "occurrence_id")
-            out = out.withColumn("entity_id", F.when(F.col("occurrence_id").isin(*e["occurrences"]), own).otherwise(F.col("entity_id")))
+            joined |= {x: min(targets) for x in targets if x != min(targets)}
+            gone -= set(targets)
         elif e["kind"] == "reject":
-            out = out.filter(~F.col("entity_id").isin(*e["entities"]))
-        else:
-            raise ValueError(f"unknown correction {e['kind']!r}")
-    return out
+            gone |= set(targets)
+        elif e["kind"] == "split":
+            for x in targets:
+                own = f"SPLIT_{x}"
+                split[x] = own if own not in used else f"{own}_{number}"
+                used.add(split[x])
+
+    def now(entity: str) -> str:
+        while entity in joined:
+            entity = joined[entity]
+        return entity
+
+    spark = occurrences.sparkSession
+    own = spark.createDataFrame([(o, now(e)) for o, e in split.items()], "occurrence_id string, _own string")
+    other = spark.createDataFrame([(e, now(e)) for e in joined], "entity_id string, _joined string")
+    out = spark.createDataFrame([(e,) for e in sorted(gone)], "entity_id string")
+    kept = [c for c in occurrences.columns if c != "entity_id"]
+    moved = occurrences.join(F.broadcast(own), "occurrence_id", "left").join(F.broadcast(other), "entity_id", "left")
+    entity = F.coalesce("_own", "_joined", "entity_id")
+    return moved.select(*kept, entity.alias("entity_id")).join(F.broadcast(out), "entity_id", "left_anti").select(occurrences.columns)
+
+
+def reject_assertions(facts: DataFrame, events: list[dict], key: str = "evidence_id") -> DataFrame:
+    """facts without those that a reject_assertion of the log names."""
+    ids = sorted({x for e in events if e["kind"] == "reject_assertion" for x in e["assertions"]})
+    return facts.join(F.broadcast(facts.sparkSession.createDataFrame([(x,) for x in ids], f"{key} string")), key, "left_anti")
 
 
 def dependency_edges(cells: DataFrame, primary: DataFrame, anchors: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..session import materialize
 from . import subjects as sj
 
 IDENTIFYING = ("DATE", "LOCATION", "ORG", "ROLE", "SCHOOL", "MAJOR", "AWARD")
-#: Fixed rules: type, quasi-identifiers needed, sensitive categories needed, score, recommended actions.
+# ---- fixed values: rules (type, quasi-identifiers needed, sensitive categories needed, score, recommended actions) ----
 RULES = (
     ("identity_triangulation", ("LOCATION", "ORG", "ROLE"), (), 8.0, ("generalize_location", "generalize_role", "break_linkage")),
     ("education_reidentification", ("SCHOOL", "MAJOR", "DATE"), (), 8.0, ("generalize_school", "generalize_date", "break_linkage")),
@@ -21,6 +21,7 @@ RULES = (
 MEDICAL = ("medical_reidentification", ("MEDICAL",), 10.0, ("generalize_date", "generalize_location", "suppress_subtree"))
 LINKAGE = ("cross_directory_linkage", 6.0, ("break_linkage", "release_scoped_alias"))
 HIGH = 8.0
+# ---- end of fixed values ---------------------------------------------------------------------------------------------
 
 
 def support(df: DataFrame, columns: tuple[str, ...], name: str = "support") -> DataFrame:

@@ -105,11 +105,9 @@ def new_aliases(spark, sf_dir):
 
 
 def _mapping(seen):
-    from pyspark.sql import Window
-
-    old = seen.filter("surface like '%7'").select("surface").distinct()
-    n = F.row_number().over(Window.orderBy("surface"))  # the mapping that a run before this one would have left
-    return old.select(F.lit("NAME_LIST").alias("category"), "surface", F.concat(F.lit("PERSON_"), F.lpad(n.cast("string"), 4, "0")).alias("alias"))
+    """The mapping that a run before this one would have left."""
+    old = iv.number_rows(seen.filter("surface like '%7'").select("surface").distinct(), "surface", kind="long")
+    return old.select(F.lit("NAME_LIST").alias("category"), "surface", F.concat(F.lit("PERSON_"), F.lpad(F.col("ordinal").cast("string"), 4, "0")).alias("alias"))
 
 
 @query(f"WITH s AS ({_SEEN}) SELECT surface, 'PERSON_' || lpad((row_number() OVER (ORDER BY surface))::VARCHAR, 4, '0') AS alias FROM s WHERE surface LIKE '%7'")
