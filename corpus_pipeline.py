@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 for the next one. Stages work on all rows that came through: documents without id pass the filters like
-any others, an empty table stays empty, columns beyond those of documents are dropped by the first stage.
+any others, an empty table stays empty, columns beyond those of documents are dropped by each stage, texts of any
+length are worked on whole, and no result depends on the order of rows.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskline.llm import decontaminate, jaccard, langid, mix, pii
-from duskline.session import materialize, table
+from duskline.session import discard, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter and lies near enough to a language that the labelled rows teach."""
+    """Documents whose text has a letter and lies near enough to a language that the labelled rows teach. Null texts go; rows that
+    are repeated, or have a null id, lang or source, are each judged by their text. Without a labelled row all go."""
     docs = docs.select(*COLUMNS)
     rows = langid.sample(docs, F.lit(True))
     return langid.identify(docs, langid.fit(rows) if rows else None, COLUMNS).filter("not rejected").select(*COLUMNS)
@@ -38,19 +40,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Each row is judged by its text, whatever its id; null and empty texts stay, and
+    with an empty benchmark all do."""
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars is of the new text."""
+    """All documents, each span of personal data replaced by its kind; n_chars is of the new text where it changed. Null
+    texts stay null; repeated rows stay; of spans that overlap the first, of equal starts the longest, is replaced."""
     found = pii.find(docs, COLUMNS)
     changed = F.col("spans") != ""
     return found.select("doc_id", F.col("masked_text").alias("text"), "lang", "source", F.when(changed, F.length("masked_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words (size), copies taken, and their source's size and target."""
+    """The documents that the mix takes, with their words (size), copies taken, and their source's size and target. Null
+    sources are one source; texts without words are never taken; rows that repeat id, text and source are one row here, which takes
+    what all of them take; documents that tie in the shuffled order come by a digest of their text."""
     named = docs.select(*COLUMNS).withColumn("_t", F.xxhash64("text"))
     plan = mix.fair_queue(named, mix.n_words(F.col("text")), carry=("_t",)).filter("taken > 0")
     plan = plan.groupBy(F.col("doc_id").alias("_d"), "_t", F.col("source").alias("_s")).agg(
@@ -74,8 +80,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of sf_dir. What a stage wrote is deleted once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discard(last)
+        last = docs
     return docs

@@ -175,7 +175,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 5, updates: int = UPDATE
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = SAMPLE) -> tuple[list[str], list[int]]:
     """At most per_label usable texts of each label, those with the least digest. A document whose labels
-    disagree is left out."""
+    disagree is left out; of several texts of one id the least by code point is taken, so that every run learns the same."""
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_m")).filter("toxic = _m")
     counts = {r[0]: r[1] for r in marks.filter(usable).groupBy("toxic").count().collect()}  # two rows
     if not counts:
@@ -186,15 +186,16 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int =
     picked = [few.filter(F.col("toxic") == k).orderBy("_h").limit(per_label) for k in (0, 1)]
     ids = {r.doc_id: r.toxic for d in picked for r in d.collect()}
     wanted = docs.sparkSession.createDataFrame([(k,) for k in ids], "doc_id long") if ids else None
-    rows = docs.filter("text is not null").join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect() if ids else []
+    rows = docs.filter("text is not null").join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect() if ids else []
     return [r.text for r in rows], [ids[r.doc_id] for r in rows]
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep with score and predicted for each row of docs (text).
 
-    score is that of the highest of all overlapping windows of the whole text; an empty or null text has one
-    window without words. Repeated rows give repeated rows; an empty table gives none.
+    score is that of the highest of all overlapping windows of the whole text, however long; an empty or null text has one
+    window without words. Windows that tie give the same score. Repeated rows give repeated rows; an empty table gives none;
+    columns beyond those in keep and text are not read.
     """
     fields = [f for f in docs.schema.fields if f.name in keep]
     shared = docs.sparkSession.sparkContext.broadcast(model)
