@@ -41,7 +41,7 @@ def _digests(text: str) -> str:
     # a line feed behind each full stop that no blank follows: plain replacement, which the pattern need not look for at each place
     for stop in FULL_STOPS:
         text = f"replace({text}, '{stop}', '{stop}\\n')"
-    pieces = f"flatten(transform(split({text}, '{PARAGRAPH}'), x -> IF(length(x) > {PIECE}, split(x, '(?s)(?<=\\\\G.{{{PIECE}}})'), array(x))))"
+    pieces = f"flatten(transform(split({text}, '{PARAGRAPH}'), x -> IF(length(x) > {PIECE}, regexp_extract_all(x, '(?s).{{1,{PIECE}}}', 0), array(x))))"
     keys = f"array_distinct(transform(filter({pieces}, x -> x != ''), x -> xxhash64(x)))"
     pairs = f"transform({keys}, k -> named_struct('k', k, 'c', xxhash64(k, 7L)))"
     return _masked(pairs, WIDTH)
