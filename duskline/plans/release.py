@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import generalize as gz
 from ..operators import release as rl
-from ..session import table
+from ..operators import session_file
+from ..session import materialize, table
 from .registry import query
 
 PLANS = (
@@ -104,3 +105,14 @@ def compared_files(spark, sf_dir):
     other = F.when(F.col("p_partkey") % 8 == 3, F.concat(F.upper(text), F.lit("!"))).otherwise(text)
     expected = p.filter("p_partkey % 9 != 1").select(name, F.length(text).alias("length"), F.sha2(other, 256).alias("sha256"))
     return rl.compare_manifest(found, expected)
+
+
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY c_custkey) AS place FROM customer)
+SELECT place, CASE WHEN place % 97 = 0 THEN 'lost' ELSE 'changed' END AS fault FROM p WHERE place % 97 = 0 OR place % 89 = 0""")
+def session_file_faults(spark, sf_dir):
+    """What is named where rows of a saved file were taken out, and others changed, behind its back."""
+    frames, manifest = session_file.save(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_custkey"], "key")
+    frames, manifest = materialize(frames, "frames"), materialize(manifest, "manifest")
+    spoiled = frames.filter("place % 97 != 0").withColumn("frame", F.when(F.col("place") % 89 == 0, F.concat("frame", F.lit(" "))).otherwise(F.col("frame")))
+    return session_file.faults(spoiled, manifest, "key")
