@@ -5,9 +5,10 @@ its class. Frequent words have classes of their own, in which the network choose
 put into classes by their spelling, in which a word's share is its count over the whole corpus, plus one;
 one more share in each class is for words that were never seen, so the probabilities of a class sum to
 one. The frequent words are those of all training texts. The network is trained on all training texts by
-backpropagation through windows whose state is carried on: in each round the tasks go on from the same
-network, each over its own messages, and their networks are averaged. Scoring carries a document's
-state through all of its windows.
+backpropagation through windows whose state is carried on: in each round the groups go on from the same
+network, each over its own texts, and their networks are averaged. Round, group and order of a text follow from a
+digest of its id and itself, so the network does not depend on how the table is split. Scoring carries a
+document's state through all of its windows.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .textkit import U, Words, mix, one_thread, pack, steps, unpack
 HIDDEN, CLASSES, PER_CLASS, SPELLED = 24, 40, 32, 8
 #: Training: streams at least, window, updates at least (a small corpus is read several times), rate.
 STREAMS, WINDOW, UPDATES, RATE = 64, 24, 350, 0.02
-#: Rounds of training, streams at most that a message is cut into, groups that average.
-ROUNDS, WIDE, GROUPS = 8, 512, 16
+#: Rounds of training, streams at most that a block is cut into, networks that the driver gets and that a sum joins.
+ROUNDS, WIDE, GROUPS, JOINED = 8, 512, 16, 64
+#: Buckets of texts in a round at most; a bucket has about as many tokens as a message or more.
+WIDEST = 1 << 14
 #: Tokens in a message, tokens that the network scores side by side, and tokens in a part of the counts.
 MESSAGE, ABREAST, PART = 500_000, 8_000_000, 6_000_000
 #: Texts that are scored side by side, and steps between two looks at the softmax.
@@ -191,14 +194,14 @@ def train(model: Model, blocks: list[np.ndarray], rate, updates: int | None = No
     """Trains model on blocks of token numbers by whole passes over all of them, or by a number of updates, and
     says how many tokens it read. rate is of the update and the number of all updates."""
     end, p = int(model.ids(np.array([END]))[0]), model.p
-    cut = [windows(b, end, int(np.clip(len(b) // (40 * WINDOW), STREAMS, WIDE))) for b in blocks if len(b)]
-    n = sum(len(w) for w in cut)
+    cut = [(b, int(np.clip(len(b) // (40 * WINDOW), STREAMS, WIDE))) for b in blocks if len(b)]
+    n = sum(-(-len(b) // (streams * WINDOW)) for b, streams in cut)
     updates = n * passes if updates is None else updates if n else 0
     adam, u, read = gru.Adam(p, RATE), 0, 0
     while u < updates:
-        for block in cut:
-            state = np.zeros((block[0][0].shape[1], HIDDEN), np.float32)
-            for prev, y in block[: updates - u]:
+        for block, streams in cut:
+            state = np.zeros((streams, HIDDEN), np.float32)
+            for prev, y in windows(block, end, streams)[: updates - u]:
                 fresh = (prev == end).astype(np.float32)
                 prev, valid = np.where(prev == end, CLASSES * PER_CLASS + SPELLED, prev), y.reshape(-1) >= 0
                 s, cache = gru.forward(p["x"][prev], p["h"], state, reset=fresh)
@@ -307,43 +310,89 @@ def _shaped(flat: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]
     return {k: part.reshape(x.shape).astype(np.float32) for (k, x), part in zip(p.items(), np.split(flat, ends[:-1]), strict=True)}
 
 
+def _dealt(messages: DataFrame, k: int, width: int) -> DataFrame:
+    """Rows (bucket, deal, ids) of the training texts of round k, each bucket in a partition of its own in the order of
+    digests. Equal texts of a message that have the same id are sent once."""
+
+    def cut(batches):
+        for batch in batches:
+            for ids, deals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                deal, n = np.frombuffer(deals, np.int64).reshape(-1, 2).T.copy()
+                mine = deal.view(U) % U(ROUNDS) == k
+                deal, ends = deal[mine], np.cumsum(2 * n[mine])
+                texts = {(d, ids[a:b]): None for d, a, b in zip(deal.tolist(), (ends - 2 * n[mine]).tolist(), ends.tolist(), strict=True)}
+                own = np.array([d for d, _ in texts], np.int64)
+                bucket = (own.view(U) // U(ROUNDS) % U(width)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array([x for _, x in texts], pa.binary())], names=["bucket", "deal", "ids"])
+
+    mine = messages.filter(f"turns[{k + 1}] > turns[{k}]").selectExpr(f"substring(ids, CAST(2 * turns[{k}] + 1 AS INT), CAST(2 * (turns[{k + 1}] - turns[{k}]) AS INT))", "deals")
+    return mine.mapInArrow(cut, "bucket int, deal long, ids binary").repartitionById(width, F.col("bucket")).sortWithinPartitions("deal", "ids")
+
+
+def _total(dtype):
+    """The sum of networks in the order of their buckets, each by its weight where they are single ones."""
+
+    def total(t: pa.Table) -> pa.Table:
+        t = t.sort_by("bucket")
+        n = t.column("n").to_pylist()
+        p = sum((w if dtype is np.float32 else 1.0) * np.frombuffer(b, dtype).astype(float) for w, b in zip(n, t.column("p").to_pylist(), strict=True))
+        return pa.table([pa.array([t.column("bucket")[0].as_py() // JOINED], pa.int32()), pa.array([sum(n)], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=["bucket", "n", "p"])
+
+    return total
+
+
 def learn(messages: DataFrame, model: Model) -> Model:
-    """model, trained on the training texts of messages: every token is read in a whole pass, in several where texts
-    are few. Messages are dealt to rounds. In a round each task trains the same network on its messages; the mean of
-    the networks by tokens read is where the next round starts.
+    """model, trained on the training texts of messages: every text is read in a whole pass, in several where texts
+    are few; rows that are equal in id and text are read as one. Texts are dealt to rounds and to buckets in them by
+    digest. In a round each bucket trains the same network on its texts; the mean of the networks by tokens read is
+    where the next round starts.
     """
-    context, cut = messages.sparkSession.sparkContext, messages.filter("learnt > 0")
-    sizes = {r["round"]: r["n"] for r in cut.groupBy("round").agg(F.sum("learnt").alias("n")).collect()}  # a row for each round
+    context = messages.sparkSession.sparkContext
+    cut = messages.filter("learnt > 0").select("ids", "deals", "turns")
+    found = cut.agg(*[F.coalesce(F.sum(F.expr(f"turns[{k + 1}] - turns[{k}]")), F.lit(0)) for k in range(ROUNDS)]).first()
+    sizes = {k: n for k, n in enumerate(found) if n}
     passes = max(1, -(-UPDATES * WINDOW * STREAMS // max(1, sum(sizes.values()))))
-    for done, k in enumerate(sorted(sizes)):
-        now = context.broadcast(model)
+    for done, (k, size) in enumerate(sizes.items()):
+        now, width = context.broadcast(model), min(WIDEST, max(1, size // MESSAGE))
 
         def rate(u, n, done=done):
             return RATE * min(1.0, (u + 1) / (5 if done else 30)) * (1 - 0.9 * (done + u / n) / len(sizes))
 
         def work(batches, now=now, rate=rate):
-            own = [_learnt(ids, docs) for batch in batches for ids, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            if own:
+            held, blocks, size, last, bucket = [], [], 0, None, 0
+
+            def block():
+                nonlocal held, size
+                ids = np.frombuffer(b"".join(held), np.uint16)
+                blocks.extend(ids[at : at + MESSAGE] for at in range(0, len(ids), MESSAGE))
+                held, size = [], 0
+
+            for batch in batches:
+                for bucket, deal, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if (deal, ids) != last:
+                        held.append(ids)
+                        last, size = (deal, ids), size + len(ids) // 2
+                    if size >= MESSAGE:
+                        block()
+            block()
+            if blocks:
                 one_thread()
                 m = Model(now.value.head, now.value.number, {k: x.copy() for k, x in now.value.p.items()})
-                n = train(m, own, rate, passes=passes)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([_flat(m.p).tobytes()], pa.binary())], names=["task", "n", "p"])
-
-        def total(t: pa.Table) -> pa.Table:
-            t = t.sort_by("task")
-            n = t.column("n").to_pylist()
-            p = sum(float(w) * np.frombuffer(b, np.float32).astype(float) for w, b in zip(n, t.column("p").to_pylist(), strict=True))
-            return pa.table([pa.array([t.column("task")[0].as_py()], pa.int64()), pa.array([sum(n)], pa.int64()), pa.array([p.tobytes()], pa.binary())], names=["task", "n", "p"])
-
-        sums = cut.filter(F.col("round") == k).select("ids", "docs").mapInArrow(work, "task long, n long, p binary").groupBy(F.col("task") % GROUPS).applyInArrow(total, "task long, n long, p binary")
-        sums = sorted(sums.collect(), key=lambda r: r.task)  # GROUPS rows at most
-        p = sum(np.frombuffer(r.p, float) for r in sums) / sum(r.n for r in sums)
+                n = train(m, blocks, rate, passes=passes)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([n], pa.int64()), pa.array([_flat(m.p).tobytes()], pa.binary())], names=["bucket", "n", "p"])
+
+        kind, sums = np.float32, _dealt(cut, k, width).mapInArrow(work, "bucket int, n long, p binary")
+        while width > GROUPS:
+            sums = sums.groupBy(F.expr(f"bucket DIV {JOINED}")).applyInArrow(_total(kind), "bucket int, n long, p binary")
+            kind, width = float, -(-width // JOINED)
+        sums = sorted(sums.collect(), key=lambda r: r.bucket)  # GROUPS rows at most
+        p = sum((r.n if kind is np.float32 else 1.0) * np.frombuffer(r.p, kind).astype(float) for r in sums) / sum(r.n for r in sums)
         model = Model(model.head, model.number, _shaped(p, model.p))
         now.unpersist()
     return model
 
 
-_MESSAGE = "task long, part int, docs binary, ids binary, learnt long, round int, h binary, n binary, train binary, idx binary"
+_MESSAGE = "task long, part int, docs binary, ids binary, learnt long, deals binary, turns array<long>, h binary, n binary, train binary, idx binary"
 
 
 def _ipc(t: pa.Table) -> bytes:
@@ -357,34 +406,34 @@ def _table(b: bytes) -> pa.Table:
     return pa.ipc.open_stream(b).read_all()
 
 
-def _learnt(ids: bytes, docs: bytes) -> np.ndarray:
-    """Numbers of the tokens of a message's training texts."""
-    own = _table(docs)
-    trains = ~own.column("held_out").to_numpy()
-    return np.frombuffer(ids, np.uint16)[np.repeat(trains, own.column("n_tokens").to_numpy())].astype(np.int64)
-
-
 def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
     """Rows of _MESSAGE, in which all texts are cut into tokens once for what follows.
 
     One row of each task has its texts (docs), what the table of often seen words says of them, and the numbers of
-    their tokens (ids) for the network. The others have the distinct seldom tokens of a part by hash (h), how often
+    their tokens (ids) for the network: first the training texts of each round by digest, whose digests and sizes are
+    in deals and whose tokens end at turns, then the texts held out. The others have the distinct seldom tokens of a part by hash (h), how often
     each is there (n) and in training texts (train), and the texts it is in (idx): no group ever holds the places of
     a word that the table has.
     """
-    names = ["task", "part", "docs", "ids", "learnt", "round", "h", "n", "train", "idx"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    names = ["task", "part", "docs", "ids", "learnt", "deals", "turns", "h", "n", "train", "idx"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.binary()] * 4]
 
     def run(batches):
         at, flush, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def message():
             nonlocal held, size, flush
-            task, k, flush = (at << 24) + flush, (at + flush) % ROUNDS, flush + 1
+            task, flush = (at << 24) + flush, flush + 1
             m, table = model.value, often.value
             h, counts = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             held_out = np.concatenate([x[3] for x in held])
             doc_ids = pa.concat_arrays([c for x in held for c in x[2].chunks]).cast(pa.int64())
+            deal = np.concatenate([x[4] for x in held])
+            turn = np.where(held_out, ROUNDS, (deal.view(U) % U(ROUNDS)).astype(np.int64))
+            order, starts = np.lexsort((deal, turn)), np.cumsum(counts) - counts
+            turn, deal, held_out, doc_ids, counts, starts = turn[order], deal[order], held_out[order], doc_ids.take(pa.array(order)), counts[order], starts[order]
+            h = h[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(h))]
+            turns = np.cumsum(np.bincount(turn + 1, counts, minlength=ROUNDS + 2)[: ROUNDS + 1]).astype(np.int64)
             idx, held, size = np.repeat(np.arange(len(counts)), counts), [], 0
             ids = m.ids(h)
             rare = ids - CLASSES * PER_CLASS
@@ -393,7 +442,7 @@ def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
             logs = np.where(has, table.logs[slot], 0.0)
             sums = [np.bincount(idx, x, minlength=len(counts)) for x in (logs, logs * (rare >= 0), has & (table.train[slot] > 0))]
             own = {"doc_id": doc_ids, "held_out": pa.array(held_out), "n_tokens": pa.array(counts), "spelled": pa.array(spelled.tolist(), pa.list_(pa.int64())), "logs": pa.array(sums[0]), "rare": pa.array(sums[1]), "known": pa.array(sums[2])}
-            rows = [(task, task % parts, _ipc(pa.table(own)), ids.astype(np.uint16).tobytes(), int(counts[~held_out].sum()), k, b"", b"", b"", b"")]
+            rows = [(task, task % parts, _ipc(pa.table(own)), ids.astype(np.uint16).tobytes(), int(turns[-1]), np.stack([deal, counts], 1)[~held_out].tobytes(), turns.tolist(), b"", b"", b"", b"")]
             # the low bits of a word of the network say so
             h, idx = np.where(rare < 0, (h & ~U(15)) | U(8), h)[~has], idx[~has]
             part = (mix(h) % U(parts)).astype(np.int64)
@@ -405,20 +454,20 @@ def _messages(docs: DataFrame, parts: int, model, often) -> DataFrame:
                 a, b = ends[p], ends[p + 1]
                 first = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
                 n, train = np.diff(np.append(first, b - a)), np.add.reduceat(trains[a:b].astype(np.int64), first)
-                rows.append((task, p, None, None, None, None, pack(np.diff(h[a:b][first], prepend=U(0))), pack(n.astype(np.uint32)), pack(train.astype(np.uint32)), pack(idx[a:b].astype(np.uint32))))
+                rows.append((task, p, None, None, None, None, None, pack(np.diff(h[a:b][first], prepend=U(0))), pack(n.astype(np.uint32)), pack(train.astype(np.uint32)), pack(idx[a:b].astype(np.uint32))))
             yield from pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names).to_batches()
 
         for batch in batches:
             for t in steps(batch):
                 h, counts, _ = tokens(t.column("text").combine_chunks())
-                held.append((h, counts, t.column("doc_id"), t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)))
+                held.append((h, counts, t.column("doc_id"), t.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), t.column("deal").combine_chunks().to_numpy()))
                 size += len(h)
                 if size >= MESSAGE:
                     yield from message()
         if held:
             yield from message()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _MESSAGE)
+    return docs.select("doc_id", "held_out", "text", F.xxhash64("doc_id", "text").alias("deal")).mapInArrow(run, _MESSAGE)
 
 
 def _scores(messages: DataFrame, model) -> DataFrame:
@@ -474,8 +523,8 @@ def score(docs: DataFrame, held_out: Column, model: Model | None = None) -> Data
 
     Counts are of the texts that are not held out. base_score is the add-one unigram log10-likelihood, score
     the network's log10-likelihood, both of the text's words and its end. A null text is empty, its one
-    token is the end; null doc_ids are kept; repeated rows count as often as they stand; an empty table
-    gives no rows; other columns are not read. doc_id is a whole number.
+    token is the end; null doc_ids are kept; repeated rows count as often as they stand, but train the network once;
+    the same rows give the same scores however they are split, in any order; an empty table gives no rows; other columns are not read. doc_id is a whole number.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
