@@ -359,22 +359,15 @@ def learn(messages: DataFrame, model: Model) -> Model:
             return RATE * min(1.0, (u + 1) / (5 if done else 30)) * (1 - 0.9 * (done + u / n) / len(sizes))
 
         def work(batches, now=now, rate=rate):
-            held, blocks, size, last, bucket = [], [], 0, None, 0
-
-            def block():
-                nonlocal held, size
-                ids = np.frombuffer(b"".join(held), np.uint16)
-                blocks.extend(ids[at : at + MESSAGE] for at in range(0, len(ids), MESSAGE))
-                held, size = [], 0
-
+            held, last, bucket = [], None, 0
             for batch in batches:
                 for bucket, deal, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if (deal, ids) != last:
                         held.append(ids)
-                        last, size = (deal, ids), size + len(ids) // 2
-                    if size >= MESSAGE:
-                        block()
-            block()
+                        last = (deal, ids)
+            ids = np.frombuffer(b"".join(held), np.uint16)
+            # even blocks: a short one would take as many updates as a long one
+            blocks = np.array_split(ids, max(1, len(ids) // MESSAGE)) if held else []
             if blocks:
                 one_thread()
                 m = Model(now.value.head, now.value.number, {k: x.copy() for k, x in now.value.p.items()})
