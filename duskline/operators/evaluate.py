@@ -77,12 +77,14 @@ def knowledge_pairs(known: DataFrame) -> DataFrame:
 
 def background_claims(known: DataFrame, subjects: DataFrame) -> DataFrame:
     """Rows (subject, identity): subjects (subject, topic) that exactly one known identity (identity, key, topic)
-    matches, by its key or by a topic. The two ways are joined apart and put together, so each is a hash join."""
+    matches, by its key or by a topic. A key or topic is told by its least and its greatest identity: they differ just
+    if there are several, so that no subject meets all identities of a topic."""
     k = known.filter("coalesce(identity, '') != ''")
-    by_key = subjects.select("subject").distinct().join(k.select(F.col("key").alias("subject"), "identity"), "subject")
-    by_topic = subjects.filter("coalesce(topic, '') != ''").join(k.filter("coalesce(topic, '') != ''").select("topic", "identity"), "topic").select("subject", "identity")
-    every = by_key.unionByName(by_topic).distinct()
-    return every.groupBy("subject").agg(F.count("*").alias("n"), F.min("identity").alias("identity")).filter("n = 1").select("subject", "identity")
+    ends = lambda c: k.groupBy(c).agg(F.min("identity").alias("least"), F.max("identity").alias("greatest"))
+    by_key = subjects.select("subject").distinct().join(ends("key").withColumnRenamed("key", "subject"), "subject")
+    by_topic = subjects.filter("coalesce(topic, '') != ''").join(ends("topic"), "topic").select("subject", "least", "greatest")
+    every = by_key.unionByName(by_topic).groupBy("subject").agg(F.min("least").alias("identity"), F.max("greatest").alias("last"))
+    return every.filter("identity = last").select("subject", "identity")
 
 
 def merge_verdicts(batch: DataFrame, replies: DataFrame) -> DataFrame:

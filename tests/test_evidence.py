@@ -164,6 +164,29 @@ def test_claims_need_one_identity(spark):
     assert {tuple(r) for r in el.background_claims(known, subjects).collect()} == {("k1", "ann"), ("s3", "cy")}
 
 
+def test_claims_meet_no_pairs(spark):
+    """Subjects and identities that share one topic are not joined with each other: 4,000 of each would be 16 million rows."""
+    n = 4000
+    known = spark.range(n).selectExpr("'i' || id AS identity", "'k' || id AS key", "CASE WHEN id = 7 THEN 'own' ELSE 'all' END AS topic")
+    subjects = spark.range(n).selectExpr("CASE WHEN id < 20 THEN 'k' || id ELSE 's' || id END AS subject", "CASE WHEN id % 10 = 1 THEN 'own' WHEN id % 10 = 2 THEN '' ELSE 'all' END AS topic")
+    claims = el.background_claims(known, subjects)
+    want = {(f"s{i}", "i7") for i in range(20, n) if i % 10 == 1} | {("k2", "i2"), ("k12", "i12")}
+    assert {tuple(r) for r in claims.collect()} == want
+    most = 0
+    todo = [claims._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+        elif plan.nodeName().endswith("QueryStage"):
+            todo.append(plan.plan())
+        if plan.metrics().contains("numOutputRows") and "Join" in plan.nodeName():
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        kids = plan.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert most <= 2 * n
+
+
 def test_replies_must_match_the_batch(spark):
     batch, reply = spark.createDataFrame([(1,), (2,)], "id int"), spark.createDataFrame([(1, "NONE")], "id int, verdict string")
     assert {tuple(r) for r in el.merge_verdicts(batch, reply).collect()} == {(1, "NONE"), (2, None)}
