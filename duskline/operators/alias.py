@@ -22,6 +22,11 @@ def _prefix(category: Column) -> Column:
     return out
 
 
+def numeral(n: Column) -> Column:
+    """A number of at least four digits; lpad alone would cut longer ones."""
+    return F.when(n < 10_000, F.lpad(n.cast("string"), 4, "0")).otherwise(n.cast("string"))
+
+
 def lookup(wanted: DataFrame, mapping: DataFrame) -> DataFrame:
     """wanted (category, surface) with alias: of the same category, else of the other label for a person; null if new."""
     m = mapping.select("category", "surface", "alias")
@@ -44,7 +49,7 @@ def allocate(seen: DataFrame, mapping: DataFrame) -> DataFrame:
     used = mapping.select(F.regexp_extract("alias", r"^(.*)_(\d+)$", 1).alias("prefix"), F.regexp_extract("alias", r"^(.*)_(\d+)$", 2).cast("long").alias("n")).groupBy("prefix").agg(F.max("n").alias("last"))
     numbered = _numbered(same)
     named = numbered.join(used, "prefix", "left").withColumn("n", F.col("r") + F.coalesce("last", F.lit(0)))
-    alias = F.concat("prefix", F.lit("_"), F.when(F.col("n") < 10_000, F.lpad(F.col("n").cast("string"), 4, "0")).otherwise(F.col("n").cast("string")))
+    alias = F.concat("prefix", F.lit("_"), numeral(F.col("n")))
     return new.select("category", "surface", "prefix").join(named.select("prefix", "surface", alias.alias("alias")), ["prefix", "surface"]).select("category", "surface", "alias")
 
 

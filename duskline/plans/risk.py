@@ -107,10 +107,11 @@ def new_aliases(spark, sf_dir):
 def _mapping(seen):
     """The mapping that a run before this one would have left."""
     old = iv.number_rows(seen.filter("surface like '%7'").select("surface").distinct(), "surface", kind="long")
-    return old.select(F.lit("NAME_LIST").alias("category"), "surface", F.concat(F.lit("PERSON_"), F.lpad(F.col("ordinal").cast("string"), 4, "0")).alias("alias"))
+    return old.select(F.lit("NAME_LIST").alias("category"), "surface", F.concat(F.lit("PERSON_"), alias.numeral(F.col("ordinal"))).alias("alias"))
 
 
-@query(f"WITH s AS ({_SEEN}) SELECT surface, 'PERSON_' || lpad((row_number() OVER (ORDER BY surface))::VARCHAR, 4, '0') AS alias FROM s WHERE surface LIKE '%7'")
+@query(f"""WITH s AS ({_SEEN})
+SELECT surface, 'PERSON_' || CASE WHEN i < 10000 THEN lpad(i::VARCHAR, 4, '0') ELSE i::VARCHAR END AS alias FROM (SELECT surface, row_number() OVER (ORDER BY surface) AS i FROM s WHERE surface LIKE '%7')""")
 def known_aliases(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     seen = c.join(o, c.c_custkey == o.o_custkey).select(F.lit("PERSON").alias("category"), F.col("c_name").alias("surface"))

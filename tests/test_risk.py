@@ -101,3 +101,16 @@ def test_chain_of_links_settles(spark):
     edges = [(i, i + 1) for i in range(40)]
     got = graph.connected_components(spark.createDataFrame(edges, "src int, dst int")).select("component").distinct().collect()
     assert [r.component for r in got] == [0]
+
+
+def test_aliases_beyond_four_digits(spark, tmp_path):
+    """More than 9,999 known names: no alias is cut, so none is given twice, and new ones go on behind the last."""
+    from duskline.plans.risk import known_aliases, new_aliases
+
+    n = 100_020
+    spark.range(n).selectExpr("id AS c_custkey", "'Customer#' || lpad(id, 9, '0') AS c_name").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(n).selectExpr("id AS o_custkey", "timestamp_seconds(id) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    old = known_aliases(spark, str(tmp_path)).agg(F.count("*").alias("n"), F.count_distinct("alias").alias("d"), F.max_by("alias", "surface").alias("last")).first()
+    assert tuple(old) == (10_002, 10_002, "PERSON_10002")
+    new = new_aliases(spark, str(tmp_path)).agg(F.count("*").alias("n"), F.min_by("alias", "surface").alias("first"), F.max_by("alias", "surface").alias("last")).first()
+    assert tuple(new) == (n - 10_002, "PERSON_10003", f"PERSON_{n}")
