@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..sources.tables import strict_json
-from .evidence import Field, Template
+from .evidence import Field, Template, entity_key
 
 #: Fixed values of the configuration's format.
 VERSION, MOST_FILES, MOST_FIELDS = "d2-templates-1", 1000, 32
@@ -193,10 +193,9 @@ def assertions(cells: DataFrame, templates: list[Template]) -> DataFrame:
     state = F.when(F.coalesce("_given", F.lit("")) == "", F.col("_default")).when(F.array_contains("_states", F.col("_given")), F.col("_given")).otherwise("unknown")
     state = F.when(F.col("quoted"), "quoted").otherwise(state)
     state = F.when((F.size("allowed") > 0) & ~F.array_contains("allowed", F.col("value")), "unknown").otherwise(state)
-    ident = lambda kind, space, value: F.sha2(F.concat_ws("\x1f", kind, space, value), 256)
     is_key = F.col("role") == "key"
     said = c.filter("not is_primary and not is_state and value != ''")
     return said.select(
-        "document_id", ident(F.col("_own.entity_type"), F.col("_own.namespace"), F.col("_own.value")).alias("source"), F.when(is_key, ident(F.col("entity_type"), F.col("namespace"), F.col("value"))).alias("target"),
+        "document_id", entity_key(F.col("_own.entity_type"), F.col("_own.namespace"), F.col("_own.value")).alias("source"), F.when(is_key, entity_key(F.col("entity_type"), F.col("namespace"), F.col("value"))).alias("target"),
         F.when(is_key, "relation").otherwise(F.col("role")).alias("kind"), F.col("name").alias("field_name"), F.when(~is_key, F.col("value")).alias("value"), state.alias("state"),
         F.col("_own.entity_type").alias("entity_type"), F.col("_own.namespace").alias("namespace"), "block_no", "at", "to", "start", "end")

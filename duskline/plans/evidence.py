@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
-from ..session import materialize, table
+from ..session import table
 from .registry import query
 
 PERSON = ev.Field("cust", "key", "customers", "person")
@@ -20,7 +20,7 @@ def _facts(spark, sf_dir, by_document=False):
     rows = ev.assertions(people, ev.Template("cust", (PERSON, ev.Field("name", "identity"), ev.Field("seg", "quasi"), ev.Field("nat", "quasi"))), "customer")
     rows = rows.unionByName(ev.assertions(bridges, ev.Template("cust", (PERSON, ORDER)), "orders"))
     rows = rows.unionByName(ev.assertions(facts, ev.Template("ord", (ORDER, ev.Field("flag", "sensitive")), state_field="state"), "lineitem"))
-    return materialize(ev.evidence(rows, by_document=by_document), "facts")
+    return ev.evidence(rows, by_document=by_document, written=True)
 
 
 _OPEN = "SELECT l_orderkey, l_returnflag FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (l_linestatus = 'O') > 0 AND count(*) FILTER (l_linestatus = 'F') = 0"

@@ -221,3 +221,47 @@ def test_late_changes_reach_the_end_of_the_log(spark, sf_dir, tmp_path):
     spark.createDataFrame([], "event_id long, user_id long").write.parquet(f"{tmp_path}/none/events.parquet")
     spark.createDataFrame([(2,)], "c_custkey long").write.parquet(f"{tmp_path}/none/customer.parquet")
     assert late_changes_to_end(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.fixture()
+def written(monkeypatch):
+    """(tag, rows) of every table that the operators of this module write."""
+    rows, write = [], ev.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        rows.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(ev, "materialize", counted)
+    return rows
+
+
+def test_cuts_of_a_star_walk_no_other_ray(spark, written):
+    n = 200
+    f = facts(spark, [("c", "name")], [("c", f"m{i}") for i in range(n)], [(f"m{i}", "secret", None, False) for i in range(n)])
+    got = ev.cuts(ev.witnesses(f), f).groupBy("rule").agg(F.count("*").alias("n"), F.count_if("blocks").alias("b")).collect()
+    assert {tuple(r) for r in got} == {("identity_mapping", 1, 1), ("numbered_join", 3 * n, 3 * n)}
+    assert max(rows for _, rows in written) <= 3 * n
+
+
+def test_written_facts_know_what_is_denied(spark, written):
+    notes = [("M01", "secret", s, q) for s, q in ((None, False), ("negative", False))] + [("M02", "secret", None, True), ("M02", "other", "Odd", False), ("M02", "other", None, False)]
+    world = ([("001", "甲")], [("001", "M01"), ("001", "M02"), ("001", "M02")], notes)
+    plain, kept = facts(spark, *world), facts(spark, *world, written=True)
+    rows = lambda df: sorted(map(str, df.select(plain.columns).collect()))
+    assert rows(plain) == rows(kept) and rows(ev.active(plain)) == rows(ev.active(kept))
+    assert ev.conflicts(kept).first() == ev.conflicts(plain).first() == (1,)
+    key = lambda df: sorted((r.rule, r.subject, r.endpoint, tuple(r.chain)) for r in df.collect())
+    assert key(ev.witnesses(plain)) == key(ev.witnesses(kept)) and len(joins(kept)) == 1
+
+
+def test_only_rules_asked_for_are_worked_out(spark, sf_dir, written):
+    from duskline.plans import evidence as plan
+
+    assert plan.quasi_combinations(spark, sf_dir).count() and [t for t, _ in written] == ["facts"]
+    facts_ = written.pop()[1]
+    assert plan.facts_by_state(spark, sf_dir).count() == 4 and plan.conflicting_facts(spark, sf_dir).first().conflicts and [t for t, _ in written] == ["facts"] * 2
+    written.clear()
+    assert plan.numbered_joins(spark, sf_dir).count()
+    assert sum(n for _, n in written) < 2 * facts_  # claims once, and each walked edge once
