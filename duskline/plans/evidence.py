@@ -36,9 +36,9 @@ def numbered_joins(spark, sf_dir):
 
 @query(f"SELECT count(*) AS incremental FROM customer JOIN orders ON o_custkey = c_custkey JOIN ({_OPEN}) ON l_orderkey = o_orderkey")
 def joins_over_several_files(spark, sf_dir):
-    found = ev.witnesses(_facts(spark, sf_dir))
-    alone = ev.witnesses(_facts(spark, sf_dir, by_document=True), by_document=True)
-    return ev.incremental_joins(found, alone).filter("rule = 'numbered_join'").agg(F.count("*").alias("incremental"))
+    found = ev.witnesses(_facts(spark, sf_dir), rules=("numbered_join",))
+    alone = ev.witnesses(_facts(spark, sf_dir, by_document=True), by_document=True, rules=("numbered_join",))
+    return ev.incremental_joins(found, alone).agg(F.count("*").alias("incremental"))
 
 
 @query("""
