@@ -30,7 +30,7 @@ _OPEN = "SELECT l_orderkey, l_returnflag FROM lineitem GROUP BY 1, 2 HAVING coun
 def numbered_joins(spark, sf_dir):
     facts = _facts(spark, sf_dir)
     names = facts.filter("kind = 'identity'").select(F.col("source").alias("subject"), F.col("value").alias("name"))
-    found = ev.witnesses(facts).filter("rule = 'numbered_join'")
+    found = ev.witnesses(facts, rules=("numbered_join",))
     return found.join(names, "subject").groupBy("name").agg(F.count("*").alias("n_joins"))
 
 
