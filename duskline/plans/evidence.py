@@ -45,7 +45,7 @@ def joins_over_several_files(spark, sf_dir):
 WITH g AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2)
 SELECT n AS support, sum(n)::BIGINT AS entities, (SELECT count(*) FROM customer) AS population FROM g WHERE n <= 8 GROUP BY n""")
 def quasi_combinations(spark, sf_dir):
-    found = ev.witnesses(_facts(spark, sf_dir), ("seg", "nat"), max_support=8).filter("rule = 'quasi_combination'")
+    found = ev.witnesses(_facts(spark, sf_dir), ("seg", "nat"), max_support=8, rules=("quasi_combination",))
     return found.groupBy("support").agg(F.count("*").alias("entities"), F.max("population").alias("population"))
 
 
