@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded
+from .evidence import digest
 from .graph import connected_components
 
 
@@ -163,8 +164,11 @@ def dependency_edges(cells: DataFrame, primary: DataFrame, anchors: DataFrame |
     anchors (correction_id, document_id) join the documents of a standing correction.
     """
     own = primary.select("document_id", F.col("entity_type").alias("_t"), F.col("namespace").alias("_s"))
-    c = cells.join(own, "document_id").withColumn("_v", folded("value"))
-    part = lambda kind, *cols: F.struct(F.lit(kind).alias("kind"), *[F.coalesce(x, F.lit("")).alias(f"k{i}") for i, x in enumerate(cols)])
+    compared = F.col("role").isin("identity", "label")
+    c = cells.filter(compared | F.col("role").isin("key", "quasi")).join(own, "document_id")
+    # keys are compared as they are, and only the others pass through Python; all move as a short digest
+    c = c.filter(compared).withColumn("_v", folded("value")).unionByName(c.filter(~compared).withColumn("_v", F.lit("")))
+    part = lambda kind, *cols: digest(F.lit(kind), *[F.coalesce(x, F.lit("")) for x in cols])
     empty = F.lit("")
     key = (
         F.when(F.col("role") == "key", part("key", F.col("entity_type"), F.col("namespace"), F.col("value")))

@@ -204,17 +204,16 @@ def _nations(spark, sf_dir, changed: bool):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cust"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ord"), F.col("o_custkey").cast("string").alias("cust")).join(c.select("cust", "n"), "cust")
     denied = (F.col("n") == _CHANGED) & (F.col("flag") == "R") if changed else F.lit(False)
-    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ord"), F.col("l_returnflag").alias("flag")).join(o.select("ord", "n"), "ord").withColumn("state", F.when(denied, "negative").otherwise("positive"))
+    o = materialize(o, "orders")
+    i = materialize(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ord"), F.col("l_returnflag").alias("flag")).join(o.select("ord", "n"), "ord"), "items").withColumn("state", F.when(denied, "negative").otherwise("positive"))
     shapes = (("customer", c, ev.Template("cust", (_PERSON, ev.Field("name", "identity")))), ("orders", o, ev.Template("cust", (_PERSON, _ORDER))), ("items", i, ev.Template("ord", (_ORDER, ev.Field("flag", "sensitive")), state_field="state")))
     rows, cells, primary, revisions = [], [], [], []
     for name, df, t in shapes:
         doc = F.concat(F.lit(name + "-"), F.col("n").cast("string"))
         of = {f.name: f for f in t.fields}
-        # every document of a table is asserted at once: its name follows from the entity's nation
+        # every document of a table is asserted at once, named by the nation; what is said of a narrow written row needs no table of its own
         named = df.withColumn("document_id", doc)
-        said = ev.assertions(named, t, name).drop("document_id")
-        source = named.select("document_id", ev.entity_id(of[t.primary], F.col(t.primary)).alias("source")).distinct()
-        rows.append(said.join(source, "source"))
+        rows.append(ev.assertions(named, t, F.col("document_id")))
         cells += [named.select("document_id", F.lit(f.role).alias("role"), F.lit(f.entity_type).alias("entity_type"), F.lit(f.namespace).alias("namespace"), F.col(f.name).alias("value")) for f in t.fields]
         primary.append(named.select("document_id", F.lit(of[t.primary].entity_type).alias("entity_type"), F.lit(of[t.primary].namespace).alias("namespace")).distinct())
         content = F.xxhash64(*[F.col(x) for x in named.columns])
@@ -226,7 +225,7 @@ def _nations(spark, sf_dir, changed: bool):
             out = out.unionByName(more)
         return out
 
-    return tuple(materialize(union(x), "nations") for x in (rows, cells, primary, revisions))
+    return union(rows), union(cells), materialize(union(primary), "nations"), materialize(union(revisions), "nations")
 
 
 @query(f"""
