@@ -103,10 +103,8 @@ def refresh_witnesses(rows: DataFrame, cells: DataFrame, primary: DataFrame, rev
     members = materialize(ic.dependency_components(revisions, edges), "members")
 
     def compute(todo: DataFrame) -> DataFrame:
+        # facts keep their component, so that a witness need not be joined with that of its subject
         own = rows.join(todo, "document_id")
-        # the subject of a witness has a name or quasi-identifiers
-        entity = own.filter(F.col("kind").isin("identity", "quasi")).select(F.col("source").alias("subject"), "component").distinct()
-        found = ev.witnesses(ev.evidence(own.drop("component"), written=True), quasi, max_support)
-        return found.join(entity, "subject")
+        return ev.witnesses(ev.evidence(own, written=True, part=("component",)), quasi, max_support, part=("component",))
 
     return refresh(members, revisions, cache, compute, f"{sorted(quasi)} {max_support}")

@@ -131,13 +131,14 @@ def line_records(text: DataFrame, fields: tuple[str, ...], column: str = "text")
     return ok.select(*[F.col("m")[f].alias(f) for f in fields], "quoted")
 
 
-def evidence(rows: DataFrame, rejected: DataFrame | None = None, by_document: bool = False, written: bool = False) -> DataFrame:
+def evidence(rows: DataFrame, rejected: DataFrame | None = None, by_document: bool = False, written: bool = False, part: tuple[str, ...] = ()) -> DataFrame:
     """Distinct facts (evidence_id, source, target, kind, field_name, value, state, entity_type, namespace,
     n_assertions): copies of a fact are one, and what a relation's or an identity's column is called does not
     matter. rejected (source) leaves entities out. by_document keeps documents apart.
 
     written keeps the counted claims as a table that is read wherever the facts are, and adds denied: whether a negative fact
     says otherwise, of all facts, so that what is active need not be joined. Whoever leaves out negative facts afterwards drops it.
+    part are columns that facts keep beside the others; all rows of an entity must have the same there.
     """
     doc = ["document_id"] if by_document else []
     if rejected is not None:
@@ -149,14 +150,14 @@ def evidence(rows: DataFrame, rejected: DataFrame | None = None, by_document: bo
     odd = F.when(F.col("state").isin(*known), None).otherwise(F.coalesce("state", F.lit("\x00")))
     claim = [*doc, "source", "target", "kind", "field_name", "value"]
     n = [F.count_if(F.col("state") == s).alias(f"_{s}") for s in known]
-    claims = rows.withColumn("field_name", name).withColumn("_odd", odd).groupBy(*claim, "entity_type", "namespace", "_odd").agg(*n, F.count("*").alias("_all"))
+    claims = rows.withColumn("field_name", name).withColumn("_odd", odd).groupBy(*part, *claim, "entity_type", "namespace", "_odd").agg(*n, F.count("*").alias("_all"))
     if written:
         claims = materialize(claims, "facts")
     each = [F.struct(F.lit(s).alias("state"), F.col(f"_{s}").alias("n")) for s in known]
     single = F.array(F.struct(F.nullif(F.col("_odd"), F.lit("\x00")).alias("state"), F.col("_all").alias("n")))
     stated = F.explode(F.when(F.col("_odd").isNull() & (sum(F.col(f"_{s}") for s in known) > 0), F.filter(F.array(*each), lambda x: x["n"] > 0)).otherwise(single))
-    facts = claims.select(*claim, "entity_type", "namespace", (F.col("_negative") > 0).alias("denied"), stated.alias("_s"))
-    facts = facts.select(*claim, F.col("_s.state").alias("state"), F.col("_s.n").alias("n_assertions"), "entity_type", "namespace", *(["denied"] if written else []))
+    facts = claims.select(*part, *claim, "entity_type", "namespace", (F.col("_negative") > 0).alias("denied"), stated.alias("_s"))
+    facts = facts.select(*part, *claim, F.col("_s.state").alias("state"), F.col("_s.n").alias("n_assertions"), "entity_type", "namespace", *(["denied"] if written else []))
     return facts.withColumn("evidence_id", digest(*[F.coalesce(F.col(c), F.lit("\x00")) for c in [*claim, "state"]]))
 
 
@@ -226,19 +227,20 @@ def reach(edges: DataFrame, starts: DataFrame, most: int = MAX_DEPTH, keys: tupl
 RULES = ("identity_mapping", "numbered_join", "quasi_combination")
 
 
-def witnesses(facts: DataFrame, quasi: tuple[str, ...] = (), max_support: int = 2, by_document: bool = False, most: int = MAX_DEPTH, rules: tuple[str, ...] = RULES) -> DataFrame:
+def witnesses(facts: DataFrame, quasi: tuple[str, ...] = (), max_support: int = 2, by_document: bool = False, most: int = MAX_DEPTH, rules: tuple[str, ...] = RULES, part: tuple[str, ...] = ()) -> DataFrame:
     """Rows (rule, subject, endpoint, chain, support, population) over active facts.
 
     identity_mapping: an entity has a name. numbered_join: a named entity leads by keys to a sensitive fact.
     quasi_combination: no more than max_support entities of a type and namespace share an entity's values of
     the quasi fields; an entity with a missing or a second value of one does not count, in the population
-    either. by_document looks at each document alone. rules: those asked for; no other is worked out.
+    either. by_document looks at each document alone, part at each part of the facts (evidence), and both are kept. rules: those
+    asked for; no other is worked out.
     """
     if quasi and (len(quasi) < 2 or len(quasi) > 8 or len(set(quasi)) != len(quasi)):
         raise ValueError("two to eight distinct quasi fields are needed")
     if not rules or not set(rules) <= set(RULES):
         raise ValueError(f"rules are some of {RULES}")
-    k = ["document_id"] if by_document else []
+    k = [*(["document_id"] if by_document else []), *part]
     facts = active(facts, tuple(k)) if _marked(facts, tuple(k)) else materialize(active(facts, tuple(k)), "facts")
     none = F.lit(None).cast("long")
     names = facts.filter("kind = 'identity'").select(*k, "source", F.col("evidence_id").alias("name_id"))

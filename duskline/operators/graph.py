@@ -15,9 +15,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     longest chain; each round's edges are written once, so lineage stays short. Self edges name single
     nodes; null ends are left out; an empty table gives no rows.
     """
-    both = edges.filter(f"{src} is not null and {dst} is not null").select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    alone = both.filter("u = v").select(F.col("u").alias("node")).distinct()
-    now = materialize(both.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    both = edges.filter(f"{src} is not null and {dst} is not null").select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    # self edges are written with the others, so that what makes the edges is worked out once
+    both = materialize(both.distinct(), "edges")
+    alone = both.filter("u = v").select(F.col("u").alias("node"))
+    now = both.filter("u != v")
     state = _state(now)
     for _ in range(most_rounds if state[0] else 0):
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +29,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _state(now)
-        discard(last)
+        if hasattr(last, "_written"):
+            discard(last)
         if after == state:
             break
         state = after

@@ -179,8 +179,8 @@ def dependency_edges(cells: DataFrame, primary: DataFrame, anchors: DataFrame |
     if anchors is not None:
         rows = rows.unionByName(anchors.select("document_id", part("correction", F.col("correction_id").cast("string"), empty, empty).alias("key")))
     rows = rows.filter("key is not null").distinct()
-    least = rows.groupBy("key").agg(F.min("document_id").alias("src"))
-    return rows.join(least, "key").select("src", F.col("document_id").alias("dst")).distinct()
+    # a window rather than a join with the least ones, so that the keys are made once
+    return rows.select(F.min("document_id").over(Window.partitionBy("key")).alias("src"), F.col("document_id").alias("dst")).distinct()
 
 
 def dependency_components(documents: DataFrame, edges: DataFrame) -> DataFrame:

@@ -198,14 +198,20 @@ _PERSON, _ORDER = ev.Field("cust", "key", "customers", "person"), ev.Field("ord"
 _CHANGED = 7
 
 
-def _nations(spark, sf_dir, changed: bool):
-    """Assertions, cells, primary keys and revisions of three documents for each nation. In the second version the items of
-    one nation that were returned are denied."""
+def _placed(spark, sf_dir):
+    """Customers with their nation, and orders and items with that of their customer, written once for all versions."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cust"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ord"), F.col("o_custkey").cast("string").alias("cust")).join(c.select("cust", "n"), "cust")
-    denied = (F.col("n") == _CHANGED) & (F.col("flag") == "R") if changed else F.lit(False)
     o = materialize(o, "orders")
-    i = materialize(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ord"), F.col("l_returnflag").alias("flag")).join(o.select("ord", "n"), "ord"), "items").withColumn("state", F.when(denied, "negative").otherwise("positive"))
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("ord"), F.col("l_returnflag").alias("flag")).join(o.select("ord", "n"), "ord")
+    return c, o, materialize(i, "items")
+
+
+def _nations(c, o, i, changed: bool):
+    """Assertions, cells, primary keys and revisions of three documents for each nation. In the second version the items of
+    one nation that were returned are denied."""
+    denied = (F.col("n") == _CHANGED) & (F.col("flag") == "R") if changed else F.lit(False)
+    i = i.withColumn("state", F.when(denied, "negative").otherwise("positive"))
     shapes = (("customer", c, ev.Template("cust", (_PERSON, ev.Field("name", "identity")))), ("orders", o, ev.Template("cust", (_PERSON, _ORDER))), ("items", i, ev.Template("ord", (_ORDER, ev.Field("flag", "sensitive")), state_field="state")))
     rows, cells, primary, revisions = [], [], [], []
     for name, df, t in shapes:
@@ -234,8 +240,9 @@ d AS (SELECT c_nationkey AS n, count(*) AS k FROM i JOIN customer ON c_custkey =
 SELECT 'customer-' || c_nationkey AS component, c_nationkey = {_CHANGED} AS recomputed, count(*) AS names, coalesce(max(k), 0)::BIGINT AS joins FROM customer LEFT JOIN d ON n = c_nationkey GROUP BY c_nationkey""")
 def recomputed_components(spark, sf_dir):
     cache = cp.ResultCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", cp.WITNESSES)
-    cp.refresh_witnesses(*_nations(spark, sf_dir, False), cache)
-    got = cp.refresh_witnesses(*_nations(spark, sf_dir, True), cache)
+    placed = _placed(spark, sf_dir)
+    cp.refresh_witnesses(*_nations(*placed, False), cache)
+    got = cp.refresh_witnesses(*_nations(*placed, True), cache)
     n = lambda rule: F.count_if(F.col("rule") == rule)
     per = got.results.groupBy("component").agg(n("identity_mapping").alias("names"), n("numbered_join").alias("joins"))
     return got.components.join(per, "component").select("component", "recomputed", "names", "joins")
