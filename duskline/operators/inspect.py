@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import script
 from ..functions.lexicon import Rules
-from ..functions.text import is_exact, normalize, source_span
+from ..functions.text import Normalizer, is_exact, source_span
 
 #: Of a term in several lists the first of these categories counts; it differs from that of path components.
 ORDER = ("ORG", "NAME_LIST", "KEYWORD", "PROFESSION", "IDENTITY")
@@ -25,15 +25,15 @@ def content_findings(rules: Rules):
     this span holds more than was found, because a character became several. A span has each category once.
     Null and empty texts have no findings.
     """
-    simple, category = script.to_simplified(), {}
+    normalize, category = Normalizer(script.to_simplified()), {}
     for c in ORDER:
         for term in filter(None, rules.terms.get(c, [])):
-            category.setdefault(normalize(term, simple)[0], c)
+            category.setdefault(normalize(term)[0], c)
     terms = re.compile("|".join(map(re.escape, sorted(category, key=len, reverse=True)))) if category else None
     patterns = [re.compile(p) for p in rules.patterns.values()]
 
     def one(text: str) -> list[tuple]:
-        view, runs = normalize(text, simple)
+        view, runs = normalize(text)
         spans = set()
         for p in patterns:
             spans |= {("PATTERN", *m.span(), False) for m in p.finditer(text)}

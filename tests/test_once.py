@@ -34,3 +34,15 @@ def test_facts_keep_their_part_under_the_same_ids(spark):
     assert all(r.component == "c" + r.subject[1:] for r in parted.select("component", "subject").collect())
     assert sorted(map(tuple, parted.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
     assert plain.filter(F.col("rule") == "numbered_join").count() == 2
+
+
+def test_plain_characters_are_normalised_in_runs(monkeypatch):
+    from duskline.functions import text as tx
+
+    n = tx.Normalizer({"學": "学"})
+    assert n("éX") == ("éx", [(0, 1, 0, 2, False), (1, 2, 2, 3, True)])
+    asked, known = [], tx.unicodedata.normalize
+    monkeypatch.setattr(tx.unicodedata, "normalize", lambda form, x: asked.append(x) or known(form, x))
+    view, runs = n("Ａb學 " * 1000 + "ﬁé")
+    assert view == "ab学 " * 1000 + "fié" and runs == [(0, 4000, 0, 4000, True), (4000, 4002, 4000, 4001, False), (4002, 4003, 4001, 4003, False)]
+    assert asked == ["ﬁ", "é"]
