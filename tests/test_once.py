@@ -46,3 +46,13 @@ def test_plain_characters_are_normalised_in_runs(monkeypatch):
     view, runs = n("Ａb學 " * 1000 + "ﬁé")
     assert view == "ab学 " * 1000 + "fié" and runs == [(0, 4000, 0, 4000, True), (4000, 4002, 4000, 4001, False), (4002, 4003, 4001, 4003, False)]
     assert asked == ["ﬁ", "é"]
+
+
+def test_words_of_names_are_looked_at_once(monkeypatch):
+    from duskline.functions import text as tx
+
+    finder, asked = tx.LatinNames(frozenset({"wei", "min"}), frozenset({"wang", "li"})), []
+    known = tx.LatinNames.mark
+    monkeypatch.setattr(tx.LatinNames, "mark", lambda self, word: asked.append(word) or known(self, word))
+    assert finder.find("Wang Wei, wangwei; the li the " * 50) == ["Wang Wei", "wangwei"]
+    assert len(asked) == 5
