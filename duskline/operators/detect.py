@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.text import find_latin_names, folded, latin_names
+from ..session import spread
 
 #: Java reads \d, \w and \b as ASCII unless told otherwise.
 UNICODE = "(?U)"
@@ -117,15 +118,18 @@ def contextual(text: str) -> Column:
     return F.concat(dates(text), locations(text), context_terms(text))
 
 
-def findings(strings: DataFrame, column: str, found: Column, names: lx.Rules | None = None) -> DataFrame:
+def findings(strings: DataFrame, column: str, found: Column, names: lx.Rules | None = None, short: bool = False) -> DataFrame:
     """Rows (string, category, surface, source) of each distinct string of the column. With names, names in Latin script
-    are looked for too, by a Python function that only strings which may hold one reach."""
+    are looked for too, by a Python function that only strings which may hold one reach. Short strings, many in few bytes,
+    are dealt to all tasks before they are looked at."""
     distinct = strings.filter(F.col(column).isNotNull()).select(column).distinct()
+    distinct = spread(distinct, column) if short else distinct
     out = distinct.select(column, F.explode(F.array_distinct(found)).alias("f")).select(column, "f.*")
     if names is None or not names.latin_names:
         return out
-    able = distinct.filter(F.col(column).rlike(latin_names(names.no_names).possible()))
-    named = able.select(column, F.explode(find_latin_names(column, names.no_names)).alias("surface"))
+    # no filter, which would be pushed below the distinct and look at every string as often as it stands
+    able = F.when(F.col(column).rlike(latin_names(names.no_names).possible()), F.col(column))
+    named = distinct.select(column, F.explode(find_latin_names(able, names.no_names)).alias("surface"))
     named = named.select(column, F.lit("PERSON").alias("category"), "surface", F.lit("latin_names").alias("source"))
     # a surface that is a term or a name already is not found again
     return out.unionByName(named).groupBy(column, "category", "surface").agg(F.max("source").alias("source"))
@@ -181,7 +185,7 @@ def signals(entries: DataFrame, rules: lx.Rules, context: bool = True, detectors
     """
     exploded = entries.select("entry_id", F.posexplode("parts").alias("component_index", "part"))
     found = F.concat(ordinary("part", rules), contextual("part")) if context else ordinary("part", rules)
-    once = findings(exploded, "part", found, rules)
+    once = findings(exploded, "part", found, rules, short=True)
     if detectors:
         once = run_detectors(exploded, "part", once, detectors)
     once = once.withColumn("normalized", folded("surface"))

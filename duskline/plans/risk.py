@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..operators import alias, detect, graph, policy, risk
 from ..operators import inventory as iv
-from ..session import materialize, table
+from ..session import materialize, spread, table
 from .registry import query
 
 _BAND = "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 3000 THEN 'low' WHEN c_acctbal < 6000 THEN 'mid' ELSE 'high' END"
@@ -58,13 +58,12 @@ def connected_components(spark, sf_dir):
 
 def _subjects(spark, sf_dir):
     """A folder for every hundredth customer key, with a dated school record for each customer."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     month = F.lpad((F.col("c_custkey") % 12 + 1).cast("string"), 2, "0")
     path = F.concat(F.lit("subject-"), (F.col("c_custkey") % 100).cast("string"), F.lit("/北京大学/计算机专业/2024-"), month, F.lit("-记录-"), F.col("c_custkey").cast("string"), F.lit(".txt"))
     paths = c.select(path.alias("relpath"), F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"))
-    special = paths.limit(0)
-    for p in ("case-1/北京市海淀区/2024-06-17住院记录.txt", "case-2/上海市浦东区/2023-01-02判决书.txt", "case-3/某某公司/工程师/上海.txt"):
-        special = special.unionByName(paths.sparkSession.createDataFrame([(p, False, 1)], "relpath string, is_dir boolean, size long"))
+    special = ("case-1/北京市海淀区/2024-06-17住院记录.txt", "case-2/上海市浦东区/2023-01-02判决书.txt", "case-3/某某公司/工程师/上海.txt")
+    special = spark.createDataFrame([(p, False, 1) for p in special], "relpath string, is_dir boolean, size long").coalesce(1)
     return iv.entries(paths.unionByName(special))
 
 

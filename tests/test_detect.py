@@ -5,6 +5,7 @@ from duskline.functions import lexicon as lx
 from duskline.functions import script
 from duskline.functions.text import edited, latin_names, normalize, source_span, syllables
 from duskline.operators import detect
+from duskline.operators import inventory as iv
 
 
 def found(spark, names, rules=None, column=None):
@@ -153,3 +154,26 @@ def test_all_documents_are_normalized(spark, tmp_path):
         for k, c in enumerate(got[i].view):
             a, b = source_span(runs, k, k + 1)
             assert c in view(t[a:b])
+
+
+def test_components_are_dealt_to_all_tasks_and_looked_at_once(spark):
+    e = iv.entries(spark.range(2000).select(F.concat(F.lit("a/报告-"), F.col("id").cast("string"), F.lit("-zhang wei.txt")).alias("relpath")), is_dir=None, size=None)
+    parts = e.select(F.explode("parts").alias("part"))
+    found = detect.findings(parts, "part", detect.ordinary("part", lx.Rules()), lx.Rules(), short=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]
+    assert found.filter("source = 'latin_names'").count() == 2000
+    looked = detect.findings(parts, "part", detect.terms("part", lx.Rules()), short=True)
+    assert "REPARTITION_BY_NUM" in looked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_those_of_the_plain_alternation(spark):
+    rules = lx.Rules(terms={**lx.Rules().terms, "ORG": ["學A", "𠮷野", "ßA", "[x"], "NAME_LIST": ["学生会长", "İz", "k"]})
+    known = lx.term_categories(rules)
+    plain = "|".join(lx.term_pattern(t, c) for t, c in sorted(known.items(), key=lambda x: (-len(x[0]), x[0])))
+    every = sorted(known)
+    texts = [" ".join(every), "".join(every), "".join(reversed(every)).swapcase(), " ".join(every).upper(), "学生会 学 ſalary \u212a aCEO ceo.CTO ＣＥＯ İZ"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(*[F.regexp_extract_all("t", F.lit("(?iu)" + p), F.lit(0)).alias(n) for n, p in (("a", plain), ("b", lx.alternation(known)))]).collect()
+    assert all(r.a == r.b and r.a for r in got)
+    # a place in a text meets few alternatives: without their runs all are tried, one after the other
+    assert lx.alternation(known).count("(?=") > 10
