@@ -26,7 +26,7 @@ class PolicyRejected(RuntimeError):
 def context_signals(entries: DataFrame) -> DataFrame:
     """Dates, places and domain terms of the paths as they are now; ordinary signals are never looked for again."""
     exploded = entries.select("entry_id", F.posexplode("parts").alias("component_index", "part"))
-    once = detect.findings(exploded, "part", detect.contextual("part")).withColumn("normalized", folded("surface"))
+    once = detect.findings(exploded, "part", detect.contextual("part"), short=True).withColumn("normalized", folded("surface"))
     return exploded.join(once, "part").select("entry_id", "component_index", "category", "surface", "normalized", "source")
 
 
@@ -44,7 +44,9 @@ def suppress(entries: DataFrame, signals: DataFrame, risks: DataFrame) -> tuple[
     prefixes = hit.select(F.array_join(prefix, "/").alias("prefix"), F.col("component_index").alias("cutoff"), "category", F.array_join(F.concat(F.slice("parts", 1, F.col("component_index")), F.array(F.concat(F.lit("["), "category", F.lit("_SUBTREE]")))), "/").alias("placeholder")).distinct()
     own = entries.select("entry_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(i.alias("n"), F.array_join(F.slice("parts", 1, i), "/").alias("prefix")))).alias("p")).select("entry_id", "p.*")
     under = own.join(prefixes, "prefix").groupBy("entry_id").agg(F.min(F.struct("n", "category", "placeholder", "cutoff")).alias("m")).select("entry_id", "m.*")
-    first = F.row_number().over(Window.partitionBy("placeholder").orderBy("relpath"))
+    # an entry under no placeholder is a group of its own: together they would be one task's
+    alone = F.when(F.col("placeholder").isNull(), F.col("entry_id"))
+    first = F.row_number().over(Window.partitionBy("placeholder", alone).orderBy("relpath"))
     marked = materialize(entries.join(under, "entry_id", "left").withColumn("_r", F.when(F.col("placeholder").isNotNull(), first)), "suppressed")
     moved = F.col("_r") == 1
     keep = marked.filter(F.col("_r").isNull() | moved)

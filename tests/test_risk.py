@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,17 @@ def test_aliases_beyond_four_digits(spark, tmp_path):
     assert tuple(old) == (10_002, 10_002, "PERSON_10002")
     new = new_aliases(spark, str(tmp_path)).agg(F.count("*").alias("n"), F.min_by("alias", "surface").alias("first"), F.max_by("alias", "surface").alias("last")).first()
     assert tuple(new) == (n - 10_002, "PERSON_10003", f"PERSON_{n}")
+
+
+def test_entries_that_stay_are_no_group_of_suppression(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(policy, "materialize", lambda df, tag: seen.append(df) or df)
+    e = entries(spark, *[f"subject-{i}/记录.txt" for i in range(400)], "subject-a/住院记录/report.pdf", "subject-a/住院记录/scan.pdf")
+    s = detect.signals(e, lx.Rules())
+    hit = e.filter("relpath like '%report.pdf'").select("entry_id").first()[0]
+    asked = spark.createDataFrame([(["suppress_subtree"], "high", "medical_reidentification", [hit])], "actions array<string>, severity string, risk_type string, entry_ids array<string>")
+    out, _, _ = policy.suppress(e, s, asked)
+    assert {r.relpath for r in out.collect()} == {f"subject-{i}/记录.txt" for i in range(400)} | {"subject-a/[MEDICAL_SUBTREE]"}
+    # all entries without a placeholder in one window would be one task's
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(placeholder#\d+, (?!relpath)", plan)
