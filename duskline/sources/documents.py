@@ -9,13 +9,15 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCKS = "document_id string, block_no long, kind string, text string, start long, end long, row long, col long, table_no long, status string, reason string"
 #: Limits of a parse; what lies beyond makes it partial or failed, never silently shorter.
 MAX_BYTES, MAX_ROWS, MAX_COLUMNS, MAX_CELL = 64 << 20, 1_000_000, 10_000, 1 << 20
+#: Blocks that are handed on together, and bytes of the documents they are of, from which on they are.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 _BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 _CELL_END = re.compile(r"[,\r\n]")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -142,22 +144,34 @@ def parse(files: DataFrame, encoding: str | None = None) -> DataFrame:
     """Blocks of files (document_id, path, content): one for a text, one for each cell or paragraph. A document that
     cannot be read whole keeps a row, with its status and reason and without a block."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in BLOCKS.split(", ")]
-        whole = ["block_no", "start", "end", "row", "col", "table_no"]
-        for pdf in frames:
-            for doc, path, payload in zip(pdf["document_id"], pdf["path"], pdf["content"], strict=True):
+    kinds = [pa.string() if c.endswith(" string") else pa.int64() for c in BLOCKS.split(", ")]
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # blocks of several documents are one batch: most documents have few
+        rows, size = [], 0
+        for b in batches:
+            for doc, path, payload in zip(*(b.column(i) for i in range(3)), strict=True):
+                doc, path, payload = doc.as_py(), path.as_py(), payload.as_py()
                 try:
                     if payload is None:
                         raise Refused("NOT_CAPTURED")
-                    rows = _blocks(doc, path, bytes(payload), encoding)
+                    made = _blocks(doc, path, payload, encoding)
                 except Refused as e:
-                    rows = [(doc, *[None] * 8, "failed", str(e))]
-                out = pd.DataFrame(rows, columns=names)
-                out[whole] = out[whole].astype("Int64")
-                yield out
-
-    return files.select("document_id", "path", "content").mapInPandas(run, BLOCKS)
+                    made = [(doc, *[None] * 8, "failed", str(e))]
+                size += len(payload or b"")
+                rows += made
+                if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    for i in range(0, len(rows), BATCH_ROWS):
+                        yield batch(rows[i : i + BATCH_ROWS])
+                    rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return files.select("document_id", "path", "content").mapInArrow(run, BLOCKS)
 
 
 def path_blocks(entries: DataFrame) -> DataFrame:

@@ -124,3 +124,13 @@ def test_long_csv_without_carriage_returns_is_linear():
         assert sum(1 for _ in dc.csv_cells(text)) == 2 * n
         took.append(time.process_time() - start)
     assert took[1] < 8 * took[0]
+
+
+def test_blocks_of_several_documents_are_handed_on_together(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BATCH_ROWS", 7)
+    files = [(f"{i}.csv", f"{i}.csv", bytearray(b'a,b\n%d,"x ""y"""\n' % i)) for i in range(40)] + [("n.txt", "n.txt", None), ("e.csv", "e.csv", bytearray(b"")), ("b.txt", "b.txt", bytearray(b"\xff"))]
+    parsed = dc.parse(spark.createDataFrame(files, "document_id string, path string, content binary").coalesce(1))
+    assert "MapInArrow" in parsed._jdf.queryExecution().executedPlan().toString()
+    rows = parsed.collect()
+    assert sorted((r.document_id, r.block_no, r.text, r.row, r.col) for r in rows if r.kind == "cell") == sorted((f"{i}.csv", k, t, k // 2, k % 2) for i in range(40) for k, t in enumerate(("a", "b", str(i), 'x "y"')))
+    assert {(r.document_id, r.status, r.reason) for r in rows if r.kind is None} == {("n.txt", "failed", "NOT_CAPTURED"), ("e.csv", "complete", None), ("b.txt", "failed", "DECODE_FAILED")}
