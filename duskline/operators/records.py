@@ -104,9 +104,10 @@ def _grid(picked: DataFrame, bound_: DataFrame, fields: DataFrame) -> tuple[Data
 
 def _lines(picked: DataFrame, fields: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Cells of name=value;name=value lines, a leading > marking a quoted one, and faults of lines."""
-    names = fields.groupBy("template").agg(F.array_sort(F.collect_list("name")).alias("_names"))
+    key = F.when((F.col("role") == "key") & (F.instr("name", "=") == 0), F.concat("name", F.lit("=")))
+    names = fields.groupBy("template").agg(F.array_sort(F.collect_list("name")).alias("_names"), F.collect_list(key).alias("_bare"))
     text = picked.filter("not grid and trim(text) != ''").join(F.broadcast(names), "template")
-    line = text.select("document_id", "template", "_names", "block_no", F.col("start").alias("_start"), F.posexplode(F.regexp_extract_all("text", F.lit(_LINE), F.lit(0))).alias("_i", "_line"))
+    line = text.select("document_id", "template", "_names", "_bare", "block_no", F.col("start").alias("_start"), F.posexplode(F.regexp_extract_all("text", F.lit(_LINE), F.lit(0))).alias("_i", "_line"))
     # a block is one value, so its lines are one task's in any case
     before = Window.partitionBy("document_id", "block_no").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
     line = line.withColumn("_at", F.coalesce(F.sum(F.length("_line")).over(before), F.lit(0)))
@@ -120,7 +121,9 @@ def _lines(picked: DataFrame, fields: DataFrame) -> tuple[DataFrame, list[DataFr
         .when(F.size("_n") != F.size("_names"), "NAME_MISSING")
     )
     parts = parts.withColumn("_why", why)
-    faults = parts.filter("_why is not null").groupBy("document_id", F.col("_why").alias("reason")).agg(F.min(F.struct("block_no", "_i")).alias("m"))
+    # an empty key is seen in its line, so that faults need no cells; it stands at its first line in any block
+    amiss = parts.withColumn("reason", F.coalesce("_why", F.when(F.arrays_overlap("_p", "_bare"), "EMPTY_KEY"))).filter("reason is not null")
+    faults = amiss.groupBy("document_id", "reason").agg(F.min(F.struct("block_no", "_i")).alias("m"), F.min("_i").alias("_least"))
     # lines that fit have as many parts as the template has names
     past = lambda p, i: F.aggregate(F.slice("_p", 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)
     good = parts.filter("_why is null").select("*", F.explode(F.transform("_p", lambda p, i: F.struct(p.alias("p"), past(p, i).alias("o")))).alias("_c"))
@@ -129,7 +132,9 @@ def _lines(picked: DataFrame, fields: DataFrame) -> tuple[DataFrame, list[DataFr
     at = F.col("_at") + F.col("quoted").cast("int") + F.col("_c.o") + F.length(name) + 1
     cells = good.select("document_id", "template", F.col("block_no").alias("part"), F.col("_i").cast("long").alias("record"), "quoted", name.alias("name"), value.alias("value"), "block_no", at.cast("long").alias("at"), (at + F.length(value)).cast("long").alias("to"), "_start")
     placed = cells.select(*CELLS[:10], (F.col("_start") + F.col("at")).alias("start"), (F.col("_start") + F.col("to")).alias("end"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("col"))
-    return placed, [faults.select("document_id", "reason", F.col("m._i").cast("long").alias("row"), F.col("m.block_no").cast("string").alias("detail"))]
+    empty = F.col("reason") == "EMPTY_KEY"
+    row, detail = F.when(empty, F.col("_least")).otherwise(F.col("m._i")), F.when(~empty, F.col("m.block_no"))
+    return placed, [faults.select("document_id", "reason", row.cast("long").alias("row"), detail.cast("string").alias("detail"))]
 
 
 def extract(blocks: DataFrame, bound_: DataFrame, templates: list[Template]) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +174,7 @@ def extract(blocks: DataFrame, bound_: DataFrame, templates: list[Template]) ->
     grid, grid_faults = _grid(picked, bound_, fields)
     lines, line_faults = _lines(picked, fields)
     cells = grid.select(*CELLS).unionByName(lines)
-    keys = cells.filter("value = ''").join(F.broadcast(fields.filter("role = 'key'").select("template", "name")), ["template", "name"], "left_semi")
+    keys = grid.filter("value = ''").join(F.broadcast(fields.filter("role = 'key'").select("template", "name")), ["template", "name"], "left_semi")
     empty = keys.groupBy("document_id").agg(F.min("record").alias("row")).select("document_id", F.lit("EMPTY_KEY").alias("reason"), "row", none.cast("string").alias("detail"))
     faults = whole.unionByName(unread).unionByName(empty)
     for more in [*grid_faults, *line_faults]:

@@ -134,3 +134,20 @@ def test_blocks_of_several_documents_are_handed_on_together(spark, monkeypatch):
     rows = parsed.collect()
     assert sorted((r.document_id, r.block_no, r.text, r.row, r.col) for r in rows if r.kind == "cell") == sorted((f"{i}.csv", k, t, k // 2, k % 2) for i in range(40) for k, t in enumerate(("a", "b", str(i), 'x "y"')))
     assert {(r.document_id, r.status, r.reason) for r in rows if r.kind is None} == {("n.txt", "failed", "NOT_CAPTURED"), ("e.csv", "complete", None), ("b.txt", "failed", "DECODE_FAILED")}
+
+
+def test_empty_keys_of_lines_are_seen_without_cells(spark, monkeypatch):
+    seen, write = {}, rc.materialize
+    monkeypatch.setattr(rc, "materialize", lambda df, tag: seen.setdefault(tag, df) and write(df, tag))
+    t = ev.Template("id", (ev.Field("id", "key", "n", "client"), ev.Field("ev", "key", "e", "event"), ev.Field("q", "quasi")))
+    paras = ev.Template("id", t.fields, view="docx_paragraphs")
+    files = {
+        "late.txt": b"id=1;ev=2;q=\n\n>q=;ev=3;id=\nid=;ev=;q=4", "fine.txt": b"id==;ev=id=;q=", "both.txt": b"id=;ev=1;q=2\nid=1;ev=2",
+        "p.docx": docx(para("id=1;ev=2;q=3") + para("id=1;ev=;q=3")), "c.csv": b"id,ev,q\n1,2,\n1,,3\n",
+    }
+    cells, faults, _ = run(spark, files, [rc.Binding(p, paras if p == "p.docx" else t) for p in files])
+    assert {(r.document_id, r.reason, r.row, r.detail) for r in faults.collect()} == {
+        ("late.txt", "EMPTY_KEY", 2, None), ("both.txt", "EMPTY_KEY", 0, None), ("both.txt", "NAME_MISSING", 1, "0"), ("p.docx", "EMPTY_KEY", 0, None), ("c.csv", "EMPTY_KEY", 2, None)}
+    assert {(r["name"], r.value) for r in cells.collect()} == {("id", "="), ("ev", "id="), ("q", "")}
+    # each line is cut once for the faults
+    assert seen["faults"]._jdf.queryExecution().optimizedPlan().toString().count("posexplode(") == 1
