@@ -326,6 +326,24 @@ def test_fingerprints_of_odd_ids(spark):
     assert [tuple(r) for r in iblt.with_next(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()] == [(None, "a", "a")]
 
 
+def test_fingerprints_are_made_once_for_a_document(spark):
+    """What is made of a text is handed to the document before it, also across slices, quantiles and from the first to the last."""
+    rows = [(i, f"{i}." * (i % 7)) for i in range(1500)] + [(1 << 60, "far"), (None, "null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = iblt.with_next(df, {"n": "length(text)", "m": "n + 1"}).collect()
+    assert len(got) == len(rows) and all((r.n, r.m, r.next_n, r.next_m) == (len(r.text), len(r.text) + 1, len(r.next_text), len(r.next_text) + 1) for r in got)
+
+
+def test_peeling_leaves_no_empty_cells(spark):
+    """A cell that holds nothing is not looked at again; the digests of either side are read off with the right sign."""
+    keys = lambda xs: f"transform(array({', '.join(f'{x}L' for x in xs)}), k -> named_struct('k', k, 'c', xxhash64(k, 7L)))"
+    a, b = (iblt._masked(keys(xs), iblt.WIDTH) for xs in ([1, 2, 3, 4], [3, 4, 5]))
+    cells = iblt._minus(iblt._cells(a, iblt.WIDTH), iblt._cells(b, iblt.WIDTH))
+    r = spark.range(1).selectExpr(f"{iblt._left(cells)} AS t", f"{iblt._peel(cells, iblt.WIDTH)} AS p").first()
+    assert 0 < len(r.t) <= 9 and all(x.n or x.k or x.c for x in r.t)
+    assert r.p.whole and sorted(r.p.m) == [1, 2, 5]
+
+
 def test_large_differences_are_whole(spark):
     a = "\n".join(f"left {i}" for i in range(700))
     b = "\n".join([f"right {i}" for i in range(300)] + [f"left {i}" for i in range(100)])
