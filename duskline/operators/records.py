@@ -113,14 +113,15 @@ def _lines(picked: DataFrame, fields: DataFrame) -> tuple[DataFrame, list[DataFr
     line = line.withColumn("_at", F.coalesce(F.sum(F.length("_line")).over(before), F.lit(0)))
     line = line.withColumn("_raw", F.regexp_replace("_line", r"[\r\n]+$", "")).withColumn("quoted", F.startswith("_raw", F.lit(">")))
     line = line.withColumn("_body", F.when(F.col("quoted"), F.substring("_raw", 2, 1 << 30)).otherwise(F.col("_raw"))).filter("trim(_body) != ''")
-    parts = line.withColumn("_p", F.split("_body", ";", -1))
-    called = F.transform("_p", lambda p: F.when(F.instr(p, "=") > 0, F.substring_index(p, "=", 1)))
-    parts = parts.withColumn("_n", called)
-    why = (
-        F.when(F.exists("_n", lambda n: n.isNull()) | (F.size(F.array_except("_n", "_names")) > 0), "NAME_UNKNOWN").when(F.size("_n") != F.size(F.array_distinct("_n")), "NAME_TWICE")
-        .when(F.size("_n") != F.size("_names"), "NAME_MISSING")
+    # parts, names and fault are one value with each step bound: the filters below are pushed under it, and would repeat what its steps refer to
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    called = lambda ps: F.transform(ps, lambda p: F.when(F.instr(p, "=") > 0, F.substring_index(p, "=", 1)))
+    why = lambda n: (
+        F.when(F.exists(n, lambda x: x.isNull()) | (F.size(F.array_except(n, "_names")) > 0), "NAME_UNKNOWN").when(F.size(n) != F.size(F.array_distinct(n)), "NAME_TWICE")
+        .when(F.size(n) != F.size("_names"), "NAME_MISSING")
     )
-    parts = parts.withColumn("_why", why)
+    said = once(F.split("_body", ";", -1), lambda ps: once(called(ps), lambda n: F.struct(ps.alias("p"), why(n).alias("why"))))
+    parts = line.withColumn("_said", said).select("*", F.col("_said.p").alias("_p"), F.col("_said.why").alias("_why"))
     # an empty key is seen in its line, so that faults need no cells; it stands at its first line in any block
     amiss = parts.withColumn("reason", F.coalesce("_why", F.when(F.arrays_overlap("_p", "_bare"), "EMPTY_KEY"))).filter("reason is not null")
     faults = amiss.groupBy("document_id", "reason").agg(F.min(F.struct("block_no", "_i")).alias("m"), F.min("_i").alias("_least"))
